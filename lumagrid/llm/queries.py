@@ -21,6 +21,22 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op4_pivot_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumagrid.llm.pivot_index import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumagrid.llm.language import predict, train
+    from lumagrid.llm.shared import crc
+
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(crc("doc_id", 4) == 2, F.lit(False))
+    model = train(docs.where(~held))
+    return predict(docs.select("doc_id", "text"), model).withColumn("held_out", F.coalesce(crc("doc_id", 4) == 2, F.lit(False)))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumagrid.llm.decontamination import contamination
 
@@ -42,7 +58,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_roundtrip, op6_benchmark_decontamination, op7_url_reputation, op9_token_files)}
+    return {f.__name__: f for f in (op1_bpe_roundtrip, op4_pivot_near_duplicates, op5_language_id, op6_benchmark_decontamination, op7_url_reputation, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
