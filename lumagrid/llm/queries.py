@@ -21,6 +21,12 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumagrid.llm.ngram_join import classes
+
+    return classes(table(spark, sf_dir, "documents"))
+
+
 def op4_pivot_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumagrid.llm.pivot_index import near_duplicates
 
@@ -58,7 +64,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_roundtrip, op4_pivot_near_duplicates, op5_language_id, op6_benchmark_decontamination, op7_url_reputation, op9_token_files)}
+    return {f.__name__: f for f in (op1_bpe_roundtrip, op3_ngram_jaccard, op4_pivot_near_duplicates, op5_language_id, op6_benchmark_decontamination, op7_url_reputation, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
