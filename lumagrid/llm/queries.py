@@ -55,6 +55,12 @@ def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).drop("bad_rate", "lower_bound")
 
 
+def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumagrid.llm.mixing import score
+
+    return score(table(spark, sf_dir, "documents"), "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 7, 0) != 2")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumagrid.llm.token_files import read_tokens, scratch_folder, write_tokens
 
@@ -64,7 +70,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_roundtrip, op3_ngram_jaccard, op4_pivot_near_duplicates, op5_language_id, op6_benchmark_decontamination, op7_url_reputation, op9_token_files)}
+    return {f.__name__: f for f in (op1_bpe_roundtrip, op3_ngram_jaccard, op4_pivot_near_duplicates, op5_language_id, op6_benchmark_decontamination, op7_url_reputation, op8_context_mixing, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
