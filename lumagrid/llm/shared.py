@@ -44,3 +44,13 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 def crc(column: str, n: int):
     """crc32 of a column as text, modulo n; null for null."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
+
+
+#: Keys up to which the side of a semi-join is broadcast (16 MB of long keys).
+SMALL = 2_000_000
+
+
+def only(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows of df whose key is in keys: broadcast up to a size, else by shuffle."""
+    keys = saved(keys.select(on).where(F.col(on).isNotNull()).distinct())
+    return df.join(F.broadcast(keys) if keys.count() <= SMALL else keys, on, "left_semi")
