@@ -75,8 +75,14 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, folder, tokens=False)
 
 
+def op10_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumagrid.llm.disclosure import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_kneser_ney_quality, op3_ngram_jaccard, op4_pivot_near_duplicates, op5_language_id, op6_benchmark_decontamination, op7_url_reputation, op8_context_mixing, op9_token_files)}
+    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_kneser_ney_quality, op3_ngram_jaccard, op4_pivot_near_duplicates, op5_language_id, op6_benchmark_decontamination, op7_url_reputation, op8_context_mixing, op9_token_files, op10_disclosure)}
 
 
 def oracle_sql() -> dict[str, str]:
