@@ -1,0 +1 @@
+"""Image operators over DataFrames of packed rasters."""

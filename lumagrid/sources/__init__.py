@@ -1,0 +1 @@
+"""Reading and writing images."""
