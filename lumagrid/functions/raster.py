@@ -38,8 +38,12 @@ DILATED = every(f"greatest({inside(0, -1, 'e_[i]', 'e_')}, e_[i], {inside(0, 1,
 LAPLACIAN = f"transform(filter(sequence(0, h * w - 1), i -> {Y} between 1 and h - 2 and {X} between 1 and w - 2), i -> cast(4 * v[i] - v[i - 1] - v[i + 1] - v[i - w] - v[i + w] as bigint))"
 UNSHARP = every("greatest(0, least(255, 2 * v[i] - b_[i]))")
 GAMMA_SQRT = "transform(v, p -> cast(floor(sqrt(p * 255.0D)) as int))"
-STRETCH = "transform(v, p -> case when array_max(v) > array_min(v) then cast(floor((p - array_min(v)) * 255.0D / (array_max(v) - array_min(v))) as int) end)"
-HIST_EQ = "transform(v, p -> cast(floor(255.0D * (size(filter(v, q -> q <= p)) - size(filter(v, q -> q = array_min(v)))) / greatest(1, h * w - size(filter(v, q -> q = array_min(v))))) as int))"
+STRETCH = "transform(v, p -> case when m_[1] > m_[0] then cast(floor((p - m_[0]) * 255.0D / (m_[1] - m_[0])) as int) end)"
+ENDS = "array(array_min(v), array_max(v))"
+#: With the values in falling order as r_, the pixels up to p are n - (first place of p) + 1.
+HIST_EQ = "transform(v, p -> cast(floor(255.0D * (h * w - array_position(r_, p) + 1 - m_) / greatest(1, h * w - m_)) as int))"
+LOWEST = "h * w - array_position(r_, r_[h * w - 1]) + 1"
+FALLING = "sort_array(v, false)"
 DOWNSAMPLE2 = f"transform(sequence(0, (h div 2) * (w div 2) - 1), i -> cast(floor((v[2 * (i div (w div 2)) * w + 2 * (i % (w div 2))] + v[2 * (i div (w div 2)) * w + 2 * (i % (w div 2)) + 1] + v[(2 * (i div (w div 2)) + 1) * w + 2 * (i % (w div 2))] + v[(2 * (i div (w div 2)) + 1) * w + 2 * (i % (w div 2)) + 1]) / 4D) as int))"
 ROT90 = "transform(sequence(0, h * w - 1), i -> v[(h - 1 - i % h) * w + i div h])"
 RUN_STARTS = f"filter(sequence(0, h * w - 1), i -> v[i] > {{t}} and ({X} = 0 or v[i - 1] <= {{t}}))"

@@ -1,0 +1 @@
+"""Images as they arrive."""
