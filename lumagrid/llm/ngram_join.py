@@ -4,8 +4,8 @@ Two sets of n and m shingles with Jaccard 0.8 or more share at least T = ceil(4
 are put in one order: shingles on short inverted lists first, those on long lists last. Two such sets then meet in the
 first n - ceil(0.8 n) + 1 shingles of each, so only these go to the inverted lists. Short lists are merged, which counts
 how often a pair of sets occurs; pairs that can still reach T with all that was not merged are candidates. Long lists are
-never merged into pairs: their members are first checked against one member of the list, then those of different
-components against each other. Candidates are verified by binary probes of the one set's shingles in the other.
+never merged into pairs: their members are first checked against one member of the list, then those that still lie apart
+are compared block by block. Candidates are verified by binary probes of the one set's shingles in the other.
 
 Since the result names classes and not pairs, candidates whose sets already hang together are not verified any more.
 Equal sets are one entry throughout. A set is known by a 64-bit hash, a shingle by another.
@@ -34,6 +34,8 @@ LONG = 64
 TOLD = 1_000_000
 #: Shingles that one group of inverted lists should hold.
 GROUP = 1_500_000
+#: Sets in a block of those that are compared with each other.
+BLOCK = 256
 #: Ids up to which the documents to look at again are broadcast.
 SMALL = 2_000_000
 
@@ -214,27 +216,28 @@ def _merge(slim: DataFrame, long: np.ndarray, groups: int) -> DataFrame:
     return saved(dealt.groupBy("bucket").applyInArrow(merge, "kind int, a long, b long, c long"))
 
 
-def _verify(pairs: DataFrame, slim: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets that are linked. Every set goes to the group of its partner a; large groups are split."""
-    pairs = saved(pairs.select("a", "b").distinct())
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / 500).cast("int").alias("k"))
-    ones = pairs.join(sizes, "a").select(F.col("b").alias("sid"), F.struct("a", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("part")).alias("to"))
-    hubs = sizes.select(F.col("a").alias("sid"), F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.struct(F.col("a"), i.alias("part")))).alias("to"))
-    roles = saved(ones.unionByName(hubs).join(reps, "sid").groupBy("doc_id", "sid").agg(F.collect_list("to").alias("to")))
-    if roles.count() <= SMALL:
-        wanted = slim.join(F.broadcast(roles.select("doc_id").distinct()), "doc_id", "left_semi")
-    else:
-        wanted = slim.join(roles.select("doc_id").distinct(), "doc_id", "left_semi")
+def _sets(roles: DataFrame, slim: DataFrame, reps: DataFrame) -> DataFrame:
+    """roles (sid, to) with the shingles of each set, taken from one document that has it."""
+    roles = saved(roles.join(reps, "sid").groupBy("doc_id", "sid").agg(F.collect_list("to").alias("to")))
+    ids = roles.select("doc_id").distinct()
+    wanted = slim.join(F.broadcast(ids) if roles.count() <= SMALL else ids, "doc_id", "left_semi")
 
-    def sets(batches):
+    def scan(batches):
         for b in batches:
             for rows, buf, off in T.slices(b, "text"):
                 own = list(shingles(buf, off))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([set_id(s) for s in own], pa.int64()), pa.array([T.blob(s) for s in own], pa.binary())], ["doc_id", "sid", "shingles"])
 
-    # a document's roles are few; the text side stays in place when they are broadcast
-    found = wanted.mapInArrow(sets, "doc_id long, sid long, shingles binary")
-    dealt = found.join(roles, ["doc_id", "sid"]).select("sid", "shingles", F.explode("to").alias("to")).select("sid", "shingles", "to.a", "to.part")
+    found = wanted.mapInArrow(scan, "doc_id long, sid long, shingles binary")
+    return found.join(roles, ["doc_id", "sid"]).select("sid", "shingles", F.explode("to").alias("to")).select("sid", "shingles", "to.*")
+
+
+def _verify(pairs: DataFrame, slim: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets that are linked. Every set goes to the group of its partner a; large groups are split."""
+    pairs = saved(pairs.select("a", "b").distinct())
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / 500).cast("int").alias("k"))
+    ones = pairs.join(sizes, "a").select(F.col("b").alias("sid"), F.struct("a", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("part")).alias("to"))
+    hubs = sizes.select(F.col("a").alias("sid"), F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.struct(F.col("a"), i.alias("part")))).alias("to"))
 
     def probe(group: pa.Table) -> pa.Table:
         a = group["a"][0].as_py()
@@ -249,7 +252,56 @@ def _verify(pairs: DataFrame, slim: DataFrame, reps: DataFrame) -> DataFrame:
                 good.append(sid)
         return pa.table({"a": pa.array([a] * len(good), pa.int64()), "b": pa.array(good, pa.int64())})
 
-    return saved(dealt.groupBy("a", "part").applyInArrow(probe, "a long, b long"))
+    return saved(_sets(ones.unionByName(hubs), slim, reps).groupBy("a", "part").applyInArrow(probe, "a long, b long"))
+
+
+def _verify_within(members: DataFrame, slim: DataFrame, reps: DataFrame, block: int = BLOCK) -> DataFrame:
+    """members (cluster, sid, n, component): links between sets of one cluster and different components.
+
+    Sets are dealt to blocks by size class, so that linked ones lie in the same class or in neighbouring ones; each
+    pair of blocks is one group of bounded size, which gives back a spanning forest of its links.
+    """
+    members = saved(members.withColumn("c", F.floor(F.log("n") / 0.2232).cast("int")))  # just over ln 1.25
+    sizes = members.groupBy("cluster", "c").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
+    near = [sizes.select("cluster", (F.col("c") - d).alias("c"), F.col("k").alias(name)) for d, name in ((0, "k"), (1, "up"), (-1, "down"))]
+    for one in near:
+        members = members.join(one, ["cluster", "c"], "left")
+    members = members.withColumn("j", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int"))
+    group = "named_struct('cluster', cluster, 'la', {la}, 'ja', {ja}, 'lb', {lb}, 'jb', {jb}, 'side', {side}, 'component', component)"
+    to = F.expr(f"""concat(transform(sequence(0, k - 1), i -> {group.format(la='c', ja='least(i, j)', lb='c', jb='greatest(i, j)', side='cast(i < j as int)')}),
+        case when up is null then array() else transform(sequence(0, up - 1), i -> {group.format(la='c', ja='j', lb='c + 1', jb='i', side='0')}) end,
+        case when down is null then array() else transform(sequence(0, down - 1), i -> {group.format(la='c - 1', ja='i', lb='c', jb='j', side='1')}) end)""")
+
+    def compare(table: pa.Table) -> pa.Table:
+        first = {k: table[k][0].as_py() for k in ("la", "ja", "lb", "jb")}
+        across = (first["la"], first["ja"]) != (first["lb"], first["jb"])
+        sid, side, component = (table[k].to_numpy() for k in ("sid", "side", "component"))
+        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        n = np.array([len(x) for x in sets])
+        row = np.repeat(np.arange(len(sets)), n)
+        _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row, column = row[count[column] > 1], column[count[column] > 1]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], np.cumsum(np.concatenate([[0], np.diff(column[order]) != 0])) if len(row) else column
+        shared = np.zeros((len(sets), len(sets)), np.float32)
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+            lo, hi = np.searchsorted(column, [at, at + 2048])
+            has = np.zeros((len(sets), 2048), np.float32)
+            has[row[lo:hi], column[lo:hi] - at] = 1
+            shared += has @ has.T
+        linked = (9 * shared >= 4 * (n[:, None] + n[None, :])) & (component[:, None] != component[None, :])
+        if across:
+            linked &= side[:, None] != side[None, :]
+        big = np.iinfo(np.int64).max
+        root, before = sid.copy(), None
+        while before is None or (root != before).any():
+            before = root
+            root = np.minimum(root, np.where(linked, root[None, :], big).min(1))
+        own = root != sid
+        return pa.table({"a": root[own], "b": sid[own]})
+
+    dealt = _sets(members.select("sid", F.explode(to).alias("to")), slim, reps)
+    return saved(dealt.groupBy("cluster", "la", "ja", "lb", "jb").applyInArrow(compare, "a long, b long"))
 
 
 def _named(parts: DataFrame, side: str) -> DataFrame:
@@ -262,14 +314,14 @@ def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return out.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
-def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", rounds: int = 3) -> DataFrame:
+def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of docs."""
     slim = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
     chars = slim.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     groups = max(partitions(docs), int(chars) // 30 // GROUP)
     first = _members_and_long_lists(slim, groups)
     members = first.where("kind = 0").select("doc_id", "n", "sid")
-    told = first.where("kind = 1").orderBy(F.desc("n"), "sid").limit(TOLD).select("sid").toPandas()["sid"].to_numpy(np.int64)
+    told = first.where("kind = 1").orderBy(F.desc("n"), "sid").limit(TOLD).select("sid").toArrow()["sid"].to_numpy().astype(np.int64)
     met = _merge(slim, np.sort(told.view(np.uint64)), groups)
     sets = saved(members.where("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id")))
     reps = sets.select("sid", "doc_id")
@@ -278,38 +330,27 @@ def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", rounds: in
     about = sets.select("sid", "n").join(on_long, "sid", "left").select("sid", "n", F.coalesce("x", F.lit(0)).alias("x"))
     about = about.withColumn("rest", F.expr("n - (n - cast(ceil(4 * n / 5) as long) + 1) + x"))  # shingles that short lists did not count
 
-    def reachable(pairs: DataFrame, rest: str) -> DataFrame:
-        """Pairs (a, b, c) that can have Jaccard 0.8, given c meetings and what was not counted."""
-        pairs = pairs.join(about.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.expr(rest).alias("ra")), "a")
-        pairs = pairs.join(about.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.expr(rest).alias("rb")), "b")
-        return pairs.where("10 * least(na, nb) >= 8 * greatest(na, nb) and 9 * (c + greatest(ra, rb)) >= 4 * (na + nb)").select("a", "b", "c")
-
-    merged = met.where("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c"))
-    near = saved(reachable(merged, "rest"))
-    # first one partner for each set, then what still lies apart
-    edges = _verify(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), slim, reps)
-    parts = saved(components(edges))
+    sized = lambda side: about.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("rest").alias(f"r{side}"))
+    merged = met.where("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c")).join(sized("a"), "a").join(sized("b"), "b")
+    near = saved(merged.where("10 * least(na, nb) >= 8 * greatest(na, nb) and 9 * (c + greatest(ra, rb)) >= 4 * (na + nb)").select("a", "b"))
+    # first one partner for each set and one for each member of a long list, then what still lies apart
+    first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     some_long = bool(long.head(1))
-    for k in range(rounds if some_long else 0):
-        now = long.join(parts.select(F.col("id").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-        now = saved(now)
-        hubs = now.groupBy("shingle").agg(F.min_by(F.struct("sid", "n", "component"), F.xxhash64("sid", F.lit(k))).alias("hub"))
-        star = now.join(hubs, "shingle").where("component != hub.component and 10 * least(n, hub.n) >= 8 * greatest(n, hub.n)").select(F.col("hub.sid").alias("a"), F.col("sid").alias("b"))
-        more = _verify(star, slim, reps)
-        if not more.head(1):
-            break
-        edges = saved(edges.unionByName(more))
-        parts = saved(components(edges))
-    rest = _apart(near, parts).select("a", "b")
+    if some_long:
+        hubs = long.groupBy("shingle").agg(F.min(F.struct("sid", "n")).alias("hub"))
+        star = long.join(hubs, "shingle").where("sid != hub.sid and 10 * least(n, hub.n) >= 8 * greatest(n, hub.n)")
+        first = first.unionByName(star.select(F.col("hub.sid").alias("a"), F.col("sid").alias("b")))
+    edges = _verify(first, slim, reps)
+    parts = saved(components(edges))
+    more = _verify(_apart(near, parts), slim, reps)
     if some_long:
         now = saved(long.join(parts.select(F.col("id").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid")))
-        mixed = now.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("shingle")
-        now = saved(now.join(mixed, "shingle", "left_semi"))
-        l, r = now.select("shingle", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), now.select("shingle", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-        pairs = l.join(r, "shingle").where("a < b and ca != cb and 10 * least(na, nb) >= 8 * greatest(na, nb)").groupBy("a", "b").agg(F.count("*").alias("c"))
-        pairs = pairs.unionByName(merged.select("a", "b", "c").join(pairs.select("a", "b"), ["a", "b"], "left_semi")).groupBy("a", "b").agg(F.sum("c").alias("c"))
-        rest = rest.unionByName(reachable(pairs, "rest - x").select("a", "b"))
-    more = _verify(rest, slim, reps)
+        mixed = now.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("sid").alias("hub")).where("lo != hi").select("shingle", "hub")
+        now = now.join(mixed, "shingle").select("sid", "n", "component", "hub").distinct()
+        now = saved(now)
+        cluster = components(now.select(F.col("sid").alias("a"), F.col("hub").alias("b")))
+        apart = now.select("sid", "n", "component").distinct().join(cluster.select(F.col("id").alias("sid"), F.col("component").alias("cluster")), "sid")
+        more = more.unionByName(_verify_within(apart, slim, reps))
     if more.head(1):
         parts = saved(components(edges.unionByName(more)))
     label = sets.join(parts.select(F.col("id").alias("sid"), "component"), "sid", "left").select("sid", "doc_id", F.coalesce("component", "sid").alias("component"))
@@ -321,6 +362,6 @@ def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", rounds: in
 
 def first_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each class: the one with the least id (all its rows). Documents without an id stay."""
-    keep = saved(classes(docs, doc, text).where("component_id is null or doc_id = component_id").select("doc_id").where("doc_id is not null").distinct())
-    out = docs.withColumn("__id", F.col(doc).cast("long")).join(keep.withColumnRenamed("doc_id", "__id"), "__id", "left_semi").drop("__id")
-    return out.unionByName(docs.where(F.col(doc).isNull()))
+    known = classes(docs, doc, text).where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
+    gone = saved(known.where("not first").select("__id"))
+    return docs.join(F.broadcast(gone) if gone.count() <= SMALL else gone, F.col(doc).cast("long") == F.col("__id"), "left_anti")
