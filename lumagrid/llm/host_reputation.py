@@ -8,7 +8,7 @@ correlation). A host is blocked when the lower bound of its posterior bad rate p
 The suffix is the last label of a host and the registered domain its last two; longer suffixes go in suffixes.
 
 Defined results: null urls and urls without '://' have empty host and path and are judged as host ''. Pages without a
-label only take a verdict. Labels of one page count once (bad if any says so). Repeated pages each get a row. Empty
+label only take a verdict; without any label no host is blocked. Labels of one page count once (bad if any says so). Repeated pages each get a row. Empty
 tables give empty results.
 """
 
@@ -54,7 +54,7 @@ def _strength(groups: DataFrame, floor: float, ceiling: float) -> float:
     return min(max(1 / rho - 1, floor), ceiling) if rho > 0 else ceiling
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, suffixes: tuple[str, ...] = (), z: float = 1.645, max_bad: float = 0.25, floor: float = 1.0, ceiling: float = 1000.0) -> DataFrame:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, suffixes: tuple[str, ...] = (), z: float = 1.645, max_bad: float = 0.5, floor: float = 1.0, ceiling: float = 1000.0) -> DataFrame:
     """pages (page_id, host) and outcomes (page_id, bad 0/1): host, n, y, bad_rate, lower_bound, blocked."""
     hosts = pages.join(outcomes, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("y"))
     domain, suffix = F.substring_index("host", ".", -2), F.substring_index("host", ".", -1)
@@ -66,7 +66,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, suffixes: tuple[str,
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     tops = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     whole = tops.agg(F.sum("n").alias("n"), F.sum("y").alias("y")).first()
-    rate = ((whole.y or 0) + 0.5) / ((whole.n or 0) + 1)
+    rate = whole.y / whole.n if whole.n else 0.0
     k1, k2, k3 = (_strength(g, floor, ceiling) for g in (tops, domains, hosts))
     tops = tops.select("suffix", ((F.col("y") + k1 * rate) / (F.col("n") + k1)).alias("m1"))
     domains = domains.join(tops, "suffix").select("domain", "suffix", ((F.col("y") + k2 * F.col("m1")) / (F.col("n") + k2)).alias("m2"))

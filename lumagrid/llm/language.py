@@ -77,7 +77,7 @@ def _rows(x: list[tuple[bytes, bytes]]) -> np.ndarray:
     return out
 
 
-def fit(samples: list[tuple[str, bytes, bytes]], size: int = 16, epochs: int = 30, rate: float = 0.5, reject: float = 0.005, seed: int = 7) -> Model | None:
+def fit(samples: list[tuple[str, bytes, bytes]], size: int = 16, epochs: int = 12, rate: float = 0.5, reject: float = 0.005, seed: int = 7) -> Model | None:
     """samples: language, buckets, weights. Adagrad steps over shuffled minibatches."""
     languages = sorted({s[0] for s in samples})
     if not languages:
@@ -111,7 +111,7 @@ def fit(samples: list[tuple[str, bytes, bytes]], size: int = 16, epochs: int = 3
     return Model(languages, np.ascontiguousarray((e @ w).T.astype(np.float64)), b.astype(np.float64), t, float(np.quantile(right, reject)) if len(right) else 0.0)
 
 
-def train(docs: DataFrame, per_language: int = 400, languages: int = 64, lang: str = "lang", text: str = "text", doc: str = "doc_id") -> Model | None:
+def train(docs: DataFrame, per_language: int = 1000, languages: int = 64, lang: str = "lang", text: str = "text", doc: str = "doc_id") -> Model | None:
     """Fit on labelled rows of docs: at most per_language rows each of the most frequent languages, chosen by a hash of the id."""
     rows = docs.select(F.col(doc).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
