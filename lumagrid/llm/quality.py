@@ -82,13 +82,15 @@ def kneser_ney(text: DataFrame, order: int = ORDER) -> DataFrame:
 class Model:
     """A table of kneser_ney as sorted arrays."""
 
-    def __init__(self, rows: pd.DataFrame, order: int = ORDER):
+    def __init__(self, rows: pa.Table, order: int = ORDER):
         self.order, self.p, self.g = order, [], []
-        for k in range(1, order + 1):
-            own = rows[rows.k == k]
-            for name, to in (("p", self.p), ("g", self.g)):
-                part = own[own[name].notna()].sort_values("gram")
-                to.append((part.gram.to_numpy(np.int64), np.log2(part[name].to_numpy(float))))
+        kind, gram = rows["k"].to_numpy(), rows["gram"].to_numpy()
+        for name, to in (("p", self.p), ("g", self.g)):
+            value = rows[name].to_numpy()  # null is not a number here
+            for k in range(1, order + 1):
+                own = np.flatnonzero((kind == k) & ~np.isnan(value))
+                own = own[np.argsort(gram[own])]
+                to.append((gram[own], np.log2(value[own])))
 
     @staticmethod
     def _find(table, keys):
@@ -163,7 +165,7 @@ def abusive_words(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text:
                 found, code = np.unique(h[new], return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.bincount(code, weights=toxic, minlength=len(found)).astype(np.int64)), pa.array(np.bincount(code, minlength=len(found)).astype(np.int64))], ["w", "t", "n"])
 
-    size = rows.groupBy("toxic").count().toPandas().set_index("toxic")["count"].to_dict()
+    size = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic = size.get(1, 0)
     if not toxic or toxic == sum(size.values()):
         return np.zeros(0, np.uint64)
@@ -171,8 +173,8 @@ def abusive_words(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text:
     table = saved(rows.select("text", "toxic").mapInArrow(words, "w long, t long, n long").groupBy("w").agg(F.sum("t").alias("t"), F.sum("n").alias("n")))
     limit = float(np.log(max(1, table.count())) + 5)
     gain = F.expr(f"t * ln(t / (n * {p!r}D)) + case when n > t then (n - t) * ln((n - t) / (n * {1 - p!r}D)) else 0 end")
-    found = table.where("t > 0.9 * n").where(gain > limit).orderBy(F.desc("t"), "w").limit(10_000).toPandas()["w"]
-    return np.sort(found.to_numpy(np.int64).view(np.uint64))
+    found = table.where("t > 0.9 * n").where(gain > limit).orderBy(F.desc("t"), "w").limit(10_000).select("w").toArrow()["w"]
+    return np.sort(found.to_numpy().astype(np.int64).view(np.uint64))
 
 
 class Judge:
@@ -204,10 +206,13 @@ def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
     n = table.count()
     if not n:
         return Judge(None, {}, words), None
-    model = Model(table.toPandas()) if n <= broadcast else None
+    model = Model(table.toArrow()) if n <= broadcast else None
     if model:
 
+        sent = docs.sparkSession.sparkContext.broadcast(model)
+
         def measure(batches):
+            model = sent.value
             for batch in batches:
                 for rows, buf, off in T.slices(batch, "text"):
                     yield pa.RecordBatch.from_arrays([rows.column(1), pa.array(np.searchsorted(CLASSES, np.diff(off), "right"), pa.int32()), pa.array(np.exp2(model.bits(buf, off) / np.maximum(np.diff(off), 1)))], ["lang", "size", "perplexity"])
@@ -238,7 +243,10 @@ def classify(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str
     if table is not None:
         slim = measured(slim.withColumn("key", F.monotonically_increasing_id()), table).select("doc_id", "text", "lang", "perplexity")
 
+    sent = docs.sparkSession.sparkContext.broadcast(judge)
+
     def work(batches):
+        judge = sent.value
         for batch in batches:
             for rows, buf, off in T.slices(batch, "text"):
                 p, lo, hi, abusive, kept = judge(rows.column(2).to_pylist(), buf, off)
@@ -259,8 +267,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str
         bits = joined_bits(keyed.select(F.col("__key").alias("key"), F.col(text).alias("text")), table).select(F.col("key").alias("__key"), F.expr("pow(2D, least(60D, bits / n_bytes))").alias("__p"))
         docs = keyed.join(bits, "__key", "left").drop("__key")
     names = docs.columns
+    sent = docs.sparkSession.sparkContext.broadcast(judge)
 
     def work(batches):
+        judge = sent.value
         for batch in batches:
             for rows, buf, off in T.slices(batch, text):
                 p, lo, hi, abusive, kept = judge(rows.column(names.index(lang)).cast(pa.string()).to_pylist(), buf, off)
