@@ -86,4 +86,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others (token ids, perplexities, learned models, coded files, disclosure) are beyond SQL."""
+    from lumagrid.llm import oracle
+    from lumagrid.llm.host_reputation import RULES
+
+    return {"op3_ngram_jaccard": oracle.NGRAM_JACCARD, "op4_pivot_near_duplicates": oracle.PIVOT_NEAR_DUPLICATES, "op6_benchmark_decontamination": oracle.BENCHMARK_DECONTAMINATION, "op7_url_reputation": oracle.url_reputation(RULES)}
