@@ -2,8 +2,8 @@
 
 Counts of n-grams are gathered over all trusted text; continuation counts, context totals, discounts and the
 interpolated probabilities then come from joins of the count tables, sharded by context and by suffix. A document's
-perplexity is the geometric mean of its bytes' inverse probabilities. Limits are quantiles of the trusted documents'
-own perplexities, for each language and length class; documents outside them are rejected.
+perplexity is the geometric mean of its bytes' inverse probabilities. Limits are quantiles of the perplexities of trusted
+documents left out of the counts, for each language and length class; documents outside them are rejected.
 
 A table of up to BROADCAST probabilities goes to the tasks; a larger one is joined to the documents' n-grams by shuffle.
 
@@ -34,6 +34,8 @@ QUANTILES = (0.001, 0.999)
 CLASSES = (200, 800, 3200)
 #: Trusted documents that a language and length class needs for limits of its own.
 ENOUGH = 300
+#: One trusted document in so many is left out of the counts and sets the limits.
+ASIDE = 4
 #: Labelled rows, toxic and others, that the word test looks at.
 TOXIC_ROWS, OTHER_ROWS = 5_000, 20_000
 
@@ -202,7 +204,9 @@ def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
     slim = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     trusted = only(slim, good, "doc_id").where("length(text) > 0")
     words = abusive_words(docs, labels, doc, text)
-    table = kneser_ney(trusted)
+    # limits come from trusted documents that the counts have not seen
+    aside = F.pmod(F.xxhash64("doc_id"), F.lit(ASIDE)) == 0
+    table = kneser_ney(trusted.where(~aside))
     n = table.count()
     if not n:
         return Judge(None, {}, words), None
@@ -217,9 +221,9 @@ def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
                 for rows, buf, off in T.slices(batch, "text"):
                     yield pa.RecordBatch.from_arrays([rows.column(1), pa.array(np.searchsorted(CLASSES, np.diff(off), "right"), pa.int32()), pa.array(np.exp2(model.bits(buf, off) / np.maximum(np.diff(off), 1)))], ["lang", "size", "perplexity"])
 
-        own = trusted.select("text", "lang").mapInArrow(measure, "lang string, size int, perplexity double")
+        own = trusted.where(aside).select("text", "lang").mapInArrow(measure, "lang string, size int, perplexity double")
     else:
-        own = measured(trusted.withColumn("key", F.monotonically_increasing_id()), table).select("lang", "size", "perplexity")
+        own = measured(trusted.where(aside).withColumn("key", F.monotonically_increasing_id()), table).select("lang", "size", "perplexity")
     at = [F.expr(f"percentile_approx(perplexity, {q}, 100000)") for q in quantiles]
     sets = own.cube("lang", "size").agg(F.count("*").alias("n"), at[0].alias("lo"), at[1].alias("hi"), F.grouping("lang").alias("gl"), F.grouping("size").alias("gs"))
     limits = {}
