@@ -2,9 +2,10 @@
 
 Patterns find emails, IP addresses, card and phone numbers; each found value is a protected entity. A term discloses an
 entity by how much of the entity's information it carries: pointwise mutual information of term and entity over the
-corpus, divided by the information content of the entity (1: whoever sees the term knows the entity). Co-occurrence is
-counted within NEAR characters of the entity, frequencies over all documents. Terms over the threshold with enough
-support, which stand near the entity, are generalised to a placeholder when the text is sanitised; so are the values.
+corpus, divided by the information content of the entity (1: whoever sees the term knows the entity). Both are smoothed
+by half a document, so that an entity of a single document has terms too while small tables tell little. Co-occurrence
+is counted over whole documents, outside of the values. Every occurrence of a term over the threshold, in documents that
+hold the entity, is generalised to a placeholder when the text is sanitised; so are the values.
 
 Positions are in code points. Patterns are written so that they run in linear time on long texts; each finds just what
 its plain form finds.
@@ -29,9 +30,8 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 TERM = r"\p{L}{3,}"
-NEAR = 48
 #: Share of an entity's information from which on a term discloses it, and documents that must show both.
-DISCLOSES, SUPPORT = 0.9, 3
+DISCLOSES, SUPPORT = 0.9, 1
 #: Terms and rows up to which they are broadcast.
 SMALL = 200_000
 
@@ -77,53 +77,72 @@ def _written(spans: str) -> str:
     return f"concat_ws(',', transform({spans}, x -> concat(array({names})[x.kind], ':', cast(x.start as string), ':', cast(x.end as string))))"
 
 
+def _masked(text: str, spans: str) -> str:
+    """SQL for a text with its spans blanked, every other character at its place."""
+    step = f"""struct(greatest(s.at, x.end) as at, concat(s.out, substring({text}, s.at + 1, greatest(x.start - s.at, 0)), repeat(' ', x.end - greatest(s.at, x.start))) as out)"""
+    return f"aggregate({spans}, struct(0 as at, '' as out), (s, x) -> {step}, s -> concat(s.out, substring({text}, s.at + 1)))"
+
+
 def _keyed(docs: DataFrame, doc: str, text: str) -> DataFrame:
     slim = docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return slim.select("doc_id", F.xxhash64("text").alias("h"), "text", base_spans().alias("base"))
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64("text").cast("string"))
+    return slim.select("doc_id", key.alias("key"), "text", base_spans().alias("base"))
 
 
-def _surroundings(held: DataFrame) -> DataFrame:
-    """Terms near each span: doc_id, h, entity, term, start, end. Terms that the edge of the window may cut are left out."""
-    one = held.withColumn("span", F.explode("base")).select("doc_id", "h", F.expr("lower(span.value)").alias("entity"), F.col("span.start").alias("a"), F.col("span.end").alias("b"), "text")
-    left, right = f"substring(text, greatest(a - {NEAR}, 0) + 1, least(a, {NEAR}))", f"substring(text, b + 1, {NEAR})"
-    one = one.withColumns({"left": F.expr(left), "right": F.expr(right), "edge": F.length("text")}).drop("text")
-    terms = F.expr(f"""concat(
-        transform(filter({find('left', TERM)}, x -> (x.start > 0 or a <= {NEAR}) and x.end < length(left)), x -> struct(lower(x.value) as term, a - length(left) + x.start as start, a - length(left) + x.end as end)),
-        transform(filter({find('right', TERM)}, x -> x.start > 0 and (x.end < {NEAR} or b + {NEAR} >= edge)), x -> struct(lower(x.value) as term, b + x.start as start, b + x.end as end)))""")
-    return one.withColumn("near", F.explode(terms)).select("doc_id", "h", "entity", "near.term", "near.start", "near.end")
+#: SQL for the distinct terms of a text.
+TERMS = f"array_distinct(transform(regexp_extract_all(text, {_literal(TERM)}, 0), x -> lower(x)))"
+#: SQL for all places of the terms in told: array of (start, kind number, end).
+PLACES = f"""aggregate(zip_with(split(text, {_literal(TERM)}, -1), regexp_extract_all(text, {_literal(TERM)}, 0), (gap, hit) -> struct(length(gap) as gap, hit)),
+    struct(0 as at, cast(array() as array<struct<start:int,kind:int,end:int>>) as found),
+    (s, x) -> struct(s.at + x.gap + coalesce(length(x.hit), 0) as at,
+        case when array_contains(told, lower(x.hit)) then array_append(s.found, named_struct('start', s.at + x.gap, 'kind', {len(KINDS)}, 'end', s.at + x.gap + length(x.hit))) else s.found end as found)).found"""
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= SMALL else df
 
 
 def disclosing_terms(docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = DISCLOSES, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
-    """Base results of each row (doc_id, h, base without texts), and spans of terms that give an entity away (doc_id, h, terms)."""
-    rows = _keyed(docs, doc, text)
+    """Base results of each row (doc_id, key, base), and spans of terms that give an entity of the text away (key, terms); rows that agree in id and text have one key."""
     kept = F.expr("size(base) > 0")
-    held = saved(rows.withColumn("text", F.when(kept, F.col("text"))))
-    near = saved(_surroundings(held.where(kept)))
-    met = near.groupBy("entity", "term").agg(F.count_distinct("doc_id", "h").alias("n_both")).where(F.col("n_both") >= support)
-    entities = held.where(kept).select("doc_id", "h", F.explode("base").alias("x")).select("doc_id", "h", F.expr("lower(x.value)").alias("entity")).groupBy("entity").agg(F.count_distinct("doc_id", "h").alias("n_entity"))
+    rows = saved(_keyed(docs, doc, text).withColumn("text", F.when(kept, F.expr(_masked("text", "base")))))
+    held = rows.drop("text")
+    one = saved(rows.where(kept).groupBy("key").agg(F.first(F.struct("text", F.expr("array_distinct(transform(base, x -> lower(x.value)))").alias("entities"))).alias("x"), F.count("*").alias("m")).select("key", "m", "x.*"))
     total = held.count()
 
-    def share(n_term: str) -> Column:
-        """Share of the entity's information that a term of this frequency carries."""
-        return F.log(F.col("n_both") * total / (F.col(n_term) * F.col("n_entity"))) / F.log(total / F.col("n_entity"))
-
-    # a term is at least as frequent as it is near entities: most terms are too frequent by that alone
-    nearby = near.groupBy("term").agg(F.count_distinct("doc_id", "h").alias("n_near"))
-    met = saved(met.join(entities, "entity").where(F.col("n_entity") < total).join(nearby, "term").where(share("n_near") >= threshold))
-    wanted = saved(met.select("term").distinct())
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}]+"))).alias("term")).where("length(term) >= 3")
-    counts = words.join(F.broadcast(wanted) if wanted.count() <= SMALL else wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    told = met.join(counts, "term").where(share("n_term") >= threshold).select("entity", "term")
-    found = near.join(told, ["entity", "term"]).groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end"))).alias("terms"))
-    return held, saved(found)
+    def share(n_both) -> Column:
+        """Share of the entity's information that the term carries; half a document is added to each cell of the two by two table."""
+        n_entity = (F.col("n_entity") + 1) / (total + 2)
+        return F.log((n_both + 0.5) / ((F.col("n_term") + 1) * n_entity)) / -F.log(n_entity)
+
+    entity = one.select("key", "m", F.explode("entities").alias("entity"))
+    n_entity = saved(entity.groupBy("entity").agg(F.sum("m").alias("n_entity")).where(F.col("n_entity") < total))
+    entity = saved(entity.join(_small(n_entity), "entity"))
+    term = saved(one.select("key", "m", F.explode(F.expr(TERMS)).alias("term")))
+
+    # no term that is this much more frequent than the most frequent entity beside it can pass
+    most = entity.groupBy("key").agg(F.max("n_entity").alias("most"))
+    nearby = term.join(most, "key").groupBy("term").agg(F.sum("m").alias("n_held"), F.max("most").alias("most"))
+    wanted = saved(nearby.where((F.col("n_held") + 1) * (1 - 1e-9) <= (F.col("most") + 0.5) * ((total + 2) / 2) ** (1 - threshold)).select("term", F.xxhash64("term").alias("w"), "n_held"))
+    # counts are added up in the tasks first, so that no row for each word of each document is shuffled
+    words = docs.select(F.col(text).alias("text")).select(F.explode(F.expr(f"transform({TERMS}, x -> xxhash64(x))")).alias("w"))
+    counts = wanted.join(words.groupBy("w").agg(F.count("*").alias("n_all")), "w", "left")
+    counts = saved(counts.select("term", F.expr("greatest(n_held, n_all)").alias("n_term")))
+
+    pairs = term.join(_small(counts), "term").join(entity.drop("m"), "key").where(share(F.least("n_term", "n_entity")) >= threshold)
+    pairs = saved(pairs.select("key", "m", "entity", "term", "n_entity", "n_term"))
+    told = pairs.groupBy("entity", "term").agg(F.sum("m").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    told = saved(told.where(F.col("n_both") >= support).where(share(F.col("n_both")) >= threshold).select("entity", "term"))
+    found = pairs.join(_small(told), ["entity", "term"], "left_semi").groupBy("key").agg(F.collect_set("term").alias("told"))
+    return held, saved(found.join(one, "key").select("key", F.expr(PLACES).alias("terms")))
 
 
 def personal_data(docs: DataFrame, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms; one row per row of docs."""
     held, terms = disclosing_terms(docs, doc, text, **options)
     base = "transform(base, x -> struct(x.start as start, x.kind as kind, x.end as end))"
-    held = held.select("doc_id", "h", F.expr(base).alias("base"))
-    some = held.where("size(base) > 0").join(terms, ["doc_id", "h"], "left")
+    held = held.select("doc_id", "key", F.expr(base).alias("base"))
+    some = held.where("size(base) > 0").join(terms, "key", "left")
     none = held.where("size(base) = 0").withColumn("terms", F.expr("cast(null as array<struct<start:int,kind:int,end:int>>)"))
     out = some.select("doc_id", "base", "terms").unionByName(none.select("doc_id", "base", "terms"))
     out = out.withColumn("all", F.expr("array_sort(concat(base, coalesce(terms, array())))"))
@@ -140,9 +159,9 @@ def sanitised(text: str, spans: str) -> str:
 def sanitise(docs: DataFrame, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with values and disclosing terms replaced in the text; null texts stay null, other columns as they are."""
     held, terms = disclosing_terms(docs, doc, text, **options)
-    found = saved(held.where("size(base) > 0").select("doc_id", "h", F.expr("transform(base, x -> struct(x.start as start, x.kind as kind, x.end as end))").alias("base")).join(terms, ["doc_id", "h"], "left").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.expr("array_sort(concat(base, coalesce(terms, array())))").alias("__spans")).dropDuplicates(["__id", "__h"]))
-    keyed = docs.withColumns({"__id2": F.col(doc).cast("long"), "__h2": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    small = found.count() <= SMALL
-    joined = keyed.join(F.broadcast(found) if small else found, F.col("__id2").eqNullSafe(F.col("__id")) & (F.col("__h2") == F.col("__h")), "left")
+    spans = held.where("size(base) > 0").dropDuplicates(["key"]).select("key", F.expr("transform(base, x -> struct(x.start as start, x.kind as kind, x.end as end))").alias("base")).join(terms, "key", "left")
+    found = saved(spans.select(F.col("key").alias("__key"), F.expr("array_sort(concat(base, coalesce(terms, array())))").alias("__spans")))
+    key = F.concat_ws(":", F.coalesce(F.col(doc).cast("long").cast("string"), F.lit("-")), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).cast("string"))
+    joined = docs.withColumn("__key2", key).join(_small(found), F.col("__key2") == F.col("__key"), "left")
     clean = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(F.expr(sanitised(f"`{text}`", "__spans")))
     return joined.withColumn(text, clean).select(*[F.col(f"`{c}`") for c in docs.columns])

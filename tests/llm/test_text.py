@@ -136,6 +136,17 @@ def test_disclosing_terms(spark):
     assert clean[0] == "contact [TERM] today at [EMAIL] for number 0 please" and clean[10] == rows[4][1]
 
 
+def test_disclosing_terms_of_rare_entities(spark):
+    far = "today " * 40
+    rows = [(0, f"Zorblax called {far}one@mail.com and zorblax left"), (None, f"quibnar {far}two@mail.com"), (2, f"quibnar {far}two@mail.com"), (3, "today three@mail.com called and left"), (4, f"drimmel {far}five@mail.com"), (4, f"drimmel {far}five@mail.com")]
+    d = frame(spark, rows + [(10 + k, "today nobody called and left") for k in range(200)])
+    got = [(r.doc_id, r.n_terms) for r in disclosure.personal_data(d).collect() if r.doc_id is None or r.doc_id < 10]
+    assert Counter(got) == Counter([(0, 2), (None, 1), (2, 1), (3, 0), (4, 1), (4, 1)])
+    clean = Counter((r.doc_id, r.text) for r in disclosure.sanitise(d).collect())
+    assert clean[0, f"[TERM] called {far}[EMAIL] and [TERM] left"] == clean[None, f"[TERM] {far}[EMAIL]"] == clean[2, f"[TERM] {far}[EMAIL]"] == clean[3, "today [EMAIL] called and left"] == 1
+    assert clean[4, f"[TERM] {far}[EMAIL]"] == 2 and clean.total() == len(rows) + 200
+
+
 def test_scores(spark):
     rng = random.Random(5)
     words = "the of and zeta Omega été 42 x".split()
