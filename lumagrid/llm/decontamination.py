@@ -7,6 +7,7 @@ match and are left out of the sort. No shuffle is needed: documents stay where t
 is measured first, is sent out in pieces of bounded size.
 
 Defined results: null or wordless text has no words and is not contaminated; null or wordless items have no window;
+items without an id have windows that hit, but name no item;
 repeated rows are judged each on its own; an empty table gives an empty result; other columns are never looked at.
 """
 
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumagrid.llm import text as T
+from lumagrid.llm.shared import saved
 
 WINDOW = 10
 #: Characters of test text that one pass carries to the tasks; a larger test set takes more passes.
@@ -113,12 +115,11 @@ class TestSuffixes:
         return out
 
 
-def _pieces(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The test set in pieces of about limit characters, so that what is sent out at once stays bounded."""
-    items = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null")
+def _pieces(benchmark: DataFrame, item: str, text: str, limit: int) -> tuple[int, Iterator[list[tuple[str | None, str | None]]]]:
+    """How many pieces of about limit characters the test set has, so that what is sent out at once stays bounded, and the pieces."""
+    items = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t"))
     n = 1 + int(items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]) // limit
-    for k in range(n):
-        yield [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()]
+    return n, ([(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()] for k in range(n))
 
 
 def _shards(batches, tests: TestSuffixes, text: str):
@@ -148,10 +149,13 @@ def _hits(tests: TestSuffixes, h, first, who, place) -> tuple[np.ndarray, list[t
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW, piece_chars: int = PIECE_CHARS) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items (sorted), items_sha256, contaminated."""
-    slim = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    schema = "doc_id long, n_words long, n_hit long, items array<string>, runs array<long>"
-    out, passes = None, 0
-    for piece in _pieces(benchmark, item, "text", piece_chars):
+    slim = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    schema = "doc_id long, row long, n_words long, n_hit long, items array<string>, runs array<long>"
+    out = None
+    passes, pieces = _pieces(benchmark, item, "text", piece_chars)
+    if passes > 1:  # all passes must see the same key for a row
+        slim = saved(slim)
+    for piece in pieces:
         tests = TestSuffixes(piece, window)
 
         def work(batches, tests=tests):
@@ -159,17 +163,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", te
                 hit, pairs = _hits(tests, h, first, who, place)
                 items, runs = [[] for _ in count], [[] for _ in count]
                 for r, i in pairs:
-                    items[r].append(i)
+                    if i is not None:
+                        items[r].append(i)
                 row = np.searchsorted(first, place, "right") - 1
                 for r, a, n in zip(row, place - first[row], tests.size[who]):
                     runs[r] += [int(a), int(a + n)]
-                yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(count, pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array(runs, pa.list_(pa.int64()))], ["doc_id", "n_words", "n_hit", "items", "runs"])
+                yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), rows.column(2), pa.array(count, pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array(runs, pa.list_(pa.int64()))], ["doc_id", "row", "n_words", "n_hit", "items", "runs"])
 
         one = slim.mapInArrow(work, schema)
-        out, passes = one if out is None else out.unionByName(one), passes + 1
-    if passes > 1:  # more test text than one pass carries: put each document's runs together; rows of one id count once
+        out = one if out is None else out.unionByName(one)
+    if passes > 1:  # more test text than one pass carries: put each row's runs together
         ids = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-        out = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), ids, F.flatten(F.collect_list("runs")).alias("runs"))
+        out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), ids, F.flatten(F.collect_list("runs")).alias("runs"))
         marks = F.expr("flatten(transform(sequence(0, cast(size(runs) / 2 as int) - 1), k -> sequence(runs[2 * k], runs[2 * k + 1] - 1)))")
         out = out.withColumn("n_hit", F.when(F.size("runs") == 0, F.lit(0)).otherwise(F.size(F.array_distinct(marks))).cast("long"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items")
@@ -179,7 +184,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: st
     """Longest verbatim matches with their locations: doc_id, item_id, doc_word, item_word, n_words; one row per place where a window stands and no match begins one word earlier."""
     slim = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = None
-    for piece in _pieces(benchmark, item, "text", piece_chars):
+    for piece in _pieces(benchmark, item, "text", piece_chars)[1]:
         tests = TestSuffixes(piece, window)
 
         def work(batches, tests=tests):
@@ -198,7 +203,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: st
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW, piece_chars: int = PIECE_CHARS) -> DataFrame:
     """docs without the rows that hold a window of the test set; columns and other rows stay as they are."""
-    for piece in _pieces(benchmark, item, "text", piece_chars):
+    for piece in _pieces(benchmark, item, "text", piece_chars)[1]:
         tests = TestSuffixes(piece, window)
 
         def work(batches, tests=tests):
