@@ -3,7 +3,10 @@
 Counts of n-grams are gathered over all trusted text; continuation counts, context totals, discounts and the
 interpolated probabilities then come from joins of the count tables, sharded by context and by suffix. A document's
 perplexity is the geometric mean of its bytes' inverse probabilities. Limits are quantiles of the perplexities of trusted
-documents left out of the counts, for each language and length class; documents outside them are rejected.
+documents left out of the counts, for each language and length class; documents outside them are rejected. Labelled
+documents of low quality choose the level of the quantiles. Each group's median and the distance of its quantiles from
+it are drawn towards those of its language, its length class and all documents, the more the fewer documents it has.
+Texts that stand in the counts are more predictable than others: the lower limit does not hold for them.
 
 A table of up to BROADCAST probabilities goes to the tasks; a larger one is joined to the documents' n-grams by shuffle.
 
@@ -25,15 +28,18 @@ from pyspark.sql import functions as F
 
 from lumagrid.llm import text as T
 from lumagrid.llm.mixing import _merge, sixes
-from lumagrid.llm.shared import only, saved
+from lumagrid.llm.shared import SMALL, only, saved
 
 ORDER = 5
 BROADCAST = 4_000_000
-QUANTILES = (0.001, 0.999)
+#: Levels of the lower and upper quantile that labelled rows choose from, the widest first.
+LEVELS = ((0.001, 0.005, 0.01, 0.02, 0.03), (0.999, 0.995, 0.99, 0.98, 0.97))
 #: Bytes that part the length classes.
 CLASSES = (200, 800, 3200)
-#: Trusted documents that a language and length class needs for limits of its own.
-ENOUGH = 300
+#: Held-out documents that weigh as much as the wider group: for a group's median, and for its quantiles' distance from it.
+MEDIAN_PRIOR, SPREAD_PRIOR = 5, 100
+#: Steps of a doubling of perplexity in which held-out documents are counted.
+STEPS = 128
 #: One trusted document in so many is left out of the counts and sets the limits.
 ASIDE = 4
 #: Labelled rows, toxic and others, that the word test looks at.
@@ -179,18 +185,80 @@ def abusive_words(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text:
     return np.sort(found.to_numpy().astype(np.int64).view(np.uint64))
 
 
+def _quantile(values: np.ndarray, n: np.ndarray, q: float) -> float:
+    o = np.argsort(values)
+    run = np.cumsum(n[o])
+    return float(values[o][min(np.searchsorted(run, q * run[-1] * (1 - 1e-12)), len(o) - 1)])
+
+
+def _drawn(part: pd.DataFrame, column: str, q: float, prior: float, weight: float) -> float:
+    """A group's quantile, drawn towards the prior."""
+    n = part["n"].sum()
+    return (n * _quantile(part[column].to_numpy(), part["n"].to_numpy(), q) + weight * prior) / (n + weight) if n else prior
+
+
+def _by_group(good: pd.DataFrame, qs: list[float]) -> dict:
+    """Quantiles of each language and length class, as steps."""
+    kinds = range(len(CLASSES) + 1)
+    good = good[good["lang"].notna()].copy()
+    if not len(good):
+        return {}
+    all_ = _quantile(good["step"].to_numpy(), good["n"].to_numpy(), 0.5)
+    by_size = {k: good[good["size"] == k] for k in kinds}
+    by_lang = dict(list(good.groupby("lang")))
+    size_mid = {k: _drawn(part, "step", 0.5, all_, MEDIAN_PRIOR) for k, part in by_size.items()}
+    mid = {}
+    for lang, part in by_lang.items():
+        own = _drawn(part, "step", 0.5, all_, MEDIAN_PRIOR)
+        for k in kinds:
+            mid[lang, k] = _drawn(part[part["size"] == k], "step", 0.5, own + size_mid[k] - all_, MEDIAN_PRIOR)
+    good["off"] = good["step"] - [mid[g] for g in zip(good["lang"], good["size"])]
+    by_size = {k: good[good["size"] == k] for k in kinds}
+    out = {g: [] for g in mid}
+    for q in qs:
+        off = _quantile(good["off"].to_numpy(), good["n"].to_numpy(), q)
+        size_off = {k: _drawn(part, "off", q, off, SPREAD_PRIOR) for k, part in by_size.items()}
+        for lang, part in good.groupby("lang"):
+            own = _drawn(part, "off", q, off, SPREAD_PRIOR)
+            for k in kinds:
+                out[lang, k].append(mid[lang, k] + _drawn(part[part["size"] == k], "off", q, own + size_off[k] - off, SPREAD_PRIOR))
+    return out
+
+
+def limits_by_group(rows: pd.DataFrame, levels=LEVELS) -> dict:
+    """rows (lang, size, ok, step, n): counts of held-out documents. Lower and upper perplexity by language (None: any) and length class."""
+    lower, upper = levels
+    good = rows[rows["ok"]]
+    if not len(good):
+        return {}
+    found = {(None, k): v for (_, k), v in _by_group(good.assign(lang=""), [*lower, *upper]).items()}
+    found |= _by_group(good, [*lower, *upper])
+    at = np.array([found.get((g, k)) or found[None, k] for g, k in zip(rows["lang"], rows["size"])])
+    step, n, ok = rows["step"].to_numpy(), rows["n"].to_numpy(), rows["ok"].to_numpy()
+    best = None
+    for i in range(len(lower)):
+        for j in range(len(upper)):
+            kept = (step >= np.floor(at[:, i])) & (step <= np.floor(at[:, len(lower) + j]))
+            gain = n[ok & kept].sum() / n[ok].sum() - (n[~ok & kept].sum() / n[~ok].sum() if n[~ok].sum() else 0)
+            if best is None or gain > best[0] + 1e-9:
+                best = gain, i, j
+    _, i, j = best
+    return {g: (float(2 ** (np.floor(v[i]) / STEPS)), float(2 ** ((np.floor(v[len(lower) + j]) + 1) / STEPS))) for g, v in found.items()}
+
+
 class Judge:
     """All that a decision needs."""
 
     def __init__(self, model: Model | None, limits: dict, words: np.ndarray):
         self.model, self.limits, self.words = model, limits, words
 
-    def __call__(self, langs: list, buf: np.ndarray, off: np.ndarray):
+    def __call__(self, langs: list, seen: np.ndarray, buf: np.ndarray, off: np.ndarray):
         """Perplexity, lower and upper limit, whether an abusive word stands in it, and whether it is kept."""
         size = np.diff(off)
         perplexity = np.exp2(np.minimum(self.model.bits(buf, off) / np.maximum(size, 1), 60)) if self.model else np.ones(len(size))
         kind = np.searchsorted(CLASSES, size, "right")
-        lo, hi = np.array([self.limits.get((g, k)) or self.limits.get((g, None)) or self.limits.get((None, k)) or self.limits.get((None, None)) or (0.0, np.inf) for g, k in zip(langs, kind.tolist())]).reshape(-1, 2).T
+        lo, hi = np.array([self.limits.get((g, k)) or self.limits.get((None, k)) or (0.0, np.inf) for g, k in zip(langs, kind.tolist())]).reshape(-1, 2).T
+        lo = np.where(seen, 0.0, lo)
         low = T.LOWER[buf]
         starts, ends, at = T.spans(low, off, T.ALNUM)
         bad = np.concatenate([[0], np.cumsum(np.isin(T.hashes(low, starts, ends), self.words))])
@@ -198,18 +266,29 @@ class Judge:
         return perplexity, lo, hi, abusive, (size > 0) & (perplexity >= lo) & (perplexity <= hi) & ~abusive
 
 
-def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang", quantiles=QUANTILES, broadcast: int = BROADCAST) -> tuple[Judge, DataFrame | None]:
-    """The judge, and the table of probabilities if it is too large to send out."""
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0")
+def _flagged(docs: DataFrame, text: str, seen: DataFrame) -> DataFrame:
+    """docs with __seen: whether the text stands in the counts."""
+    seen = seen.withColumn("__seen", F.lit(True))
+    hashed = docs.withColumn("__h", F.xxhash64(text))
+    joined = hashed.join(F.broadcast(seen) if seen.count() <= SMALL else seen, F.col("__h") == F.col("__s"), "left")
+    return joined.withColumn("__seen", F.coalesce("__seen", F.lit(False))).drop("__h", "__s")
+
+
+def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang", levels=LEVELS, broadcast: int = BROADCAST) -> tuple[Judge, DataFrame | None, DataFrame]:
+    """The judge, the table of probabilities if it is too large to send out, and the hashes of the texts in the counts."""
+    known = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("most"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("t = 0")
+    good, poor = known.where("q = 1"), known.where("most = 0")
     slim = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     trusted = only(slim, good, "doc_id").where("length(text) > 0")
     words = abusive_words(docs, labels, doc, text)
     # limits come from trusted documents that the counts have not seen
     aside = F.pmod(F.xxhash64("doc_id"), F.lit(ASIDE)) == 0
     table = kneser_ney(trusted.where(~aside))
+    seen = saved(trusted.where(~aside).select(F.xxhash64("text").alias("__s")).distinct())
     n = table.count()
     if not n:
-        return Judge(None, {}, words), None
+        return Judge(None, {}, words), None, seen
+    held = trusted.where(aside).withColumn("ok", F.lit(True)).unionByName(only(slim, poor, "doc_id").where("length(text) > 0").withColumn("ok", F.lit(False))).select("text", "lang", "ok")
     model = Model(table.toArrow()) if n <= broadcast else None
     if model:
 
@@ -219,18 +298,15 @@ def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
             model = sent.value
             for batch in batches:
                 for rows, buf, off in T.slices(batch, "text"):
-                    yield pa.RecordBatch.from_arrays([rows.column(1), pa.array(np.searchsorted(CLASSES, np.diff(off), "right"), pa.int32()), pa.array(np.exp2(model.bits(buf, off) / np.maximum(np.diff(off), 1)))], ["lang", "size", "perplexity"])
+                    yield pa.RecordBatch.from_arrays([rows.column(1), rows.column(2), pa.array(np.searchsorted(CLASSES, np.diff(off), "right"), pa.int32()), pa.array(np.exp2(model.bits(buf, off) / np.maximum(np.diff(off), 1)))], ["lang", "ok", "size", "perplexity"])
 
-        own = trusted.where(aside).select("text", "lang").mapInArrow(measure, "lang string, size int, perplexity double")
+        own = held.mapInArrow(measure, "lang string, ok boolean, size int, perplexity double")
     else:
-        own = measured(trusted.where(aside).withColumn("key", F.monotonically_increasing_id()), table).select("lang", "size", "perplexity")
-    at = [F.expr(f"percentile_approx(perplexity, {q}, 100000)") for q in quantiles]
-    sets = own.cube("lang", "size").agg(F.count("*").alias("n"), at[0].alias("lo"), at[1].alias("hi"), F.grouping("lang").alias("gl"), F.grouping("size").alias("gs"))
-    limits = {}
-    for r in sets.where((F.col("n") >= ENOUGH) | (F.col("gl") + F.col("gs") == 2)).orderBy(F.desc("n")).limit(2000).collect():
-        if r.gl or r.lang is not None:
-            limits[(None if r.gl else r.lang, None if r.gs else r["size"])] = (r.lo, r.hi)
-    return Judge(model, limits, words), None if model else table
+        own = measured(held.withColumn("key", F.monotonically_increasing_id()), table).select("lang", "ok", "size", "perplexity")
+    own = saved(own.groupBy("lang", "size", "ok", F.floor(F.log2("perplexity") * STEPS).alias("step")).agg(F.count("*").alias("n")))
+    often = own.where("ok and lang is not null").groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(2000).select("lang", F.col("lang").alias("own"))
+    rows = own.join(F.broadcast(often), "lang", "left").groupBy(F.col("own").alias("lang"), "size", "ok", "step").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    return Judge(model, limits_by_group(rows, levels), words), None if model else table, seen
 
 
 def measured(rows: DataFrame, table: DataFrame) -> DataFrame:
@@ -242,45 +318,46 @@ def measured(rows: DataFrame, table: DataFrame) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
     """doc_id, lang, perplexity, lower, upper, abusive, kept; one row per row of docs."""
-    judge, table = train(docs, labels, doc, text, lang, **options)
+    judge, table, seen = train(docs, labels, doc, text, lang, **options)
     slim = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     if table is not None:
         slim = measured(slim.withColumn("key", F.monotonically_increasing_id()), table).select("doc_id", "text", "lang", "perplexity")
+    slim = _flagged(slim, "text", seen)
 
-    sent = docs.sparkSession.sparkContext.broadcast(judge)
+    sent, joined = docs.sparkSession.sparkContext.broadcast(judge), table is not None
 
     def work(batches):
         judge = sent.value
         for batch in batches:
             for rows, buf, off in T.slices(batch, "text"):
-                p, lo, hi, abusive, kept = judge(rows.column(2).to_pylist(), buf, off)
-                if rows.num_columns == 4:
-                    p = rows.column(3).to_numpy(zero_copy_only=False)
+                p, lo, hi, abusive, kept = judge(rows.column("lang").to_pylist(), rows.column("__seen").to_numpy(zero_copy_only=False), buf, off)
+                if joined:
+                    p = rows.column("perplexity").to_numpy(zero_copy_only=False)
                     kept = (np.diff(off) > 0) & (p >= lo) & (p <= hi) & ~abusive
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(p), pa.array(lo), pa.array(hi), pa.array(abusive), pa.array(kept)], ["doc_id", "lang", "perplexity", "lower", "upper", "abusive", "kept"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("lang"), pa.array(p), pa.array(lo), pa.array(hi), pa.array(abusive), pa.array(kept)], ["doc_id", "lang", "perplexity", "lower", "upper", "abusive", "kept"])
 
     return slim.mapInArrow(work, "doc_id long, lang string, perplexity double, lower double, upper double, abusive boolean, kept boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
     """The rows of docs that the classifier keeps, with all their columns."""
-    judge, table = train(docs, labels, doc, text, lang, **options)
+    judge, table, seen = train(docs, labels, doc, text, lang, **options)
     if table is not None:
         # beyond the broadcast: decide by joins on a row key
         keyed = docs.withColumn("__key", F.monotonically_increasing_id())
         bits = joined_bits(keyed.select(F.col("__key").alias("key"), F.col(text).alias("text")), table).select(F.col("key").alias("__key"), F.expr("pow(2D, least(60D, bits / n_bytes))").alias("__p"))
         docs = keyed.join(bits, "__key", "left").drop("__key")
-    names = docs.columns
-    sent = docs.sparkSession.sparkContext.broadcast(judge)
+    docs = _flagged(docs, text, seen)
+    sent, joined = docs.sparkSession.sparkContext.broadcast(judge), table is not None
 
     def work(batches):
         judge = sent.value
         for batch in batches:
             for rows, buf, off in T.slices(batch, text):
-                p, lo, hi, abusive, kept = judge(rows.column(names.index(lang)).cast(pa.string()).to_pylist(), buf, off)
-                if names[-1] == "__p":
-                    p = rows.column(len(names) - 1).fill_null(1.0).to_numpy(zero_copy_only=False)
+                p, lo, hi, abusive, kept = judge(rows.column(lang).cast(pa.string()).to_pylist(), rows.column("__seen").to_numpy(zero_copy_only=False), buf, off)
+                if joined:
+                    p = rows.column("__p").fill_null(1.0).to_numpy(zero_copy_only=False)
                     kept = (np.diff(off) > 0) & (p >= lo) & (p <= hi) & ~abusive
                 yield rows.filter(pa.array(kept))
 
-    return docs.mapInArrow(work, docs.schema).drop("__p")
+    return docs.mapInArrow(work, docs.schema).drop("__p", "__seen")
