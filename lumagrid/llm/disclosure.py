@@ -19,12 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumagrid.llm.shared import saved
+from lumagrid.llm.shared import fresh, saved
 
 KINDS = ("email", "ip", "card", "phone")
 #: A value may start where the last match ended or where no character of its kind stands before.
 PATTERNS = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
@@ -160,8 +160,9 @@ def sanitise(docs: DataFrame, doc: str = "doc_id", text: str = "text", **options
     """docs with values and disclosing terms replaced in the text; null texts stay null, other columns as they are."""
     held, terms = disclosing_terms(docs, doc, text, **options)
     spans = held.where("size(base) > 0").dropDuplicates(["key"]).select("key", F.expr("transform(base, x -> struct(x.start as start, x.kind as kind, x.end as end))").alias("base")).join(terms, "key", "left")
-    found = saved(spans.select(F.col("key").alias("__key"), F.expr("array_sort(concat(base, coalesce(terms, array())))").alias("__spans")))
+    name, own = fresh(docs, "spans"), fresh(docs, "row_key")
+    found = saved(spans.select(F.col("key").alias(own), F.expr("array_sort(concat(base, coalesce(terms, array())))").alias(name)))
     key = F.concat_ws(":", F.coalesce(F.col(doc).cast("long").cast("string"), F.lit("-")), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).cast("string"))
-    joined = docs.withColumn("__key2", key).join(_small(found), F.col("__key2") == F.col("__key"), "left")
-    clean = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(F.expr(sanitised(f"`{text}`", "__spans")))
+    joined = docs.withColumn(own, key).join(_small(found), own, "left")
+    clean = F.when(F.col(name).isNull(), F.col(text)).otherwise(F.expr(sanitised(f"`{text}`", name)))
     return joined.withColumn(text, clean).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -11,7 +11,9 @@ Since the result names classes and not pairs, candidates whose sets already hang
 Equal sets are one entry throughout. A set is known by a 64-bit hash, a shingle by another.
 
 Defined results: null, empty and wordless texts have 0 shingles, link with nothing and are their own class; texts of
-fewer than five words are one shingle; repeated rows are one class; other columns are kept by `first_of_each`.
+fewer than five words are one shingle; repeated rows are one class; rows without an id link as others do (the class of
+such rows alone has no least id); an empty table gives an empty result; other columns, whatever their names, are kept by
+`first_of_each`.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lumagrid.llm import text as T
 from lumagrid.llm.components import components
-from lumagrid.llm.shared import partitions, saved
+from lumagrid.llm.shared import fresh, partitions, saved
 
 WORDS = 5
 #: Members from which on an inverted list is long.
@@ -76,11 +79,11 @@ def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _members_and_long_lists(slim: DataFrame, groups: int) -> DataFrame:
-    """kind 0: doc_id, n, sid of every document; kind 1: sid is a shingle on a long list and n its length."""
-    schema = "kind int, doc_id long, n long, sid long, bucket int, data binary, counts binary"
+    """kind 0: doc_id, n, sid of every document; kind 1: sid is a shingle on a long list and n its length. row: doc_id, or a hash of the text."""
+    schema = "kind int, doc_id long, n long, sid long, row long, bucket int, data binary, counts binary"
 
-    def batch(kind, doc, n, sid, bucket, data, counts):
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(bucket), pa.int32()), doc, pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(bucket, pa.int32()), pa.array(data, pa.binary()), pa.array(counts, pa.binary())], [f.split()[0] for f in schema.split(", ")])
+    def batch(kind, doc, n, sid, row, bucket, data, counts):
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(bucket), pa.int32()), doc, pa.array(n, pa.int64()), pa.array(sid, pa.int64()), row, pa.array(bucket, pa.int32()), pa.array(data, pa.binary()), pa.array(counts, pa.binary())], [f.split()[0] for f in schema.split(", ")])
 
     def flush(heads):
         s = np.sort(_concat(heads, np.uint64))
@@ -92,7 +95,7 @@ def _members_and_long_lists(slim: DataFrame, groups: int) -> DataFrame:
         edge = np.searchsorted(bucket[order], np.arange(groups + 1))
         used = [k for k in range(groups) if edge[k] < edge[k + 1]]
         none = [None] * len(used)
-        return batch(1, pa.array(none, pa.int64()), none, none, used, [T.blob(s[edge[k] : edge[k + 1]]) for k in used], [T.blob(count[edge[k] : edge[k + 1]]) for k in used])
+        return batch(1, pa.array(none, pa.int64()), none, none, pa.array(none, pa.int64()), used, [T.blob(s[edge[k] : edge[k + 1]]) for k in used], [T.blob(count[edge[k] : edge[k + 1]]) for k in used])
 
     def scan(batches):
         seen, heads, held = set(), [], 0
@@ -106,7 +109,7 @@ def _members_and_long_lists(slim: DataFrame, groups: int) -> DataFrame:
                         seen.add(sid[-1])
                         heads.append(s[: prefix_size(len(s))])
                         held += len(heads[-1])
-                yield batch(0, rows.column(0), n, sid, [abs(i) % groups for i in sid], [None] * len(n), [None] * len(n))
+                yield batch(0, rows.column(0), n, sid, rows.column(2), [abs(i) % groups for i in sid], [None] * len(n), [None] * len(n))
                 if held > 2_000_000:
                     yield flush(heads)
                     seen, heads, held = set(), [], 0
@@ -119,19 +122,19 @@ def _members_and_long_lists(slim: DataFrame, groups: int) -> DataFrame:
             kind = b.column(0).to_numpy()
             own = b.filter(pa.array(kind == 0))
             if own.num_rows:
-                yield own.select([0, 1, 2, 3])
+                yield own.select([0, 1, 2, 3, 4])
             rest = b.filter(pa.array(kind == 1))
-            keys += [np.frombuffer(x, np.uint64) for x in rest.column(5).to_pylist()]
-            counts += [np.frombuffer(x, np.uint32) for x in rest.column(6).to_pylist()]
+            keys += [np.frombuffer(x, np.uint64) for x in rest.column(6).to_pylist()]
+            counts += [np.frombuffer(x, np.uint32) for x in rest.column(7).to_pylist()]
         s, c = _concat(keys, np.uint64), _concat(counts, np.uint32).astype(np.int64)
         order = np.argsort(s)
         at, _ = _runs(s[order])
         total = np.add.reduceat(c[order], at) if len(at) else c
         long = total > LONG
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(long.sum(), np.int32)), pa.array([None] * int(long.sum()), pa.int64()), pa.array(total[long]), pa.array(s[order][at][long].view(np.int64))], ["kind", "doc_id", "n", "sid"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(long.sum(), np.int32)), pa.array([None] * int(long.sum()), pa.int64()), pa.array(total[long]), pa.array(s[order][at][long].view(np.int64)), pa.array([None] * int(long.sum()), pa.int64())], ["kind", "doc_id", "n", "sid", "row"])
 
     dealt = slim.mapInArrow(scan, schema).repartition(groups, "bucket")
-    return saved(dealt.groupBy("bucket").applyInArrow(count, "kind int, doc_id long, n long, sid long"))
+    return saved(dealt.groupBy("bucket").applyInArrow(count, "kind int, doc_id long, n long, sid long, row long"))
 
 
 def _merge(slim: DataFrame, long: np.ndarray, groups: int) -> DataFrame:
@@ -223,10 +226,19 @@ def _sets(roles: DataFrame, slim: DataFrame, reps: DataFrame) -> DataFrame:
     wanted = slim.join(F.broadcast(ids) if roles.count() <= SMALL else ids, "doc_id", "left_semi")
 
     def scan(batches):
+        seen = set()
         for b in batches:
             for rows, buf, off in T.slices(b, "text"):
-                own = list(shingles(buf, off))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([set_id(s) for s in own], pa.int64()), pa.array([T.blob(s) for s in own], pa.binary())], ["doc_id", "sid", "shingles"])
+                ids, sids, data = [], [], []
+                for i, s in zip(rows.column(0).to_pylist(), shingles(buf, off)):
+                    if (i, k := set_id(s)) not in seen:  # rows that agree in id and set are one
+                        seen.add((i, k))
+                        ids.append(i)
+                        sids.append(k)
+                        data.append(T.blob(s))
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sids, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "sid", "shingles"])
 
     found = wanted.mapInArrow(scan, "doc_id long, sid long, shingles binary")
     return found.join(roles, ["doc_id", "sid"]).select("sid", "shingles", F.explode("to").alias("to")).select("sid", "shingles", "to.*")
@@ -283,12 +295,12 @@ def _verify_within(members: DataFrame, slim: DataFrame, reps: DataFrame, block:
         row, column = row[count[column] > 1], column[count[column] > 1]
         order = np.argsort(column, kind="stable")
         row, column = row[order], np.cumsum(np.concatenate([[0], np.diff(column[order]) != 0])) if len(row) else column
-        shared = np.zeros((len(sets), len(sets)), np.float32)
+        shared = np.zeros((len(sets), len(sets)), np.int64)
         for at in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
             lo, hi = np.searchsorted(column, [at, at + 2048])
             has = np.zeros((len(sets), 2048), np.float32)
             has[row[lo:hi], column[lo:hi] - at] = 1
-            shared += has @ has.T
+            shared += (has @ has.T).astype(np.int64)
         linked = (9 * shared >= 4 * (n[:, None] + n[None, :])) & (component[:, None] != component[None, :])
         if across:
             linked &= side[:, None] != side[None, :]
@@ -314,17 +326,19 @@ def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return out.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
-def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per row of docs."""
+def _labels(docs: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Members (doc_id, n, sid) of every row, and for every set of shingles the least id of its class (sid, class, least)."""
+    # a row without an id goes by its text where sets are fetched again
     slim = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
     chars = slim.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     groups = max(partitions(docs), int(chars) // 30 // GROUP)
-    first = _members_and_long_lists(slim, groups)
-    members = first.where("kind = 0").select("doc_id", "n", "sid")
+    keyed = slim.select(F.coalesce("doc_id", F.xxhash64("text")).alias("doc_id"), "text")
+    first = _members_and_long_lists(slim.withColumn("row", F.coalesce("doc_id", F.xxhash64("text"))), groups)
+    members = first.where("kind = 0").select("doc_id", "n", "sid", "row")
     told = first.where("kind = 1").orderBy(F.desc("n"), "sid").limit(TOLD).select("sid").toArrow()["sid"].to_numpy().astype(np.int64)
     met = _merge(slim, np.sort(told.view(np.uint64)), groups)
-    sets = saved(members.where("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id")))
-    reps = sets.select("sid", "doc_id")
+    sets = saved(members.where("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min("row").alias("row")))
+    reps = sets.select("sid", F.col("row").alias("doc_id"))
     long = saved(met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("sid")).distinct().join(sets.select("sid", "n"), "sid"))
     on_long = long.groupBy("sid").agg(F.count("*").alias("x"))
     about = sets.select("sid", "n").join(on_long, "sid", "left").select("sid", "n", F.coalesce("x", F.lit(0)).alias("x"))
@@ -340,9 +354,9 @@ def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFra
         hubs = long.groupBy("shingle").agg(F.min(F.struct("sid", "n")).alias("hub"))
         star = long.join(hubs, "shingle").where("sid != hub.sid and 10 * least(n, hub.n) >= 8 * greatest(n, hub.n)")
         first = first.unionByName(star.select(F.col("hub.sid").alias("a"), F.col("sid").alias("b")))
-    edges = _verify(first, slim, reps)
+    edges = _verify(first, keyed, reps)
     parts = saved(components(edges))
-    more = _verify(_apart(near, parts), slim, reps)
+    more = _verify(_apart(near, parts), keyed, reps)
     if some_long:
         now = saved(long.join(parts.select(F.col("id").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid")))
         mixed = now.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("sid").alias("hub")).where("lo != hi").select("shingle", "hub")
@@ -350,18 +364,48 @@ def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFra
         now = saved(now)
         cluster = components(now.select(F.col("sid").alias("a"), F.col("hub").alias("b")))
         apart = now.select("sid", "n", "component").distinct().join(cluster.select(F.col("id").alias("sid"), F.col("component").alias("cluster")), "sid")
-        more = more.unionByName(_verify_within(apart, slim, reps))
+        more = more.unionByName(_verify_within(apart, keyed, reps))
     if more.head(1):
         parts = saved(components(edges.unionByName(more)))
-    label = sets.join(parts.select(F.col("id").alias("sid"), "component"), "sid", "left").select("sid", "doc_id", F.coalesce("component", "sid").alias("component"))
-    least = label.groupBy("component").agg(F.min("doc_id").alias("least"))
-    label = saved(label.join(least, "component").select("sid", "least"))
+    label = sets.join(parts.select(F.col("id").alias("sid"), "component"), "sid", "left").select("sid", "doc_id", F.coalesce("component", "sid").alias("class"))
+    least = label.groupBy("class").agg(F.min("doc_id").alias("least"))
+    return members.select("doc_id", "n", "sid"), saved(label.join(least, "class").select("sid", "class", "least"))
+
+
+def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per row of docs."""
+    members, label = _labels(docs, doc, text)
     out = members.join(label, "sid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each class: the one with the least id (all its rows). Documents without an id stay."""
-    known = classes(docs, doc, text).where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
-    gone = saved(known.where("not first").select("__id"))
-    return docs.join(F.broadcast(gone) if gone.count() <= SMALL else gone, F.col(doc).cast("long") == F.col("__id"), "left_anti")
+    """docs with one row of each class: the one with the least id, and any one where that id (or no id) has several. Rows without words all stay."""
+    members, label = _labels(docs, doc, text)
+    known = saved(members.join(label, "sid", "left").select("doc_id", "n", F.col("doc_id").eqNullSafe(F.col("least")).alias("first")))
+    ids = known.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("first") | (F.col("n") == 0)).alias("stays"))
+    # an id of a single row decides by itself; rows of an id that stands in several (or of none) are looked at one by one
+    gone = saved(ids.where("doc_id is not null and rows = 1 and not stays").select("doc_id"))
+    many = saved(ids.where("doc_id is null or rows > 1").select("doc_id"))
+    own = fresh(docs, "own_id")
+    keyed = docs.withColumn(own, F.col(doc).cast("long"))
+    small = lambda df: F.broadcast(df.withColumnRenamed("doc_id", own)) if df.count() <= SMALL else df.withColumnRenamed("doc_id", own)
+    if not many.head(1):
+        return keyed.join(small(gone), own, "left_anti").drop(own)
+    split = keyed.join(small(gone), own, "left_anti")
+    single = split.where(F.col(own).isNotNull()).join(small(many.where("doc_id is not null")), own, "left_anti")
+    rest = keyed.where(F.col(own).isNull()).unionByName(keyed.join(small(many.where("doc_id is not null")), own, "left_semi").select(*[F.col(f"`{c}`") for c in keyed.columns]))
+    sid = fresh(rest, "set_id")
+
+    def name(batches):
+        for b in batches:
+            for rows, buf, off in T.slices(b, text):
+                own_sets = [set_id(s) if len(s) else None for s in shingles(buf, off)]
+                yield rows.append_column(sid, pa.array(own_sets, pa.int64()))
+
+    named = rest.mapInArrow(name, StructType([*rest.schema.fields, StructField(sid, LongType())]))
+    kind, least = fresh(named, "class"), fresh(named, "least")
+    named = named.join(label.select(F.col("sid").alias(sid), F.col("class").alias(kind), F.col("least").alias(least)), sid, "left")
+    wordless = named.where(F.col(sid).isNull())
+    firsts = named.where(F.col(sid).isNotNull() & F.col(own).eqNullSafe(F.col(least))).dropDuplicates([kind])
+    return single.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(wordless.select(*[F.col(f"`{c}`") for c in docs.columns])).unionByName(firsts.select(*[F.col(f"`{c}`") for c in docs.columns]))

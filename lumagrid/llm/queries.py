@@ -58,7 +58,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumagrid.llm.host_reputation import judge_urls
 
-    return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).drop("bad_rate", "lower_bound")
+    return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).withColumns({c: F.round(c, 6) for c in ("bad_rate", "lower_bound")})
 
 
 def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,9 +68,10 @@ def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lumagrid.llm.token_files import read_tokens, scratch_folder, write_tokens
+    from lumagrid.llm.shared import scratch_folder
+    from lumagrid.llm.token_files import read_tokens, write_tokens
 
-    folder = scratch_folder(spark)
+    folder = scratch_folder(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), folder, tokenizer_path())
     return read_tokens(spark, folder, tokens=False)
 

@@ -4,37 +4,103 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of rows that are sent to a Python worker at once, where the session says nothing else.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Scratch folders of each session, in the order in which they were written.
+_written: dict[str, list[str]] = {}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes too: 10,000 rows of long texts may be gigabytes."""
+    if int(spark.conf.get(_BATCH, str(2**31 - 1)).rstrip("bB") or 0) > 1 << 30:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a folder of our own only in local mode, where all is one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-llm-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession, name: str = "llm") -> str:
+    """A new folder name in the shared folder, known to `clean`."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and go on from the files: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
+    bounded_batches(spark)
+    path = scratch_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def clean(spark: SparkSession, since: int = 0) -> None:
+    """Delete scratch tables of this session; results that still read them must have been written before."""
+    own = _written.get(spark.sparkContext.applicationId, [])
+    for path in own[since:]:
+        _delete(spark, path)
+    del own[since:]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Scratch tables that are written inside are deleted at the end, but for those that the given function keeps."""
+    own = _written.setdefault(spark.sparkContext.applicationId, [])
+    since, kept = len(own), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = saved(df)
+        kept.append(own[-1])
+        return out
+
+    yield keep
+    inside = own[since:]
+    for path in inside:
+        if path not in kept:
+            _delete(spark, path)
+    own[since:] = [p for p in inside if p in kept]
+
+
 def partitions(df: DataFrame) -> int:
     """How many groups work that is dealt out by a hash should have: as many as the session's shuffles."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever its case."""
+    low = {c.lower() for c in df.columns}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns of these names, whatever their case (Spark's names clash without regard to it)."""
     low = {n.lower() for n in names}

@@ -141,3 +141,16 @@ def test_pivot_index_empty(spark):
     assert pivot_index.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     one = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in pivot_index.near_duplicates(one).collect()) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
+
+
+def test_rows_without_an_id_link(spark):
+    base = [f"w{k}" for k in range(60)]
+    near = base[:30] + ["x"] + base[31:]
+    far = [f"z{k}" for k in range(60)]
+    rows = [(None, " ".join(base)), (None, " ".join(near)), (None, " ".join(base)), (9, " ".join(far)), (9, " ".join(base[::-1])), (9, " ".join(far)), (4, " ".join(near)), (5, ""), (None, ""), (None, "q r s t u"), (None, "q r s t u")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, __id int")
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join.classes(docs).collect())
+    assert got == sorted([(0, 4)] * 3 + [(9, 9)] * 3 + [(4, 4), (5, 5), (0, 0), (0, 0), (0, 0)])
+    kept = ngram_join.first_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(4, " ".join(near)), (9, " ".join(far)), (9, " ".join(base[::-1])), (5, ""), (0, ""), (0, "q r s t u")])
