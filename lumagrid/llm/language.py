@@ -1,13 +1,13 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax, trained by SGD in numpy.
 
 A text is the mean of the embeddings of its hashed byte 1-, 2- and 3-grams (lower case). Embeddings and softmax are
-learned together on a bounded sample of labelled documents, at most per_language for each of at most languages
-languages; a part of the sample is kept back to set the temperature and the limit under which a prediction is rejected.
-Prediction runs over whole texts and uses nothing but the text.
+learned together on a bounded sample of labelled documents (`per_language` and `rows`); a part of the sample is kept back
+to set the temperature and the limit under which a prediction is rejected. Prediction runs over whole texts, in slices of
+bounded size or one long text, and uses nothing but the text.
 
 Defined results: texts that are null or have no letter are `und` with score 0; other texts get a learned language with
 its probability, and accepted says whether it passed the limit. Rows of one id are each predicted. If nothing can be
-learned, all texts are `und`.
+learned, all texts are `und`. An empty table gives an empty result; other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -111,17 +111,20 @@ def fit(samples: list[tuple[str, bytes, bytes]], size: int = 16, epochs: int = 1
     return Model(languages, np.ascontiguousarray((e @ w).T.astype(np.float64)), b.astype(np.float64), t, float(np.quantile(right, reject)) if len(right) else 0.0)
 
 
-def train(docs: DataFrame, per_language: int = 1000, languages: int = 64, lang: str = "lang", text: str = "text", doc: str = "doc_id") -> Model | None:
-    """Fit on labelled rows of docs: at most per_language rows each of the most frequent languages, chosen by a hash of the id."""
-    rows = docs.select(F.col(doc).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+def train(docs: DataFrame, per_language: int = 1000, rows: int = 16_000, lang: str = "lang", text: str = "text", doc: str = "doc_id") -> Model | None:
+    """Fit on a sample of labelled rows of docs: about per_language distinct texts of each language, or fewer if there are
+    so many languages that this would be more than rows in all; chosen by a hash, so that the sample does not depend on
+    how rows are dealt out. Its size is bounded by twice rows, whatever the input."""
+    known = docs.select(F.col(doc).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null").where(F.col("text").rlike("\\p{L}"))
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows).collect()
     if not counts:
         return None
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
-    share = F.lit(None)
-    for r in counts:
-        share = F.when(F.col("lang") == r.lang, F.lit(min(1.0, per_language / r["count"]) * (1 << 20))).otherwise(share)
-    chosen = rows.where(place < share).where(F.col("text").rlike("\\p{L}")).limit(2 * per_language * len(counts))
+    each = min(per_language, max(1, rows // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(r.lang, int(min(1.0, each / r["count"]) * (1 << 40))) for r in counts], "lang string, share long")
+    place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40))
+    chosen = known.join(F.broadcast(shares), "lang").withColumn("place", place).where("place < share or share = 0")
+    # copies of a text are one sample
+    chosen = chosen.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("place").alias("place"), F.first("text").alias("text")).orderBy("place", "lang", "h").limit(2 * rows)
     got = chosen.select("lang", "text").mapInArrow(_histograms, "lang string, keys binary, weights binary").collect()
     return fit([(r.lang, bytes(r["keys"]), bytes(r.weights)) for r in sorted(got, key=lambda r: (r.lang, bytes(r["keys"]), bytes(r.weights)))])
 
