@@ -8,8 +8,9 @@ correlation). A host is blocked when the lower bound of its posterior bad rate p
 The suffix is the last label of a host and the registered domain its last two; longer suffixes go in suffixes.
 
 Defined results: null urls and urls without '://' have empty host and path and are judged as host ''. Pages without a
-label only take a verdict; without any label no host is blocked. Labels of one page count once (bad if any says so). Repeated pages each get a row. Empty
-tables give empty results.
+label only take a verdict; without any label no host is blocked. Labels of one page count once (bad if any says so).
+Repeated pages each get a row, and count as trials of their own. Empty tables give empty results; very long urls are like
+others; other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from lumagrid.llm.shared import saved
 #: (verdict, host, path): the rules that come with the query.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
+#: Hosts up to which what is known of them is broadcast (at most about 300 bytes each).
+HOSTS = 100_000
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -84,6 +88,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     outcomes = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad).alias("bad"))
     known = host_reputation(pages.select("page_id", "host"), outcomes, **options)
     rule, said = rule_of(F.col("host"), F.col("path"), RULES if rules is None else rules)
-    out = pages.join(known.select("host", "bad_rate", "lower_bound", "blocked"), "host", "left")
+    known = saved(known.select("host", "bad_rate", "lower_bound", "blocked"))
+    # beyond that many hosts the join is a shuffle, whose popular hosts Spark splits (adaptive skew join)
+    out = pages.join(F.broadcast(known) if known.count() <= HOSTS else known, "host", "left")
     verdict = F.coalesce(said, F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "bad_rate", "lower_bound")

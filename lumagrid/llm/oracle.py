@@ -64,5 +64,5 @@ c AS (SELECT {_strength('ts')} AS k1, {_strength('ds')} AS k2, {_strength('hs')}
 m1 AS (SELECT suffix, (y + k1 * rate) / (n + k1) AS m1 FROM ts, c),
 m2 AS (SELECT domain, suffix, (y + k2 * m1) / (n + k2) AS m2 FROM ds JOIN m1 USING (suffix), c),
 ab AS (SELECT host, y + k3 * m2 AS a, n - y + k3 * (1 - m2) AS b FROM hs JOIN m2 USING (domain, suffix), c),
-v AS (SELECT host, a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) > 0.5 AS blocked FROM ab)
-SELECT page_id, host, path, {rule} AS rule, coalesce({said}, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict FROM pg LEFT JOIN v USING (host)"""
+v AS (SELECT host, a / (a + b) AS bad_rate, a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS lower_bound FROM ab)
+SELECT page_id, host, path, {rule} AS rule, coalesce({said}, CASE WHEN lower_bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(bad_rate, 6) AS bad_rate, round(lower_bound, 6) AS lower_bound FROM pg LEFT JOIN v USING (host)"""

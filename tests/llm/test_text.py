@@ -233,3 +233,38 @@ def test_language(spark):
     assert all((got[k].lang_pred, got[k].score) == ("und", 0.0) for k in (900, 901, 902)) and got[903].lang_pred == "xa"
     assert all(0 <= r.score <= 1 for r in got.values())
     assert language.predict(d, language.train(d.where("false"))).where("lang_pred != 'und'").count() == 0
+
+
+def test_language_sample_is_bounded_and_keeps_rare_languages(spark):
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(k, " ".join(letters[g % 26] * rng.randint(1, 3) + letters[g // 26] for _ in range(20)), f"l{g:03d}") for g in range(80) for k in range(6)]
+    rows += [(7, "same text again and again", "l000")] * 500  # one id with a hot text
+    d = frame(spark, rows, "doc_id long, text string, lang string")
+    assert language.train(d).languages == sorted({r[2] for r in rows})
+    assert language.train(d.repartition(7)).bias.tolist() == language.train(d.repartition(2)).bias.tolist()
+    few = language.train(d, rows=10)
+    assert 0 < len(few.languages) <= 10
+
+
+def test_a_bad_host_is_blocked_by_its_reputation(spark):
+    urls = [(k, f"https://{'bad.site' if k % 3 else 'www.good'}.example/p{k}") for k in range(150)] + [(500, "https://new.bad.site.example/x")]
+    labels = [(k, int(k % 3 == 0), 0) for k in range(150)]
+    got = {r.page_id: r for r in host_reputation.judge_urls(frame(spark, urls, "page_id long, url string"), frame(spark, labels, "doc_id long, quality int, toxic int")).collect()}
+    assert all(got[k].verdict == ("block" if k % 3 else "allow") for k in range(150))
+    assert got[0].lower_bound < 0.1 and got[1].lower_bound > 0.8
+    assert host_reputation.judge_urls(frame(spark, [], "page_id long, url string"), frame(spark, [], "doc_id long, quality int, toxic int")).count() == 0
+
+
+@pytest.mark.parametrize("text", ["x@" + "a." * 100_000 + "com", "1." * 100_000, "+" * 100_000, "+1 " * 60_000, "1 " * 100_000, "-" * 100_000 + "@", "a@" * 60_000])
+def test_long_texts_of_parts(spark, text):
+    d = frame(spark, [(1, text, "en", 1, "x")], DOCS)
+    r = disclosure.personal_data(d).collect()[0]
+    assert r.base_sha256 == hashlib.sha256(reference_spans(text).encode()).hexdigest()
+    assert disclosure.sanitise(d).count() == 1
+
+
+def test_names_that_clash(spark):
+    d = spark.createDataFrame([(1, "write to a@b.cd now", 5, 6, 7, 8)], "doc_id long, text string, spans int, row_key int, Spans_ int, __id int")
+    out = disclosure.sanitise(d)
+    assert out.columns == d.columns and tuple(out.collect()[0]) == (1, "write to [EMAIL] now", 5, 6, 7, 8)
