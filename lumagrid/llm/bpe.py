@@ -13,8 +13,8 @@ an empty result; a special token's string in a text is that token, as in the lib
 
 from __future__ import annotations
 
+import json
 import re
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +30,7 @@ from lumagrid.llm.shared import partitions
 #: Bytes of text from which on a document is halved.
 LONG = 1 << 15
 #: Distinct words that a worker keeps the tokens of.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 
 _OTHER, _LETTER, _DIGIT, _SPACE, _MARK, _QUOTE = range(6)
 _KIND = np.zeros(256, np.uint8)
@@ -44,8 +44,6 @@ _CUT = np.zeros((6, 6), bool)
 for _x, _ys in ((_LETTER, (_DIGIT, _SPACE, _MARK, _QUOTE)), (_DIGIT, (_LETTER, _SPACE, _MARK, _QUOTE)), (_MARK, (_LETTER, _DIGIT, _SPACE)), (_QUOTE, (_DIGIT, _SPACE))):
     _CUT[_x, list(_ys)] = True
 _CUT = _CUT.ravel()
-#: Texts that the split pattern leaves whole.
-_WHOLE = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ÿ]+|[ ]?[0-9]+|[ ]?[!-/:-@\\[-`{-~]+|[ \\n\\t]")
 
 
 def byte_letters() -> list[str]:
@@ -55,6 +53,25 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in kept else chr(next(moved)) for b in range(256)]
 
 
+def _word_encoder(told: dict):
+    """An encoder of words that are already split, from a tokenizers file; None where ids do not follow the order of merges.
+
+    Splitting and joining below hold for byte-level BPE with the usual split pattern only, so other files are refused.
+    """
+    split, model = told.get("pre_tokenizer") or {}, told["model"]
+    if told.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or model.get("type") != "BPE" or model.get("dropout") or model.get("ignore_merges"):
+        raise ValueError("not a file of byte-level BPE with the usual split pattern and no normalizer")
+    import tiktoken
+
+    vocab, to_byte = model["vocab"], {c: b for b, c in enumerate(byte_letters())}
+    special = {t["content"] for t in told.get("added_tokens", ())}
+    ranks = {bytes(to_byte[c] for c in k): i for k, i in vocab.items() if k not in special}
+    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if merged != sorted(set(merged)) or any(bytes([b]) not in ranks for b in range(256)) or len(ranks) != 256 + len(merged):
+        return None
+    return tiktoken.Encoding("words", pat_str=r" \p{L}+", mergeable_ranks=ranks, special_tokens={})
+
+
 class ByteBpe:
     """Encoder and decoder over batches of UTF-8 bytes; ids are as the tokenizers library gives them."""
 
@@ -62,13 +79,12 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            self.words = _word_encoder(json.load(file))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
         self.special = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        letters = byte_letters()
-        self.as_letters = {b: c for b, c in enumerate(letters)}
-        to_byte = {c: b for b, c in enumerate(letters)}
+        to_byte = {c: b for b, c in enumerate(byte_letters())}
         size = self.tokenizer.get_vocab_size(True)
         parts = []
         for i in range(size):
@@ -80,26 +96,31 @@ class ByteBpe:
         self._forget()
 
     def _forget(self):
-        self.known: dict[int, int] = {}  # word hash to its place in pool
-        self.pool, self.pool_at, self.pool_n = array("I"), array("q", [0]), array("q")
-
-    def _learn(self, hashes: list[int], words: list[bytes]) -> None:
-        hard = []
-        for h, w in zip(hashes, words):
-            s = w.decode("utf-8", "replace")
-            ids = [t.id for t in self.model.tokenize(w.decode("latin-1").translate(self.as_letters))] if _WHOLE.fullmatch(s) else None
-            if ids is None:
-                hard.append((h, s))
-            else:
-                self._keep(h, ids)
-        for (h, _), e in zip(hard, self.tokenizer.encode_batch_fast([s for _, s in hard], add_special_tokens=False) if hard else ()):
-            self._keep(h, e.ids)
-
-    def _keep(self, h: int, ids: list[int]) -> None:
-        self.known[h] = len(self.pool_n)
-        self.pool.extend(ids)
-        self.pool_n.append(len(ids))
-        self.pool_at.append(len(self.pool))
+        self.known = np.zeros(0, np.uint64)  # word hashes in order
+        self.place = np.zeros(0, np.int64)  # of each in the lists below
+        self.pool, self.pool_at, self.pool_n = (np.zeros(0, t) for t in (np.uint32, np.int64, np.int64))
+
+    def _learn(self, hashes: np.ndarray, joined: bytes, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray) -> None:
+        """Keep the tokens of new words; plain ones (a space and letters) are encoded in one text, which splits at them."""
+        ids, n = np.zeros(0, np.uint32), np.zeros(len(hashes), np.int64)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        if plain.any():
+            data = b"".join([joined[a:b] for a, b in zip(starts[plain].tolist(), ends[plain].tolist())])
+            ids = np.array(self.words.encode_ordinary(data.decode()) if self.words else self.tokenizer.encode_batch_fast([data.decode()], add_special_tokens=False)[0].ids, np.uint32)
+            edge = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum((ends - starts)[plain])) + 1
+            n[plain] = np.diff(edge, prepend=0)
+        rest = [joined[a:b].decode("utf-8", "replace") for a, b in zip(starts[~plain].tolist(), ends[~plain].tolist())]
+        if rest:
+            own = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            n[~plain] = [len(x) for x in own]
+            ids = np.concatenate([ids, np.array([i for x in own for i in x], np.uint32)])
+        base = len(self.pool_n)
+        self.pool_at = np.concatenate([self.pool_at, len(self.pool) + np.cumsum(n[order]) - n[order]])
+        self.pool, self.pool_n = np.concatenate([self.pool, ids]), np.concatenate([self.pool_n, n[order]])
+        hashes = hashes[order]
+        up = np.argsort(hashes)
+        at = np.searchsorted(self.known, hashes[up])
+        self.known, self.place = np.insert(self.known, at, hashes[up]), np.insert(self.place, at, base + up)
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a slice one after another, and the number of ids of each row."""
@@ -123,12 +144,15 @@ class ByteBpe:
             self._forget()
         first = np.empty(len(found), np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
-        keys = found.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.known]
-        where = first[new]
-        self._learn([keys[k] for k in new], [joined[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())])
-        at = np.fromiter((self.known[h] for h in keys), np.int64, len(keys))[codes]
-        pool, pool_at, pool_n = np.frombuffer(self.pool, np.uint32), np.frombuffer(self.pool_at, np.int64), np.frombuffer(self.pool_n, np.int64)
+        on = np.minimum(np.searchsorted(self.known, found), max(0, len(self.known) - 1))
+        new = self.known[on] != found if len(self.known) else np.ones(len(found), bool)
+        if new.any():
+            odd = np.concatenate([[0], np.cumsum(kind != _LETTER)])
+            a, b = starts[first[new]], ends[first[new]]
+            self._learn(found[new], joined, a, b, (buf[a] == 32) & (b - a > 1) & (odd[b] == odd[np.minimum(a + 1, b)]))
+            on = np.searchsorted(self.known, found)
+        at = self.place[on][codes]
+        pool, pool_at, pool_n = self.pool, self.pool_at, self.pool_n
         n = pool_n[at]
         total = np.concatenate([[0], np.cumsum(n)])
         ids = pool[np.arange(total[-1]) - np.repeat(total[:-1], n) + np.repeat(pool_at[at], n)]
