@@ -8,14 +8,16 @@ documents of low quality choose the level of the quantiles. Each group's median
 it are drawn towards those of its language, its length class and all documents, the more the fewer documents it has.
 Texts that stand in the counts are more predictable than others: the lower limit does not hold for them.
 
-A table of up to BROADCAST probabilities goes to the tasks; a larger one is joined to the documents' n-grams by shuffle.
+The mean hides a few words that no trusted text would use. So the same model also counts a document's surprises, bytes
+that cost ODD bits or more, and their number is held to its own upper quantile of the same groups.
 
-Perplexity cannot see a clean text with an abusive word in it. So words that stand in toxic labelled documents far more
-often than in others (a likelihood-ratio test, on a bounded sample of labelled rows) reject a document too.
+A table of up to BROADCAST probabilities goes to the tasks; a larger one is joined to the documents' n-grams by shuffle.
+Both give the same results.
 
-Defined results: null and empty texts have no perplexity and are rejected; documents with a language without trusted
-text, or without a language, are held to the quantiles over all languages; if there is no trusted text, all with text
-are kept. Rows of one id are judged each; other columns are kept as they are.
+Defined results: null and empty texts have no perplexity (1, without surprises) and are rejected; documents with a
+language without trusted text, or without a language, are held to the quantiles over all languages; if there is no
+trusted text, all with text are kept; an empty table gives an empty result. Long texts are judged whole. Rows of one id
+are judged each; other columns, whatever their names, are kept as they are.
 """
 
 from __future__ import annotations
@@ -25,10 +27,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from lumagrid.llm import text as T
 from lumagrid.llm.mixing import _merge, sixes
-from lumagrid.llm.shared import SMALL, only, saved
+from lumagrid.llm.shared import SMALL, fresh, only, saved
 
 ORDER = 5
 BROADCAST = 4_000_000
@@ -42,8 +45,10 @@ MEDIAN_PRIOR, SPREAD_PRIOR = 5, 100
 STEPS = 128
 #: One trusted document in so many is left out of the counts and sets the limits.
 ASIDE = 4
-#: Labelled rows, toxic and others, that the word test looks at.
-TOXIC_ROWS, OTHER_ROWS = 5_000, 20_000
+#: Bits from which on a byte is a surprise, and the quantile of their number in trusted documents that is the limit.
+ODD, ODD_LEVEL = 11.0, 0.999
+#: Languages, the most frequent ones, that may have limits of their own; what each needs in the driver is bounded.
+LANGUAGES = 50_000
 
 
 def _grams(batches):
@@ -121,14 +126,16 @@ class Model:
         out[open_] += 8.0
         return out
 
-    def bits(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    def bits(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of each text, and how many of its bytes cost ODD or more."""
         code, found = pd.factorize(sixes(buf, off) & np.uint64((1 << 8 * self.order) - 1))
-        run = np.concatenate([[0.0], np.cumsum(self.cost(found)[code])])
-        return run[off[1:]] - run[off[:-1]]
+        cost = self.cost(found)[code]
+        run, odd = np.concatenate([[0.0], np.cumsum(cost)]), np.concatenate([[0], np.cumsum(cost >= ODD)])
+        return run[off[1:]] - run[off[:-1]], odd[off[1:]] - odd[off[:-1]]
 
 
 def joined_bits(rows: DataFrame, table: DataFrame, order: int = ORDER) -> DataFrame:
-    """rows (key, text) with n_bytes and bits, by joins with a table of kneser_ney of any size."""
+    """rows (key, text) with n_bytes, bits and odd, by joins with a table of kneser_ney of any size."""
 
     def grams(batches):
         for batch in batches:
@@ -146,43 +153,14 @@ def joined_bits(rows: DataFrame, table: DataFrame, order: int = ORDER) -> DataFr
         own = F.expr(f"gram & {(1 << 8 * k) - 1}L")
         p = table.where(f"k = {k} and p is not null").select(F.col("gram").alias("at"), F.log2("p").alias("lp"))
         g = table.where(f"k = {k} and g is not null").select(F.col("gram").alias("before"), F.log2("g").alias("lg"))
+        if k <= 2:  # at most 256 ** k rows, of which a shuffle would make hot keys
+            p, g = F.broadcast(p), F.broadcast(g)
         cost = cost.withColumns({"at": own, "before": F.shiftright(own, 8)}).join(p, "at", "left").join(g, "before", "left")
         more = F.when(~F.col("open"), 0.0).when(F.col("lp").isNotNull(), -F.col("lp")).otherwise(-F.coalesce("lg", F.lit(0.0)))
         cost = cost.select("gram", (F.col("bits") + more).alias("bits"), (F.col("open") & F.col("lp").isNull()).alias("open"))
     cost = cost.select("gram", (F.col("bits") + F.when(F.col("open"), 8.0).otherwise(0.0)).alias("bits"))
-    return pairs.join(cost, "gram").groupBy("key").agg(F.sum("n").alias("n_bytes"), F.sum(F.col("n") * F.col("bits")).alias("bits"))
-
-
-def abusive_words(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text") -> np.ndarray:
-    """Hashes of the words that mark toxic documents, from at most TOXIC_ROWS and OTHER_ROWS labelled rows."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    some = [known.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in (("toxic = 1", TOXIC_ROWS), ("toxic != 1", OTHER_ROWS))]
-    chosen = F.broadcast(some[0].unionByName(some[1]))  # bounded by the two parameters
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).join(chosen, "doc_id")
-
-    def words(batches):
-        for batch in batches:
-            for part, buf, off in T.slices(batch, "text"):
-                low = T.LOWER[buf]
-                starts, ends, at = T.spans(low, off, T.ALNUM)
-                h, row = T.hashes(low, starts, ends), np.repeat(np.arange(part.num_rows), np.diff(at))
-                o = np.lexsort([h, row])
-                h, row = h[o], row[o]
-                new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.zeros(0, bool)
-                toxic = part.column(1).to_numpy()[row[new]] == 1
-                found, code = np.unique(h[new], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.bincount(code, weights=toxic, minlength=len(found)).astype(np.int64)), pa.array(np.bincount(code, minlength=len(found)).astype(np.int64))], ["w", "t", "n"])
-
-    size = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    toxic = size.get(1, 0)
-    if not toxic or toxic == sum(size.values()):
-        return np.zeros(0, np.uint64)
-    p = toxic / sum(size.values())
-    table = saved(rows.select("text", "toxic").mapInArrow(words, "w long, t long, n long").groupBy("w").agg(F.sum("t").alias("t"), F.sum("n").alias("n")))
-    limit = float(np.log(max(1, table.count())) + 5)
-    gain = F.expr(f"t * ln(t / (n * {p!r}D)) + case when n > t then (n - t) * ln((n - t) / (n * {1 - p!r}D)) else 0 end")
-    found = table.where("t > 0.9 * n").where(gain > limit).orderBy(F.desc("t"), "w").limit(10_000).select("w").toArrow()["w"]
-    return np.sort(found.to_numpy().astype(np.int64).view(np.uint64))
+    odd = F.sum(F.when(F.col("bits") >= ODD, F.col("n")).otherwise(0))
+    return pairs.join(cost, "gram").groupBy("key").agg(F.sum("n").alias("n_bytes"), F.sum(F.col("n") * F.col("bits")).alias("bits"), odd.alias("odd"))
 
 
 def _quantile(values: np.ndarray, n: np.ndarray, q: float) -> float:
@@ -246,32 +224,63 @@ def limits_by_group(rows: pd.DataFrame, levels=LEVELS) -> dict:
     return {g: (float(2 ** (np.floor(v[i]) / STEPS)), float(2 ** ((np.floor(v[len(lower) + j]) + 1) / STEPS))) for g, v in found.items()}
 
 
+def odd_limits(rows: pd.DataFrame, level: float = ODD_LEVEL) -> dict:
+    """rows (lang, size, ok, odd, n): most surprises by language (None: any) and length class."""
+    good = rows[rows["ok"]].rename(columns={"odd": "step"})
+    if not len(good):
+        return {}
+    found = {(None, k): v for (_, k), v in _by_group(good.assign(lang=""), [level]).items()} | _by_group(good, [level])
+    return {g: float(np.ceil(max(v[0], 0.0))) for g, v in found.items()}
+
+
 class Judge:
     """All that a decision needs."""
 
-    def __init__(self, model: Model | None, limits: dict, words: np.ndarray):
-        self.model, self.limits, self.words = model, limits, words
+    def __init__(self, model: Model | None, limits: dict, most: dict):
+        self.model, self.limits, self.most = model, limits, most
 
-    def __call__(self, langs: list, seen: np.ndarray, buf: np.ndarray, off: np.ndarray):
-        """Perplexity, lower and upper limit, whether an abusive word stands in it, and whether it is kept."""
+    def measure(self, buf: np.ndarray, off: np.ndarray):
+        """Perplexity and surprises of each text."""
         size = np.diff(off)
-        perplexity = np.exp2(np.minimum(self.model.bits(buf, off) / np.maximum(size, 1), 60)) if self.model else np.ones(len(size))
-        kind = np.searchsorted(CLASSES, size, "right")
-        lo, hi = np.array([self.limits.get((g, k)) or self.limits.get((None, k)) or (0.0, np.inf) for g, k in zip(langs, kind.tolist())]).reshape(-1, 2).T
+        if not self.model:
+            return np.ones(len(size)), np.zeros(len(size), np.int64)
+        bits, odd = self.model.bits(buf, off)
+        return np.exp2(np.minimum(bits / np.maximum(size, 1), 60)), odd
+
+    def decide(self, langs: list, seen: np.ndarray, size: np.ndarray, perplexity: np.ndarray, odd: np.ndarray):
+        """Lower and upper limit of perplexity, limit of surprises, and whether each text is kept."""
+        groups = list(zip(langs, np.searchsorted(CLASSES, size, "right").tolist()))
+        lo, hi = np.array([self.limits.get(g) or self.limits.get((None, g[1])) or (0.0, np.inf) for g in groups]).reshape(-1, 2).T
+        most = np.array([self.most.get(g, self.most.get((None, g[1]), np.inf)) for g in groups], float)
         lo = np.where(seen, 0.0, lo)
-        low = T.LOWER[buf]
-        starts, ends, at = T.spans(low, off, T.ALNUM)
-        bad = np.concatenate([[0], np.cumsum(np.isin(T.hashes(low, starts, ends), self.words))])
-        abusive = bad[at[1:]] > bad[at[:-1]]
-        return perplexity, lo, hi, abusive, (size > 0) & (perplexity >= lo) & (perplexity <= hi) & ~abusive
+        return lo, hi, most, (size > 0) & (perplexity >= lo) & (perplexity <= hi) & (odd <= most)
+
 
+def _flagged(docs: DataFrame, text: str, seen: DataFrame, flag: str) -> DataFrame:
+    """docs with a column that says whether the text stands in the counts."""
+    h, s = fresh(docs, "text_hash"), fresh(docs, "seen_hash")
+    seen = seen.select(F.col("h").alias(s), F.lit(True).alias(flag))
+    joined = docs.withColumn(h, F.xxhash64(text)).join(F.broadcast(seen) if seen.count() <= SMALL else seen, F.col(h) == F.col(s), "left")
+    return joined.withColumn(flag, F.coalesce(flag, F.lit(False))).drop(h, s)
 
-def _flagged(docs: DataFrame, text: str, seen: DataFrame) -> DataFrame:
-    """docs with __seen: whether the text stands in the counts."""
-    seen = seen.withColumn("__seen", F.lit(True))
-    hashed = docs.withColumn("__h", F.xxhash64(text))
-    joined = hashed.join(F.broadcast(seen) if seen.count() <= SMALL else seen, F.col("__h") == F.col("__s"), "left")
-    return joined.withColumn("__seen", F.coalesce("__seen", F.lit(False))).drop("__h", "__s")
+
+def _measured(rows: DataFrame, judge: Judge, table: DataFrame | None) -> DataFrame:
+    """rows (text, ...) with n_bytes, perplexity and odd: by the judge's model, or by joins with the table."""
+    if table is not None:
+        # the key must stand in files: it is read for both sides of a join
+        rows = saved(rows.withColumn("key", F.monotonically_increasing_id()))
+        out = rows.join(joined_bits(rows, table), "key", "left").drop("key")
+        return out.select(*rows.drop("key").columns, F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"), F.expr("case when n_bytes > 0 then pow(2D, least(60D, bits / n_bytes)) else 1D end").alias("perplexity"), F.coalesce("odd", F.lit(0)).alias("odd"))
+    sent = rows.sparkSession.sparkContext.broadcast(judge)
+
+    def work(batches):
+        for batch in batches:
+            for part, buf, off in T.slices(batch, "text"):
+                perplexity, odd = sent.value.measure(buf, off)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(off), pa.int64()), pa.array(perplexity), pa.array(odd, pa.int64())], [*part.schema.names, "n_bytes", "perplexity", "odd"])
+
+    more = [StructField("n_bytes", LongType()), StructField("perplexity", DoubleType()), StructField("odd", LongType())]
+    return rows.mapInArrow(work, StructType([*rows.schema.fields, *more]))
 
 
 def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang", levels=LEVELS, broadcast: int = BROADCAST) -> tuple[Judge, DataFrame | None, DataFrame]:
@@ -280,84 +289,74 @@ def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
     good, poor = known.where("q = 1"), known.where("most = 0")
     slim = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     trusted = only(slim, good, "doc_id").where("length(text) > 0")
-    words = abusive_words(docs, labels, doc, text)
     # limits come from trusted documents that the counts have not seen
     aside = F.pmod(F.xxhash64("doc_id"), F.lit(ASIDE)) == 0
     table = kneser_ney(trusted.where(~aside))
-    seen = saved(trusted.where(~aside).select(F.xxhash64("text").alias("__s")).distinct())
+    seen = saved(trusted.where(~aside).select(F.xxhash64("text").alias("h")).distinct())
     n = table.count()
     if not n:
-        return Judge(None, {}, words), None, seen
-    held = trusted.where(aside).withColumn("ok", F.lit(True)).unionByName(only(slim, poor, "doc_id").where("length(text) > 0").withColumn("ok", F.lit(False))).select("text", "lang", "ok")
-    model = Model(table.toArrow()) if n <= broadcast else None
-    if model:
-
-        sent = docs.sparkSession.sparkContext.broadcast(model)
-
-        def measure(batches):
-            model = sent.value
-            for batch in batches:
-                for rows, buf, off in T.slices(batch, "text"):
-                    yield pa.RecordBatch.from_arrays([rows.column(1), rows.column(2), pa.array(np.searchsorted(CLASSES, np.diff(off), "right"), pa.int32()), pa.array(np.exp2(model.bits(buf, off) / np.maximum(np.diff(off), 1)))], ["lang", "ok", "size", "perplexity"])
-
-        own = held.mapInArrow(measure, "lang string, ok boolean, size int, perplexity double")
-    else:
-        own = measured(held.withColumn("key", F.monotonically_increasing_id()), table).select("lang", "ok", "size", "perplexity")
-    own = saved(own.groupBy("lang", "size", "ok", F.floor(F.log2("perplexity") * STEPS).alias("step")).agg(F.count("*").alias("n")))
-    often = own.where("ok and lang is not null").groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(2000).select("lang", F.col("lang").alias("own"))
-    rows = own.join(F.broadcast(often), "lang", "left").groupBy(F.col("own").alias("lang"), "size", "ok", "step").agg(F.sum("n").alias("n")).toArrow().to_pandas()
-    return Judge(model, limits_by_group(rows, levels), words), None if model else table, seen
-
-
-def measured(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """rows (key, text, ...) with size class and perplexity by joins."""
-    size = F.expr("case " + " ".join(f"when octet_length(text) < {c} then {k}" for k, c in enumerate(CLASSES)) + f" else {len(CLASSES)} end")
-    out = rows.join(joined_bits(rows, table), "key", "left")
-    return out.withColumns({"size": size, "perplexity": F.expr("case when n_bytes > 0 then pow(2D, least(60D, bits / n_bytes)) else 1D end")})
+        return Judge(None, {}, {}), None, seen
+    judge = Judge(Model(table.toArrow()) if n <= broadcast else None, {}, {})
+    rest = None if judge.model else table
+    held = trusted.where(aside).withColumn("ok", F.lit(True)).unionByName(only(slim, poor, "doc_id").where("length(text) > 0").withColumn("ok", F.lit(False)))
+    size = F.expr("case " + " ".join(f"when n_bytes < {c} then {k}" for k, c in enumerate(CLASSES)) + f" else {len(CLASSES)} end")
+    own = _measured(held.select("text", "lang", "ok"), judge, rest).select("lang", "ok", size.alias("size"), F.floor(F.log2("perplexity") * STEPS).alias("step"), "odd")
+    own = saved(own.groupBy("lang", "size", "ok", "step", "odd").agg(F.count("*").alias("n")))
+    often = own.where("ok and lang is not null").groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang", F.col("lang").alias("own"))
+    rows = own.join(F.broadcast(often), "lang", "left")
+    judge.limits, judge.most = (make(rows.groupBy(F.col("own").alias("lang"), "size", "ok", c).agg(F.sum("n").alias("n")).toArrow().to_pandas(), *more) for make, c, more in ((limits_by_group, "step", (levels,)), (odd_limits, "odd", ())))
+    return judge, rest, seen
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
-    """doc_id, lang, perplexity, lower, upper, abusive, kept; one row per row of docs."""
+    """doc_id, lang, perplexity, lower, upper, surprises, most, kept; one row per row of docs."""
     judge, table, seen = train(docs, labels, doc, text, lang, **options)
     slim = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    if table is not None:
-        slim = measured(slim.withColumn("key", F.monotonically_increasing_id()), table).select("doc_id", "text", "lang", "perplexity")
-    slim = _flagged(slim, "text", seen)
+    return _judged(_flagged(slim, "text", seen, "seen"), judge, table)
+
 
-    sent, joined = docs.sparkSession.sparkContext.broadcast(judge), table is not None
+def _judged(slim: DataFrame, judge: Judge, table: DataFrame | None) -> DataFrame:
+    if table is not None:
+        slim = _measured(slim, judge, table).drop("text")
+    sent, joined = slim.sparkSession.sparkContext.broadcast(judge), table is not None
 
     def work(batches):
         judge = sent.value
         for batch in batches:
-            for rows, buf, off in T.slices(batch, "text"):
-                p, lo, hi, abusive, kept = judge(rows.column("lang").to_pylist(), rows.column("__seen").to_numpy(zero_copy_only=False), buf, off)
-                if joined:
-                    p = rows.column("perplexity").to_numpy(zero_copy_only=False)
-                    kept = (np.diff(off) > 0) & (p >= lo) & (p <= hi) & ~abusive
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("lang"), pa.array(p), pa.array(lo), pa.array(hi), pa.array(abusive), pa.array(kept)], ["doc_id", "lang", "perplexity", "lower", "upper", "abusive", "kept"])
+            for rows, size, perplexity, odd in _numbers(batch, judge, joined):
+                lo, hi, most, kept = judge.decide(rows.column("lang").to_pylist(), rows.column("seen").to_numpy(zero_copy_only=False), size, perplexity, odd)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("lang"), pa.array(perplexity), pa.array(lo), pa.array(hi), pa.array(odd, pa.int64()), pa.array(most), pa.array(kept)], ["doc_id", "lang", "perplexity", "lower", "upper", "surprises", "most", "kept"])
+
+    return slim.mapInArrow(work, "doc_id long, lang string, perplexity double, lower double, upper double, surprises long, most double, kept boolean")
 
-    return slim.mapInArrow(work, "doc_id long, lang string, perplexity double, lower double, upper double, abusive boolean, kept boolean")
+
+def _numbers(batch: pa.RecordBatch, judge: Judge, joined: bool, text: str = "text"):
+    """Slices of a batch with bytes, perplexity and surprises of each row: measured here, or columns of the batch."""
+    if joined:
+        yield batch, *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_bytes", "perplexity", "odd"))
+        return
+    for rows, buf, off in T.slices(batch, text):
+        yield rows, np.diff(off), *judge.measure(buf, off)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
     """The rows of docs that the classifier keeps, with all their columns."""
     judge, table, seen = train(docs, labels, doc, text, lang, **options)
-    if table is not None:
-        # beyond the broadcast: decide by joins on a row key
-        keyed = docs.withColumn("__key", F.monotonically_increasing_id())
-        bits = joined_bits(keyed.select(F.col("__key").alias("key"), F.col(text).alias("text")), table).select(F.col("key").alias("__key"), F.expr("pow(2D, least(60D, bits / n_bytes))").alias("__p"))
-        docs = keyed.join(bits, "__key", "left").drop("__key")
-    docs = _flagged(docs, text, seen)
-    sent, joined = docs.sparkSession.sparkContext.broadcast(judge), table is not None
+    whole = docs.schema
+    if table is not None:  # decide by joins on a key that stands in files, and join the decision back
+        key = fresh(docs, "row_key")
+        docs = saved(docs.withColumn(key, F.monotonically_increasing_id()))
+        slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+        kept = _judged(_flagged(slim, "text", seen, "seen"), judge, table).where("kept").select(F.col("doc_id").alias(key))
+        return docs.join(kept, key, "left_semi").drop(key)
+    flag = fresh(docs, "seen")
+    sent = docs.sparkSession.sparkContext.broadcast(judge)
 
     def work(batches):
         judge = sent.value
         for batch in batches:
-            for rows, buf, off in T.slices(batch, text):
-                p, lo, hi, abusive, kept = judge(rows.column(lang).cast(pa.string()).to_pylist(), rows.column("__seen").to_numpy(zero_copy_only=False), buf, off)
-                if joined:
-                    p = rows.column("__p").fill_null(1.0).to_numpy(zero_copy_only=False)
-                    kept = (np.diff(off) > 0) & (p >= lo) & (p <= hi) & ~abusive
-                yield rows.filter(pa.array(kept))
-
-    return docs.mapInArrow(work, docs.schema).drop("__p", "__seen")
+            for rows, size, perplexity, odd in _numbers(batch, judge, False, text):
+                *_, kept = judge.decide(rows.column(lang).cast(pa.string()).to_pylist(), rows.column(flag).to_numpy(zero_copy_only=False), size, perplexity, odd)
+                yield rows.filter(pa.array(kept)).select(whole.names)
+
+    return _flagged(docs, text, seen, flag).mapInArrow(work, whole)

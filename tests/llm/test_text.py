@@ -196,10 +196,9 @@ def test_quality(spark):
     rng, rows, labels = trusted_rows()
     junk = [(1000 + k, "".join(rng.choice("#%&$*!@XQZ ") for _ in range(300)), "en", 1, "x") for k in range(10)]
     loops = [(1100, "dog " * 100, "en", 1, "x")]
-    toxic = [(1200 + k, english(rng, 30) + " zounder " + english(rng, 30), "en", 1, "x") for k in range(60)]
-    labels += [(1200 + k, 1, 1) for k in range(50)]
+    odd = [(1200 + k, english(rng, 30) + " zo\u00fcXnd\u00e9r#q " + english(rng, 30), "en", 1, "x") for k in range(60)]  # one strange word
     others = [(2000, None, "en", 1, "x"), (2001, "", None, 1, "x"), (2002, english(rng, 60), None, 1, "x"), (0, rows[0][1], "en", 1, "x")]
-    d, l = frame(spark, rows + junk + loops + toxic + others, DOCS), frame(spark, labels, "doc_id long, quality int, toxic int")
+    d, l = frame(spark, rows + junk + loops + odd + others, DOCS), frame(spark, labels, "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in quality.classify(d, l).collect()}
     assert np.mean([got[k].kept for k in range(200, 400)]) > 0.95
     assert not any(got[k].kept for k in [*range(1000, 1010), 1100, 2000, 2001, *range(1200, 1260)]) and got[2002].kept
@@ -212,6 +211,47 @@ def test_quality(spark):
     assert quality.classify(d.where("false"), l).count() == 0
 
 
+def brute_kneser_ney(texts, order):
+    """Interpolated modified Kneser-Ney by the book: probability of a byte after order - 1 others (zeros before a text)."""
+    top = Counter()
+    for t in texts:
+        padded = bytes(order - 1) + t.encode()
+        top.update(padded[k : k + order] for k in range(len(t.encode())))
+    counts = {order: top}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    cut = {}
+    for k, c in counts.items():
+        n = [sum(v == r for v in c.values()) for r in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else 0.5
+        cut[k] = [0.0] + [min(max(r - (r + 1) * y * n[r + 1] / n[r], 0.05 * r), 0.95 * r) if n[r] and n[r + 1] else 0.5 * min(r, 1.5) for r in (1, 2, 3)]
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / 256
+        own = [(g, v) for g, v in counts[k].items() if g[:-1] == gram[:-1]]
+        total = sum(v for _, v in own)
+        if not total:
+            return p(gram[1:])
+        left = sum(cut[k][min(v, 3)] for _, v in own) / total
+        v = counts[k][gram]
+        return max(v - cut[k][min(v, 3)], 0) / total + left * p(gram[1:])
+
+    return p
+
+
+def test_kneser_ney_equals_the_definition(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("abcé ", [5, 3, 2, 1, 4], k=rng.randint(1, 60))) for _ in range(25)]
+    m = quality.Model(quality.kneser_ney(frame(spark, list(enumerate(texts)))).toArrow())
+    p = brute_kneser_ney(texts, quality.ORDER)
+    for _ in range(300):
+        gram = bytes(rng.choice(b"abc\xc3\xa9 zq\x00") for _ in range(quality.ORDER))
+        bits = m.cost(np.array([int.from_bytes(gram, "big")], np.uint64))[0]
+        assert 2.0**-bits == pytest.approx(p(gram), rel=1e-9)
+
+
 def test_kneser_ney_sums_to_one(spark):
     rng, rows, _ = trusted_rows(n=40)
     m = quality.Model(quality.kneser_ney(frame(spark, rows, DOCS)).toArrow())
