@@ -14,7 +14,7 @@ from lumagrid.llm.disclosure import sanitise
 from lumagrid.llm.ngram_join import first_of_each
 from lumagrid.llm.quality import keep_good
 from lumagrid.llm.queries import tokenizer_path
-from lumagrid.llm.shared import saved, table
+from lumagrid.llm.shared import scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,13 +44,14 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("personal_data", personal_data), ("encoding", encoding)]
 
-#: Perplexities and token ids are beyond SQL; the stages are tested against brute force in tests/llm.
+#: Perplexities and token ids are beyond SQL: tests/llm holds each stage against a plain version of its operator.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written before the next one reads it."""
+    """All stages over documents, each written before the next one reads it; what a stage wrote for itself is deleted then."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if k == 0 else saved(docs), sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scratch(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
