@@ -1,14 +1,16 @@
 """Benchmark decontamination with suffix arrays over the training texts.
 
-Every slice of documents is a shard with a suffix array over its words. Each test suffix is looked up in each shard by
-binary search, word by word, so that the interval left after a window's length holds all places where that window
-stands verbatim; places are then extended to the longest match. Suffixes whose first words open no test window cannot
-match and are left out of the sort. No shuffle is needed: documents stay where they are, and the test set, whose size
-is measured first, is sent out in pieces of bounded size.
+Every slice of documents is a shard with a suffix array over all its words, in order of the first sixteen words of each
+suffix (prefix doubling). Each test suffix is looked up in each shard by binary search, word by word, so that the
+interval left after a window's length holds all places where that window stands verbatim; places are then extended to
+the longest match. A bit table of the shard's openings spares the search for suffixes whose first words it does not
+have. No shuffle is needed: documents stay where they are, and the test set, whose size is measured first, is broadcast
+in pieces of bounded size. Words are known by 64-bit hashes.
 
 Defined results: null or wordless text has no words and is not contaminated; null or wordless items have no window;
-items without an id have windows that hit, but name no item;
-repeated rows are judged each on its own; an empty table gives an empty result; other columns are never looked at.
+items without an id have windows that hit, but name no item and no longest match; repeated rows are judged each on its
+own, in one pass or several; long texts are one slice; an empty table gives an empty result; other columns are never
+looked at, and kept by `decontaminate`.
 """
 
 from __future__ import annotations
@@ -29,6 +31,23 @@ WINDOW = 10
 PIECE_CHARS = 8_000_000
 
 
+def suffix_array(h: np.ndarray, depth: int) -> np.ndarray:
+    """Places in order of the words from there on, compared to a depth of at least so many words (nothing sorts first)."""
+    first = np.argsort(h, kind="stable")
+    rank = np.empty(len(h), np.int64)
+    rank[first] = np.cumsum(np.concatenate([[1], (h[first][1:] != h[first][:-1]).astype(np.int64)])) if len(h) else 0
+    done = 1
+    while done < depth:
+        key = rank * (len(h) + 2)
+        key[: len(h) - done] += rank[done:]
+        first = np.argsort(key, kind="stable")
+        rank[first] = np.cumsum(np.concatenate([[1], (key[first][1:] != key[first][:-1]).astype(np.int64)])) if len(h) else 0
+        done *= 2
+        if len(h) and rank[first[-1]] == len(h):
+            break
+    return first
+
+
 class TestSuffixes:
     """The suffixes of the test items at which a window starts."""
 
@@ -53,9 +72,9 @@ class TestSuffixes:
         self.item, self.at, self.size = (np.array(x, np.int64) for x in (item, at, size))
         self.lead = int(min(3, self.size.min())) if size else 0
         self.rest = [h[rows[k] : rows[k + 1]] for k in range(len(ids))]
-        self.openings = np.zeros(1 << 22, bool)
-        if self.lead:
-            self.openings[self._slot(*(self.words[:, k] for k in range(self.lead)))] = True
+        self.opening = self._slot(*(self.words[:, k] for k in range(self.lead))) if self.lead else None
+        order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or ""))
+        self.rank = np.argsort(order)  # of each item among ids as strings
 
     @staticmethod
     def _slot(*words: np.ndarray) -> np.ndarray:
@@ -69,17 +88,21 @@ class TestSuffixes:
         none = np.zeros(0, np.int64)
         if not self.lead or not len(h):
             return none, none
+        at = suffix_array(h, self.window)
+        n = len(h)
         h = np.concatenate([h, np.zeros(self.window, np.uint64)])
-        n = len(h) - self.window
-        at = np.flatnonzero(self.openings[self._slot(*(h[k : n + k] for k in range(self.lead)))])
-        at = at[np.lexsort([h[at + k] for k in reversed(range(self.window))])]
-        who, lo, hi = np.arange(len(self.item)), np.zeros(len(self.item), np.int64), np.full(len(self.item), len(at))
+        opens = np.zeros(1 << 22, bool)
+        opens[self._slot(*(h[k : n + k] for k in range(self.lead)))] = True
+        who = np.flatnonzero(opens[self.opening])
+        lo, hi = np.zeros(len(who), np.int64), np.full(len(who), n)
         found = [(none, none, none)]
         for d in range(self.window):
             column, key = h[at + d], self.words[who, d]
             lo, hi = self._bound(column, key, lo, hi, False), self._bound(column, key, lo, hi, True)
             there = lo < hi
             who, lo, hi = who[there], lo[there], hi[there]
+            if not len(who):
+                break
             done = self.size[who] == d + 1
             found.append((who[done], lo[done], hi[done]))
             who, lo, hi = who[~done], lo[~done], hi[~done]
@@ -88,6 +111,12 @@ class TestSuffixes:
         each = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
         return np.repeat(who, many), at[each]
 
+    def maximal(self, who: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+        """Of pairs of test suffix and place, those with no match one word earlier: there a longest match begins."""
+        key = who * (n + 1) + place
+        before = (who > 0) & (place > 0) & (self.item[np.maximum(who, 1) - 1] == self.item[who])
+        return np.flatnonzero(~(before & np.isin((who - 1) * (n + 1) + place - 1, key)))
+
     @staticmethod
     def _bound(column, key, lo, hi, after: bool):
         lo, hi = lo.copy(), hi.copy()
@@ -147,54 +176,73 @@ def _hits(tests: TestSuffixes, h, first, who, place) -> tuple[np.ndarray, list[t
     return covered[first[1:]] - covered[first[:-1]], [(int(r), tests.ids[i]) for r, i in pairs.T]
 
 
+def _longest(tests: TestSuffixes, h, first, who, place):
+    """Maximal matches: row, item, word in the document, word in the item, words."""
+    own = tests.maximal(who, place, len(h))
+    who, place = who[own], place[own]
+    row = np.searchsorted(first, place, "right") - 1
+    return row, tests.item[who], place - first[row], tests.at[who], tests.longest(h, who, place)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW, piece_chars: int = PIECE_CHARS) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items (sorted), items_sha256, contaminated."""
+    """One row per document: doc_id, n_words, n_hit, n_items, items (sorted), items_sha256, contaminated, and of the
+    longest verbatim match (of these the first item as string, then the first place): longest (words, 0 if none),
+    longest_item, longest_at (word in the document) and longest_from (word in the item)."""
     slim = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
-    schema = "doc_id long, row long, n_words long, n_hit long, items array<string>, runs array<long>"
+    schema = "doc_id long, row long, n_words long, n_hit long, items array<string>, runs array<long>, longest long, longest_item string, longest_at long, longest_from long"
     out = None
     passes, pieces = _pieces(benchmark, item, "text", piece_chars)
     if passes > 1:  # all passes must see the same key for a row
         slim = saved(slim)
     for piece in pieces:
-        tests = TestSuffixes(piece, window)
+        sent = docs.sparkSession.sparkContext.broadcast(TestSuffixes(piece, window))
 
-        def work(batches, tests=tests):
+        def work(batches, sent=sent):
+            tests = sent.value
             for rows, count, h, first, who, place in _shards(batches, tests, "text"):
                 hit, pairs = _hits(tests, h, first, who, place)
                 items, runs = [[] for _ in count], [[] for _ in count]
                 for r, i in pairs:
                     if i is not None:
                         items[r].append(i)
-                row = np.searchsorted(first, place, "right") - 1
-                for r, a, n in zip(row, place - first[row], tests.size[who]):
-                    runs[r] += [int(a), int(a + n)]
-                yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), rows.column(2), pa.array(count, pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array(runs, pa.list_(pa.int64()))], ["doc_id", "row", "n_words", "n_hit", "items", "runs"])
+                if passes > 1:
+                    row = np.searchsorted(first, place, "right") - 1
+                    for r, a, n in zip(row, place - first[row], tests.size[who]):
+                        runs[r] += [int(a), int(a + n)]
+                best = np.zeros((len(count), 3), np.int64)
+                names = np.full(len(count), None, object)
+                row, own, at, begin, size = _longest(tests, h, first, who, place)
+                order = np.lexsort([begin, at, tests.rank[own], -size, row])
+                order = order[[tests.ids[own[k]] is not None for k in order]] if len(order) else order
+                top = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
+                best[row[top]] = np.stack([size[top], at[top], begin[top]], 1)
+                names[row[top]] = tests.ids[own[top]]
+                none = best[:, 0] == 0
+                yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), rows.column(2), pa.array(count, pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array(runs, pa.list_(pa.int64())), pa.array(best[:, 0]), pa.array(names, pa.string()), pa.array(best[:, 1], mask=none), pa.array(best[:, 2], mask=none)], [f.split()[0] for f in schema.split(", ")])
 
         one = slim.mapInArrow(work, schema)
         out = one if out is None else out.unionByName(one)
     if passes > 1:  # more test text than one pass carries: put each row's runs together
         ids = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-        out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), ids, F.flatten(F.collect_list("runs")).alias("runs"))
+        best = F.min(F.when(F.col("longest") > 0, F.struct((-F.col("longest")).alias("m"), "longest_item", "longest_at", "longest_from"))).alias("best")
+        out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), ids, F.flatten(F.collect_list("runs")).alias("runs"), best)
         marks = F.expr("flatten(transform(sequence(0, cast(size(runs) / 2 as int) - 1), k -> sequence(runs[2 * k], runs[2 * k + 1] - 1)))")
-        out = out.withColumn("n_hit", F.when(F.size("runs") == 0, F.lit(0)).otherwise(F.size(F.array_distinct(marks))).cast("long"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items")
+        out = out.withColumn("n_hit", F.when(F.size("runs") == 0, F.lit(0)).otherwise(F.size(F.array_distinct(marks))).cast("long")).select("*", F.coalesce(-F.col("best.m"), F.lit(0)).alias("longest"), "best.longest_item", "best.longest_at", "best.longest_from")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest", "longest_item", "longest_at", "longest_from", "items")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW, piece_chars: int = PIECE_CHARS) -> DataFrame:
-    """Longest verbatim matches with their locations: doc_id, item_id, doc_word, item_word, n_words; one row per place where a window stands and no match begins one word earlier."""
+    """All longest verbatim matches with their locations: doc_id, item_id, doc_word, item_word, n_words; one row per place where a window stands and no match begins one word earlier."""
     slim = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = None
     for piece in _pieces(benchmark, item, "text", piece_chars)[1]:
-        tests = TestSuffixes(piece, window)
+        sent = docs.sparkSession.sparkContext.broadcast(TestSuffixes(piece, window))
 
-        def work(batches, tests=tests):
+        def work(batches, sent=sent):
+            tests = sent.value
             for rows, _, h, first, who, place in _shards(batches, tests, "text"):
-                size = tests.longest(h, who, place)
-                row = np.searchsorted(first, place, "right") - 1
-                seen = set(zip(tests.item[who].tolist(), tests.at[who].tolist(), place.tolist()))
-                fresh = [k for k, (i, a, p) in enumerate(zip(tests.item[who].tolist(), tests.at[who].tolist(), place.tolist())) if (i, a - 1, p - 1) not in seen]
-                ids = rows.column(0).to_pylist()
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[row[k]] for k in fresh], pa.int64()), "item_id": pa.array([tests.ids[tests.item[who[k]]] for k in fresh], pa.string()), "doc_word": pa.array([int(place[k] - first[row[k]]) for k in fresh], pa.int64()), "item_word": pa.array(tests.at[who[fresh]], pa.int64()), "n_words": pa.array(size[fresh], pa.int64())})
+                row, own, at, begin, size = _longest(tests, h, first, who, place)
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(row)), pa.array(tests.ids[own], pa.string()), pa.array(at), pa.array(begin), pa.array(size)], ["doc_id", "item_id", "doc_word", "item_word", "n_words"])
 
         one = slim.mapInArrow(work, "doc_id long, item_id string, doc_word long, item_word long, n_words long")
         out = one if out is None else out.unionByName(one)
@@ -204,9 +252,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: st
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW, piece_chars: int = PIECE_CHARS) -> DataFrame:
     """docs without the rows that hold a window of the test set; columns and other rows stay as they are."""
     for piece in _pieces(benchmark, item, "text", piece_chars)[1]:
-        tests = TestSuffixes(piece, window)
+        sent = docs.sparkSession.sparkContext.broadcast(TestSuffixes(piece, window))
 
-        def work(batches, tests=tests):
+        def work(batches, sent=sent):
+            tests = sent.value
             for rows, _, h, first, who, place in _shards(batches, tests, text):
                 hit, _ = _hits(tests, h, first, who, place)
                 yield rows.filter(pa.array(hit == 0))

@@ -26,14 +26,18 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 
 BENCHMARK_DECONTAMINATION = rf"""WITH w AS (SELECT doc_id, regexp_extract_all({_low('text')}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS ws FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_low('text')}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS ws FROM benchmark),
-bw AS (SELECT DISTINCT item, least(10, len(ws)) AS n, list_slice(ws, i, i + 9) AS win FROM b, unnest(range(1, greatest(1, len(ws) - 9) + 1)) t(i) WHERE len(ws) > 0),
+bw AS (SELECT item, j, least(10, len(ws)) AS n, list_slice(ws, j, j + 9) AS win FROM b, unnest(range(1, greatest(1, len(ws) - 9) + 1)) t(j) WHERE len(ws) > 0),
 sizes AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT doc_id, i, n, list_slice(ws, i, i + n - 1) AS win FROM w, sizes, unnest(range(1, len(ws) - n + 2)) t(i)),
-m AS (SELECT doc_id, i, n, item FROM dw JOIN bw USING (n, win)),
-h AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM m) GROUP BY doc_id),
-t AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY doc_id)
-SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM w LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+m AS (SELECT doc_id, i, n, item, j FROM dw JOIN bw USING (n, win)),
+h AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY doc_id),
+g AS (SELECT doc_id, item, i, j, n, i - row_number() OVER (PARTITION BY doc_id, item, i - j ORDER BY i) AS run FROM m),
+x AS (SELECT doc_id, item, min(i) - 1 AS at, min(j) - 1 AS begin, max(n) + count(*) - 1 AS size FROM g GROUP BY doc_id, item, i - j, run),
+best AS (SELECT doc_id, item, at, begin, size FROM x QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, item, at, begin) = 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(size, 0) AS longest, best.item AS longest_item, at AS longest_at, begin AS longest_from
+FROM w LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN best USING (doc_id)"""
 
 
 def _strength(groups: str) -> str:

@@ -5,6 +5,7 @@ Everything here works on one bounded slice of a batch, so memory follows the sli
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,7 @@ _VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint6
 _R = 0x9E3779B97F4A7C15
 #: Odd multipliers that tell the places of a gram apart.
 ODD = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # in glibc only
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -71,6 +73,14 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
         yield batch.slice(lo, hi - lo), buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker that idles between tasks then holds no more than it needs."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def spans(buf: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
