@@ -78,6 +78,8 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
 
 def give_back() -> None:
     """Return freed memory to the system: a worker that idles between tasks then holds no more than it needs."""
+    if len(_powers.get("up", ())) > SLICE_BYTES + 1:
+        _powers.clear()
     pa.default_memory_pool().release_unused()
     if _trim:
         _trim(0)
