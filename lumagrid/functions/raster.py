@@ -59,3 +59,39 @@ def moment(p: int, q: int) -> str:
 def nearest(centres: tuple[int, ...]) -> str:
     """Index of the nearest centre of each pixel; ties go to the lowest."""
     return "transform(v, p -> array_min(array(" + ", ".join(f"struct(abs(p - {c}) as d, {k} as k)" for k, c in enumerate(centres)) + ")).k)"
+
+
+def window(fold: str, radius: int, v: str = "v") -> str:
+    """greatest, least or sum of the square around each pixel; the border repeats."""
+    around = [near(dy, dx, v) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)]
+    return every(" + ".join(around) if fold == "sum" else f"{fold}({', '.join(around)})")
+
+
+def paper(radius: int, v: str = "c_") -> str:
+    """The mean of a square of the closed raster, 1 at least."""
+    return f"transform({window('sum', radius, v)}, p -> greatest(p / {(2 * radius + 1) ** 2}.0D, 1D))"
+
+
+def brightened(v: str = "v", paper_: str = "p_") -> str:
+    """Each pixel over its paper, times the brightest paper."""
+    return f"transform({v}, (p, i) -> cast(greatest(0D, least(255D, rint(p * (array_max({paper_}) / {paper_}[i])))) as int))"
+
+
+def histogram(v: str = "v") -> str:
+    """Distinct values with their counts, for folds over an image that do not depend on its size."""
+    return f"transform(array_sort(array_distinct({v})), p -> struct(p as v, size(filter({v}, q -> q = p)) as n))"
+
+
+def lloyd(k: int, steps: int) -> str:
+    """Centres of k-means over the histogram h_, from k even places between the least and the greatest value."""
+    low, span = "h_[0].v", "(h_[size(h_) - 1].v - h_[0].v)"
+    first = "array(" + ", ".join(f"{low} + {2 * i + 1} * {span} / {2 * k}.0D" for i in range(k)) + ")"
+    nearest_ = "array_min(transform(c, (m, j) -> struct(abs(e.v - m) as d, j as j))).j"
+    share = lambda what: f"aggregate(filter(a_, e -> e.j = j), 0L, (s, e) -> s + {what})"
+    step = f"transform(array(transform(h_, e -> struct(e.v as v, e.n as n, {nearest_} as j))), a_ -> transform(c, (m, j) -> coalesce({share('e.v * e.n')} / nullif({share('e.n')}, 0L), m)))[0]"
+    return f"aggregate(sequence(1, {steps}), {first}, (c, t) -> {step})"
+
+
+def classed(centres: str = "c_") -> str:
+    """Index of the nearest of the centres of each pixel; ties go to the lowest."""
+    return f"transform(v, p -> array_min(transform({centres}, (m, j) -> struct(abs(p - m) as d, j as j))).j)"

@@ -150,41 +150,36 @@ def without_watermark(images: DataFrame) -> DataFrame:
     return joined.select("image_id", "h", "w", F.expr("zip_with(v, mark, (p, m) -> p - m.m)").alias("v"))
 
 
-def nearest_image(queries: DataFrame, images: DataFrame, block: int = 4096) -> DataFrame:
+def nearest_image(queries: DataFrame, images: DataFrame, block: int = 4096, chunk: int = 65_536) -> DataFrame:
     """The nearest other image to each query, by squared distance; ties go to the lower id: image_id, match_id, distance.
 
-    Queries are sent out in blocks of bounded size; each task keeps one best per query, and these meet by query.
+    A stated query set against all rows, in blocks: queries are dealt to blocks and images to chunks; every pair of a
+    block and a chunk is one group of bounded size, which gives back one best per query.
     """
-    n = 1 + queries.count() // block
-    out = None
-    for k in range(n):
-        rows = queries.where(F.pmod(F.xxhash64("image_id"), F.lit(n)) == k).select("image_id", "v").collect()
-        if not rows:
-            continue
-        ids, q = np.array([r.image_id for r in rows]), np.array([r.v for r in rows], np.int64)
-
-        def work(batches, ids=ids, q=q):
-            best, whom = np.full(len(ids), np.iinfo(np.int64).max), np.full(len(ids), -1)
-            for batch in batches:
-                own = np.asarray(batch.column(0).to_numpy(zero_copy_only=False))
-                x = np.array(batch.column(1).to_pylist(), np.int64).reshape(len(own), -1)
-                for at in range(0, len(own), 1024):
-                    o, y = own[at : at + 1024], x[at : at + 1024]
-                    d = (q * q).sum(1)[:, None] - 2 * (q.astype(float) @ y.T.astype(float)).astype(np.int64) + (y * y).sum(1)[None, :]
-                    d[ids[:, None] == o[None, :]] = np.iinfo(np.int64).max
-                    order = np.argsort(o, kind="stable")
-                    pick = order[d[:, order].argmin(1)]
-                    dist = d[np.arange(len(ids)), pick]
-                    better = (dist < best) | (dist == best) & (o[pick] < whom)
-                    best, whom = np.where(better, dist, best), np.where(better, o[pick], whom)
-            seen = (whom >= 0) & (best < np.iinfo(np.int64).max)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[seen]), pa.array(whom[seen]), pa.array(best[seen])], ["image_id", "match_id", "distance"])
-
-        found = images.select("image_id", "v").mapInArrow(work, "image_id long, match_id long, distance long")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return images.selectExpr("image_id", "image_id as match_id", "image_id as distance").where("false")
-    return out.groupBy("image_id").agg(F.min(F.struct("distance", "match_id")).alias("m")).select("image_id", "m.match_id", "m.distance")
+    blocks, parts = 1 + queries.count() // block, 1 + images.count() // chunk
+    at = lambda n: F.pmod(F.xxhash64("image_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("image_id", "v", at(blocks).alias("block"), every(parts).alias("part"))
+    given = images.select("image_id", "v", every(blocks).alias("block"), at(parts).alias("part"))
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, own = left["image_id"].to_numpy(), right["image_id"].to_numpy()
+        q, x = (np.array(t["v"].to_pylist(), np.int64).reshape(t.num_rows, -1) for t in (left, right))
+        best, whom = np.full(len(ids), np.iinfo(np.int64).max), np.full(len(ids), -1)
+        for k in range(0, len(own), 1024):
+            order = np.argsort(own[k : k + 1024], kind="stable")
+            o, y = own[k : k + 1024][order], x[k : k + 1024][order]
+            d = (q * q).sum(1)[:, None] - 2 * (q.astype(float) @ y.T.astype(float)).astype(np.int64) + (y * y).sum(1)[None, :] if len(ids) else np.zeros((0, len(o)), np.int64)
+            d[ids[:, None] == o[None, :]] = np.iinfo(np.int64).max
+            pick = d.argmin(1)
+            dist = d[np.arange(len(ids)), pick]
+            better = (dist < best) | (dist == best) & (o[pick] < whom)
+            best, whom = np.where(better, dist, best), np.where(better, o[pick], whom)
+        seen = best < np.iinfo(np.int64).max
+        return pa.table({"image_id": ids[seen], "match_id": whom[seen], "distance": best[seen]})
+
+    found = asked.groupBy("block", "part").cogroup(given.groupBy("block", "part")).applyInArrow(work, "image_id long, match_id long, distance long")
+    return found.groupBy("image_id").agg(F.min(F.struct("distance", "match_id")).alias("m")).select("image_id", "m.match_id", "m.distance")
 
 
 #: Letters that tell the languages of a line apart.
@@ -201,7 +196,12 @@ def language_letters(lines: DataFrame, text: str = "text", languages: dict[str,
     return out.withColumn("lang_tag", tag)
 
 
+def character_errors(pairs: DataFrame, *keep: str, truth: str = "truth", read: str = "read") -> DataFrame:
+    """Edits and characters of each pair."""
+    return pairs.select(*keep, F.levenshtein(truth, read).cast("long").alias("edits"), F.length(truth).cast("long").alias("characters"))
+
+
 def character_error_rate(pairs: DataFrame, truth: str = "truth", read: str = "read") -> DataFrame:
     """Edits and characters over all pairs, and their quotient."""
-    total = pairs.agg(F.sum(F.levenshtein(truth, read)).cast("long").alias("edits"), F.sum(F.length(truth)).cast("long").alias("characters"))
+    total = character_errors(pairs, truth=truth, read=read).agg(F.sum("edits").alias("edits"), F.sum("characters").alias("characters"))
     return total.withColumn("rate", F.col("edits") / F.col("characters"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 
 def map_images(images: DataFrame, kernel: Callable[[np.ndarray], dict], schema: str) -> DataFrame:
-    """kernel(image) gives a dict of columns (without image_id) or a list of such dicts, one for each output row."""
+    """kernel(image) gives a dict of columns (without image_id) or a list of such dicts, one for each output row. Rows without a raster give none."""
     names = [f.split()[0] for f in schema.split(", ")]
 
     def work(batches):
@@ -30,7 +30,7 @@ def map_images(images: DataFrame, kernel: Callable[[np.ndarray], dict], schema:
             yield pa.RecordBatch.from_arrays(arrays, ["image_id", *names])
 
     kind = dict(images.dtypes)["image_id"]
-    return images.select("image_id", "h", "w", "v").mapInArrow(work, f"image_id {kind}, {schema}")
+    return images.select("image_id", "h", "w", "v").where("h is not null and w is not null and v is not null").mapInArrow(work, f"image_id {kind}, {schema}")
 
 
 def _arrow(kind: str):
@@ -105,16 +105,6 @@ def richardson_lucy(image: np.ndarray, psf: np.ndarray, steps: int = 20) -> np.n
     return to_bytes(guess)
 
 
-def background(image: np.ndarray, radius: int = 2) -> np.ndarray:
-    """Stain removal: the bright background (closing by a square, then a mean) is divided out."""
-    def window(a, f):
-        p = np.pad(a, radius, mode="edge")
-        return f(np.lib.stride_tricks.sliding_window_view(p, (2 * radius + 1,) * 2), axis=(2, 3))
-
-    paper = np.maximum(window(window(window(image, np.max), np.min), np.mean), 1)
-    return to_bytes(image * (paper.max() / paper))
-
-
 def inpaint(image: np.ndarray, mask: np.ndarray, steps: int = 200) -> np.ndarray:
     """Masked pixels filled by diffusion from their surroundings."""
     a = np.where(mask, image[~mask].mean() if (~mask).any() else 0.0, image)

@@ -1,10 +1,18 @@
-"""The eleven image capabilities over DataFrames of packed rasters, by classical kernels in numpy (lumagrid.operators.kernels)."""
+"""The eleven image capabilities over DataFrames of packed rasters.
+
+Stains, regions, layout and segments are expressions and groupings; Fourier filters, warps, labels and outlines are
+small numpy kernels (lumagrid.operators.kernels) in Arrow batches. Rows without a raster are left out by the latter.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from lumagrid.functions import raster as R
+from lumagrid.operators import images as I
 from lumagrid.operators import kernels as K
 from lumagrid.operators.kernels import map_images
 
@@ -50,8 +58,8 @@ def recognise_text(images: DataFrame, templates: dict[str, np.ndarray], over: in
 
 
 def remove_stains(images: DataFrame, radius: int = 2) -> DataFrame:
-    """2-1."""
-    return map_images(images, lambda a: _raster(K.background(a, radius)), RASTER)
+    """2-1: the bright background (closing by a square, then a mean) is divided out."""
+    return I.kernel(images, R.brightened(), p_=R.paper(radius), c_=R.window("least", radius, "m_"), m_=R.window("greatest", radius))
 
 
 def deblur(images: DataFrame, psf: np.ndarray, method: str = "wiener", noise: float = 0.01, steps: int = 20) -> DataFrame:
@@ -86,16 +94,16 @@ def components(images: DataFrame, over: int = 128) -> DataFrame:
 
 def regions(images: DataFrame, over: int = 128) -> DataFrame:
     """4-1: image_id, label, x0, y0, x1, y1, area of each component."""
+    box = [F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")]
+    return components(images, over).groupBy("image_id", "label").agg(*box, F.count("*").alias("area"))
 
-    def rows(a):
-        label = K.components(a > over)
-        out = []
-        for k in np.unique(label[label >= 0]):
-            y, x = np.nonzero(label == k)
-            out.append({"label": int(k), "x0": int(x.min()), "y0": int(y.min()), "x1": int(x.max()), "y1": int(y.max()), "area": len(y)})
-        return out
 
-    return map_images(images, rows, "label int, x0 int, y0 int, x1 int, y1 int, area bigint")
+def text_blocks(lines: DataFrame, gap: int = 2) -> DataFrame:
+    """1-1: layout: lines (image_id, x0, y0, x1, y1) in reading order, and blocks of lines that lie at most gap rows apart: with block and line."""
+    down = W.partitionBy("image_id").orderBy("y0", "x0")
+    reach = F.max("y1").over(down.rowsBetween(W.unboundedPreceding, -1))
+    new = F.coalesce((F.col("y0") - reach > gap).cast("int"), F.lit(0))
+    return lines.withColumn("block", F.sum(new).over(down)).withColumn("line", F.row_number().over(W.partitionBy("image_id", "block").orderBy("y0", "x0")))
 
 
 def rectify(images: DataFrame, over: int | None = None) -> DataFrame:
@@ -103,9 +111,9 @@ def rectify(images: DataFrame, over: int | None = None) -> DataFrame:
     return map_images(images, lambda a: _raster(K.rectify(a, a > (_otsu(a) if over is None else over))), RASTER)
 
 
-def segment(images: DataFrame, k: int = 3) -> DataFrame:
-    """5-1: classes of grey values, 0 the darkest."""
-    return map_images(images, lambda a: _raster(K.kmeans(a, k)[0].astype(np.int32)), RASTER)
+def segment(images: DataFrame, k: int = 3, steps: int = 12) -> DataFrame:
+    """5-1: classes of grey values by k-means over each image's histogram, 0 the darkest."""
+    return I.kernel(images, R.classed(), c_=R.lloyd(k, steps), h_=R.histogram())
 
 
 def enhance(images: DataFrame, tiles: int = 2, limit: float = 2.0) -> DataFrame:

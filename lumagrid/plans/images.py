@@ -33,6 +33,14 @@ def text_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.language_letters(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text")
 
 
+def levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measure of text recognition on letters A-Z of consecutive documents: edits and characters of the first 30."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    truth = docs.select("doc_id", F.substring(F.regexp_replace("text", "[^A-Za-z]", ""), 1, 30).alias("truth"))
+    pairs = truth.join(truth.select((F.col("doc_id") - 1).alias("doc_id"), F.col("truth").alias("read")), "doc_id")
+    return I.character_errors(pairs, "doc_id")
+
+
 PSF = np.ones((1, 3))
 
 QUERIES = {
@@ -58,24 +66,25 @@ QUERIES = {
     "kmeans_assign": _pixels(I.classes),
     "proj_rows": _rows(I.row_projection),
     "knn": knn,
+    "remove_stains": _pixels(V.remove_stains),
+    "segment": _pixels(V.segment),
+    "levenshtein": levenshtein,
     "components": _rows(V.components),
     "regions": _rows(V.regions),
     "text_language": text_language,
     # without an oracle: tested against hand-made images and by degrading and restoring
     "vectorise": _rows(V.vectorise),
     "detect_text": _rows(V.detect_text),
-    "remove_stains": _pixels(V.remove_stains),
     "deblur_wiener": _pixels(lambda d: V.deblur(d, PSF)),
     "deblur_richardson_lucy": _pixels(lambda d: V.deblur(d, PSF, "richardson_lucy")),
     "fft_notch": _pixels(V.notch),
     "remove_screen_pattern": _pixels(V.remove_screen_pattern),
     "fill_in": _pixels(V.fill_in),
     "rectify": _pixels(V.rectify),
-    "segment": _pixels(V.segment),
     "enhance": _pixels(V.enhance),
 }
 
-PX = """px AS (SELECT vec_id AS image_id, CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x,
+PX = """px AS MATERIALIZED (SELECT vec_id AS image_id, CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x,
   CAST(greatest(0, least(255, floor((CAST(embedding[i + 1] AS DOUBLE) + 0.5) * 256))) AS INTEGER) AS v
   FROM embeddings, (SELECT unnest(range(64)) AS i))"""
 #: The nine neighbours with repeated borders.
@@ -87,7 +96,7 @@ def _sql(body: str, *ctes: str) -> str:
     return "WITH RECURSIVE " + ",\n".join([PX, *ctes]) + "\n" + body
 
 
-BOX = f"""{CLAMPED}, bx AS (SELECT p.image_id, p.y, p.x, CAST(floor(sum(q.v) / 9.0) AS INTEGER) AS v FROM px p, d, px q
+BOX = f"""{CLAMPED}, bx AS MATERIALIZED (SELECT p.image_id, p.y, p.x, CAST(floor(sum(q.v) / 9.0) AS INTEGER) AS v FROM px p, d, px q
   WHERE q.image_id = p.image_id AND q.y = greatest(0, least(7, p.y + d.dy)) AND q.x = greatest(0, least(7, p.x + d.dx)) GROUP BY ALL)"""
 SIDES = "(VALUES ('n', -1, 0), ('s', 1, 0), ('w', 0, -1), ('e', 0, 1)) s(dir, dy, dx)"
 
@@ -128,6 +137,16 @@ ORACLES = {
       f"""r AS (SELECT image_id, y, x, y * 8 + x AS label FROM px WHERE v > 128
       UNION SELECT q.image_id, q.y, q.x, r.label FROM r CROSS JOIN {SIDES} JOIN px q ON q.image_id = r.image_id AND q.y = r.y + s.dy AND q.x = r.x + s.dx WHERE q.v > 128)""",
       "c AS (SELECT image_id, y, x, CAST(min(label) AS INTEGER) AS label FROM r GROUP BY image_id, y, x)"),
+    "levenshtein": """SELECT a.doc_id, CAST(levenshtein(a.t, b.t) AS BIGINT) AS edits, CAST(length(a.t) AS BIGINT) AS characters FROM l a JOIN l b ON b.doc_id = a.doc_id + 1""".join(
+      ["WITH l AS (SELECT doc_id, substr(regexp_replace(text, '[^A-Za-z]', '', 'g'), 1, 30) AS t FROM documents WHERE text IS NOT NULL) ", ""]),
+    "remove_stains": _sql("SELECT image_id, y, x, CAST(greatest(0, least(255, round_even(v * (hi / paper), 0))) AS INTEGER) AS v FROM px JOIN pp USING (image_id, y, x) JOIN (SELECT image_id, max(paper) AS hi FROM pp GROUP BY image_id) USING (image_id)",
+      "d5 AS (SELECT a.dy, b.dx FROM (VALUES (-2), (-1), (0), (1), (2)) a(dy), (VALUES (-2), (-1), (0), (1), (2)) b(dx))",
+      *(f"{name} AS MATERIALIZED (SELECT p.image_id, p.y, p.x, {of} FROM {source} p, d5 d, {source} q WHERE q.image_id = p.image_id AND q.y = greatest(0, least(7, p.y + d.dy)) AND q.x = greatest(0, least(7, p.x + d.dx)) GROUP BY ALL)"
+        for name, of, source in (("p1", "max(q.v) AS v", "px"), ("p2", "min(q.v) AS v", "p1"), ("pp", "greatest(sum(q.v) / 25.0::DOUBLE, 1.0::DOUBLE) AS paper", "p2")))),
+    "segment": _sql("SELECT image_id, y, x, CAST(CASE WHEN abs(v - c0) <= abs(v - c1) AND abs(v - c0) <= abs(v - c2) THEN 0 WHEN abs(v - c1) <= abs(v - c2) THEN 1 ELSE 2 END AS INTEGER) AS v FROM px JOIN k12 USING (image_id)",
+      "k0 AS (SELECT image_id, min(v) + (max(v) - min(v)) / 6.0::DOUBLE AS c0, min(v) + (max(v) - min(v)) / 2.0::DOUBLE AS c1, min(v) + 5 * (max(v) - min(v)) / 6.0::DOUBLE AS c2 FROM px GROUP BY image_id)",
+      *(f"""k{k} AS MATERIALIZED (SELECT image_id, coalesce(sum(v) FILTER (n = 0) / count(*) FILTER (n = 0)::DOUBLE, any_value(c0)) AS c0, coalesce(sum(v) FILTER (n = 1) / count(*) FILTER (n = 1)::DOUBLE, any_value(c1)) AS c1, coalesce(sum(v) FILTER (n = 2) / count(*) FILTER (n = 2)::DOUBLE, any_value(c2)) AS c2 FROM (
+      SELECT image_id, v, c0, c1, c2, CASE WHEN abs(v - c0) <= abs(v - c1) AND abs(v - c0) <= abs(v - c2) THEN 0 WHEN abs(v - c1) <= abs(v - c2) THEN 1 ELSE 2 END AS n FROM px JOIN k{k - 1} USING (image_id)) GROUP BY image_id)""" for k in range(1, 13))),
     "text_language": """SELECT doc_id, n_de, n_es, n_fr, CASE WHEN greatest(n_de, n_es, n_fr) = 0 THEN 'en' WHEN n_de = greatest(n_de, n_es, n_fr) THEN 'de' WHEN n_es = greatest(n_de, n_es, n_fr) THEN 'es' ELSE 'fr' END AS lang_tag FROM (
       SELECT doc_id, length(t) - length(translate(t, 'äöüß', '')) AS n_de, length(t) - length(translate(t, 'ñáíóú¿¡', '')) AS n_es, length(t) - length(translate(t, 'èêçàùâîôûëï', '')) AS n_fr FROM (SELECT doc_id, lower(text) AS t FROM documents))""",
 }

@@ -6,10 +6,17 @@ tables (image_id, y, x, v) are for statistics over many images.
 
 from __future__ import annotations
 
+import hashlib
+import os
+import re
 import struct
+import uuid
 import zlib
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -33,7 +40,11 @@ def to_packed(pixels: DataFrame) -> DataFrame:
 
 def read_images(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """path, height, width, channels, data (row-major BGR bytes) and error, which is set where a file cannot be decoded."""
-    raw = spark.read.format("image").option("dropInvalid", False).option("pathGlobFilter", pattern).load(path)
+    return described(spark.read.format("image").option("dropInvalid", False).option("pathGlobFilter", pattern).load(path))
+
+
+def described(raw: DataFrame) -> DataFrame:
+    """Rows of Spark's image source as those of read_images."""
     bad = F.col("image.height") < 0
     return raw.select(F.col("image.origin").alias("path"), *(F.when(~bad, F.col(f"image.{a}")).alias(b) for a, b in (("height", "height"), ("width", "width"), ("nChannels", "channels"), ("data", "data"))), F.when(bad, F.lit("not a readable image")).alias("error"))
 
@@ -43,45 +54,107 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
+def _mapped(images: DataFrame, kernel, schema: str) -> DataFrame:
+    """kernel(height, width, channels, bytes) gives arrays of int32, one for each output row; undecodable rows are left out."""
+
+    def work(batches):
+        for batch in batches:
+            for path, h, w, c, data in zip(*(batch.column(k) for k in range(5))):
+                bytes_ = np.frombuffer(data.as_buffer(), np.uint8).reshape(h.as_py(), w.as_py(), c.as_py())
+                for more, v in kernel(bytes_):
+                    values = pa.ListArray.from_arrays(pa.array([0, v.size], pa.int32()), pa.array(v.ravel().astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), *(pa.array([m], pa.int32()) for m in (*more, v.shape[0], v.shape[1])), values], names)
+
+    names = [f.split()[0] for f in schema.split(", ")]
+    return images.where("error is null").select("path", "height", "width", "channels", "data").mapInArrow(work, schema)
+
+
 def grey(images: DataFrame) -> DataFrame:
     """read_images rows as packed rasters of grey values (Rec. 601 weights in integers); undecodable rows are left out."""
 
-    def work(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                a = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels).astype(np.int64)
-                g = a[:, :, 0] if r.channels < 3 else (114 * a[:, :, 0] + 587 * a[:, :, 1] + 299 * a[:, :, 2] + 500) // 1000
-                rows.append((r.path, r.height, r.width, g.ravel().astype(np.int32)))
-            yield type(pdf)(rows, columns=["image_id", "h", "w", "v"])
+    def kernel(a):
+        a = a.astype(np.int64)
+        yield (), a[:, :, 0] if a.shape[2] < 3 else (114 * a[:, :, 0] + 587 * a[:, :, 1] + 299 * a[:, :, 2] + 500) // 1000
+
+    return _mapped(images, kernel, "image_id string, h int, w int, v array<int>")
+
+
+def channels(images: DataFrame) -> DataFrame:
+    """read_images rows as one packed raster for each colour: image_id, c (0 blue, 1 green, 2 red, 3 opacity; 0 alone is grey), h, w, v.
+
+    Operators that work within a row keep c; for those that group by image, give `each_channel`.
+    """
+    return _mapped(images, lambda a: (((k,), a[:, :, k]) for k in range(a.shape[2])), "image_id string, c int, h int, w int, v array<int>")
 
-    return images.where("error is null").select("path", "height", "width", "channels", "data").mapInPandas(work, "image_id string, h int, w int, v array<int>")
+
+def each_channel(rasters: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """An operator on packed rasters, applied to the rasters of channels() one colour at a time: its rows with image_id and c."""
+    named = rasters.withColumn("image_id", F.concat_ws("#", F.col("c").cast("string"), "image_id")).drop("c")
+    out = operator(named)
+    return out.withColumn("c", F.substring_index("image_id", "#", 1).cast("int")).withColumn("image_id", F.expr("substr(image_id, instr(image_id, '#') + 1)"))
+
+
+def merged(rasters: DataFrame) -> DataFrame:
+    """The inverse of channels(): image_id, h, w, channels and v with the colours of a pixel side by side."""
+    whole = rasters.groupBy("image_id", "h", "w").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("p"))
+    return whole.select("image_id", "h", "w", F.size("p").alias("channels"), F.expr("flatten(transform(sequence(0, h * w - 1), i -> transform(p, x -> x.v[i])))").alias("v"))
 
 
 def png(values: np.ndarray) -> bytes:
-    """A grey image as the bytes of a PNG file."""
-    h, w = values.shape
-    raw = np.concatenate([np.zeros((h, 1), np.uint8), values.astype(np.uint8)], axis=1).tobytes()
+    """A grey (h, w) or colour (h, w, 3 or 4: blue, green, red, opacity) image as the bytes of a PNG file."""
+    values = values.astype(np.uint8)
+    h, w, c = (*values.shape, 1)[:3]
+    if c >= 3:
+        values = values[:, :, [2, 1, 0, 3][:c]]
+    kind = {1: 0, 3: 2, 4: 6}[c]
+    raw = np.concatenate([np.zeros((h, 1), np.uint8), values.reshape(h, w * c)], axis=1).tobytes()
     part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+
+def file_name(image_id: str) -> str:
+    """A name for an image's file: its own where that is plain, else its last part with a digest of the whole (ids may be URIs)."""
+    if re.fullmatch(r"[A-Za-z0-9_-]{1,100}", image_id):
+        return image_id
+    stem = re.sub(r"[^A-Za-z0-9_-]", "_", image_id.rstrip("/").rpartition("/")[2].partition(".")[0])[:60]
+    return f"{stem}-{hashlib.sha256(image_id.encode()).hexdigest()[:16]}"
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    files: list
 
 
 class _PngWriter(DataSourceWriter):
+    """Files are written under hidden names of their own and take their final ones when the whole job commits."""
+
     def __init__(self, folder: str):
-        self.folder = folder
+        self.folder = folder.removeprefix("file://")
 
     def write(self, rows):
-        import os
-
         os.makedirs(self.folder, exist_ok=True)
+        files = []
         for r in rows:
-            with open(f"{self.folder}/{r.image_id}.png", "wb") as f:
-                f.write(png(np.array(r.v).reshape(r.h, r.w)))
-        return WriterCommitMessage()
+            shape = (r.h, r.w) if len(r.v) == r.h * r.w else (r.h, r.w, -1)
+            name = file_name(r.image_id)
+            hidden = f".{name}.{uuid.uuid4().hex}"
+            with open(f"{self.folder}/{hidden}", "wb") as f:
+                f.write(png(np.array(r.v).reshape(shape)))
+            files.append((hidden, name))
+        return _Written(files)
+
+    def commit(self, messages):
+        for hidden, name in (f for m in messages if m for f in m.files):
+            os.replace(f"{self.folder}/{hidden}", f"{self.folder}/{name}.png")
+
+    def abort(self, messages):
+        for hidden, _ in (f for m in messages if m for f in m.files):
+            if os.path.exists(f"{self.folder}/{hidden}"):
+                os.remove(f"{self.folder}/{hidden}")
 
 
 class PngDataSource(DataSource):
-    """df.write.format("png").save(folder): one file per packed raster; the folder must be one that all executors share."""
+    """df.write.format("png").save(folder): one file per packed raster; the folder must be a mounted one that driver and executors share."""
 
     @classmethod
     def name(cls) -> str:
@@ -95,5 +168,6 @@ class PngDataSource(DataSource):
 
 
 def write_png(images: DataFrame, folder: str) -> None:
+    """Packed rasters, grey or merged colours, as PNG files named by image_id (see file_name)."""
     images.sparkSession.dataSource.register(PngDataSource)
     images.select(F.col("image_id").cast("string").alias("image_id"), "h", "w", "v").write.format("png").mode("append").save(folder)

@@ -6,7 +6,7 @@ from lumagrid.operators import kernels as K
 from lumagrid.operators import models
 from lumagrid.operators import vision as V
 from lumagrid.sources import images as S
-from lumagrid.streaming.ingest import decode_pgm, stream_files, to_parquet
+from lumagrid.streaming.ingest import decode_pgm, pictures_to_parquet, stream_files, to_parquet
 
 A = [[0, 10, 20], [30, 40, 50], [60, 70, 200]]
 
@@ -103,11 +103,47 @@ def test_degrade_and_restore():
     page = np.full((32, 32), 220.0)
     page[8:10, 6:26] = 30
     stained = page * (1 - 0.4 * np.exp(-((y - 20) ** 2 + (x - 16) ** 2) / 60))
-    assert K.psnr(page, K.background(stained, 3)) > K.psnr(page, stained)
     low = 100 + 10 * np.sin(y / 3.0)
     assert K.clahe(low).std() > low.std()
 
 
+def test_stains_and_segments(spark):
+    y, x = np.mgrid[0:16, 0:16]
+    page = np.full((16, 16), 220)
+    page[4:5, 3:13] = 30
+    stained = (page * (1 - 0.4 * np.exp(-((y - 10) ** 2 + (x - 8) ** 2) / 60))).astype(int)
+    clean = np.array(values(V.remove_stains(packed(spark, stained), 2))[0])
+    assert K.psnr(page, clean) > K.psnr(page, stained)
+    classes = np.array([[10, 12, 100], [101, 99, 240], [11, 241, 239]])
+    assert values(V.segment(packed(spark, classes)))[0] == [[0, 0, 1], [1, 1, 2], [0, 2, 2]]
+    assert values(V.segment(packed(spark, [[7, 7]])))[0] == [[0, 0]]
+
+
+def test_layout_of_lines(spark):
+    lines = spark.createDataFrame([(1, 0, 20, 9, 24), (1, 0, 0, 9, 4), (1, 0, 6, 9, 9), (2, 0, 3, 4, 5)], "image_id long, x0 int, y0 int, x1 int, y1 int")
+    got = sorted((r.image_id, r.y0, r.block, r.line) for r in V.text_blocks(lines).collect())
+    assert got == [(1, 0, 0, 1), (1, 6, 0, 2), (1, 20, 1, 1), (2, 3, 0, 1)]
+
+
+def test_colours_and_names(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    picture = rng.integers(0, 256, (4, 6, 3))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.png").write_bytes(S.png(picture))
+    read = S.read_images(spark, str(tmp_path / "in"))
+    colours = S.channels(read)
+    assert {r.c: np.array(r.v).reshape(4, 6).tolist() for r in colours.collect()} == {k: picture[:, :, k].tolist() for k in range(3)}
+    assert {(r.c, r.threshold) for r in S.each_channel(colours, I.otsu).collect()} == {(k, V._otsu(picture[:, :, k].astype(float))) for k in range(3)}
+    # read, change, write: names come from URIs
+    S.write_png(S.merged(I.kernel(colours, "transform(v, p -> 255 - p)")), str(tmp_path / "out"))
+    S.write_png(V.segment(S.grey(read)), str(tmp_path / "grey"))
+    files = [p.name for p in (tmp_path / "out").iterdir()]
+    assert len(files) == 1 and files[0].startswith("a-") and files[0].endswith(".png")
+    again = S.read_images(spark, str(tmp_path / "out")).first()
+    assert (np.frombuffer(again["data"], np.uint8).reshape(4, 6, 3) == 255 - picture).all()
+    assert S.file_name("../x") != S.file_name("x") == "x" and "/" not in S.file_name("../../etc")
+
+
 def test_rectify_and_outlines():
     rng = np.random.default_rng(5)
     page = np.zeros((40, 40))
@@ -172,6 +208,23 @@ def test_stream_equals_batch(spark, tmp_path):
     assert decode_pgm(S.read_files(spark, str(src))).where("error is not null").count() == 1
 
 
+def test_grey_maps(spark):
+    files = {"plain": b"P5 2 1 255\n\x05\x07", "note": b"P5 # made by hand\n2 1\n# depth\n15\n\x00\x0f", "deep": b"P5 2 1 65535\n\x00\x00\xff\xff", "short": b"P5 2 2 255\n\x01", "none": None}
+    d = decode_pgm(spark.createDataFrame(list(files.items()), "path string, content binary"))
+    got = {r.image_id: r.v for r in d.collect()}
+    assert got == {"plain": [5, 7], "note": [0, 255], "deep": [0, 255], "short": None, "none": None}
+    assert V.detect_text(d, 100).select("image_id").distinct().count() == 2  # rows without a raster are left out
+
+
+def test_stream_of_pictures(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.png").write_bytes(S.png(np.full((2, 3, 3), 40 * k)))
+    q = pictures_to_parquet(stream_files(spark, str(tmp_path / "in"), "*.png", 2), str(tmp_path / "out"), str(tmp_path / "ckpt"), I.otsu)
+    q.awaitTermination()
+    assert sorted(r.threshold for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 40, 80]
+
+
 def test_missing_model_says_so(spark):
     with pytest.raises(Exception, match="no model weights"):
         models.run_model(packed(spark, A), "/nowhere/model.onnx").collect()
