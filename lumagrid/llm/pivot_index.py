@@ -2,17 +2,20 @@
 
 A vector is described by the ordered list of its nearest reference points (pivots). The inverted lists are kept for
 sets of `shared` pivots out of the first `prefix` of that order, so that a list holds just the vectors that share at
-least so many pivots: the count of shared pivots is applied by the index itself. Vectors that meet in a list are
-compared exactly. A pair that meets in several lists is counted in the first only.
+least so many pivots: lists of single pivots would grow with the table, these stay short. What a list holds of a vector
+is its components as they came and its permutation; from two permutations come the pivots that a pair shares and the
+list in which the pair counts, the first of those where it meets. Vectors that meet in a list are compared exactly, in
+double precision.
 
 Pivots come from a bounded sample (points apart from each other, filled up with random directions); every vector is
 indexed. Equal vectors are one entry with a weight. Lists longer than block vectors are compared block by block, each
-pair of blocks in a task of its own, and a task gives back counts and a spanning forest, never pairs.
+pair of blocks in a group of its own, and a group gives back counts and a spanning forest, never pairs.
 
 Recall (pairs with cosine 0.95 or more, against brute force) is measured in tests/llm.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of
-different lengths do not link; rows of one id count as vectors of their own.
+different lengths do not link; rows of one id, or of none, count as vectors of their own and link as others do (a
+component of such rows alone has no least id); an empty table gives an empty result; other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -47,22 +50,33 @@ def choose_pivots(vectors: DataFrame, n: int = PIVOTS, seed: int = 11) -> np.nda
     return np.vstack([kept, more / np.linalg.norm(more, axis=1, keepdims=True)])
 
 
-def describe(x: np.ndarray, pivots: np.ndarray, prefix: int, shared: int) -> np.ndarray:
-    """Keys of the inverted lists of each unit vector: one for each set of shared pivots among its nearest prefix."""
+def permutations(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
+    """The nearest pivots of each unit vector, nearest first."""
     if x.shape[1] != pivots.shape[1]:
         p = np.zeros((len(pivots), x.shape[1]))
         p[:, : pivots.shape[1]] = pivots[:, : x.shape[1]]
         pivots = p
-    near = np.sort(np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :prefix], axis=1)
-    sets = [near[:, list(c)] for c in combinations(range(prefix), shared)]
-    keys = np.zeros((len(x), len(sets)), np.int64)
+    return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :prefix].astype(np.uint16)
+
+
+def lists_of(orders: np.ndarray, n_pivots: int, size: int, shared: int) -> np.ndarray:
+    """Keys of the inverted lists of each permutation: one for each set of shared pivots, in order."""
+    near = np.sort(orders.astype(np.int64), axis=1)
+    sets = [near[:, list(c)] for c in combinations(range(near.shape[1]), shared)]
+    keys = np.zeros((len(near), len(sets)), np.int64)
     for k, s in enumerate(sets):
         for c in range(shared):
-            keys[:, k] = keys[:, k] * len(pivots) + s[:, c]
-    h = keys.view(np.uint64) * np.uint64(2) + np.uint64(x.shape[1] << 44)
+            keys[:, k] = keys[:, k] * n_pivots + s[:, c]
+    h = keys.view(np.uint64) * np.uint64(2) + np.uint64(size << 44)
     return np.sort(T.mix(h.copy()).view(np.int64) >> np.int64(1), axis=1)
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(float)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _compare(keys: np.ndarray, ids: np.ndarray, x: np.ndarray, own: np.ndarray, weight: np.ndarray, side: np.ndarray, across: bool, limit: float):
     """All rows of one key (or pair of blocks): linked weight per row and the least id of its local component."""
     kinds, kind = np.unique(own, axis=0, return_inverse=True)
@@ -88,60 +102,64 @@ def _compare(keys: np.ndarray, ids: np.ndarray, x: np.ndarray, own: np.ndarray,
 
 def near_duplicates(table: DataFrame, limit: float = 0.95, vec: str = "vec_id", embedding: str = "embedding", n_pivots: int = PIVOTS, prefix: int = PREFIX, shared: int = SHARED, block: int = BLOCK, pivots: np.ndarray | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept; one row per row of table."""
-    rows = table.select(F.col(vec).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("vector"))
+    kind = "float" if dict(table.dtypes)[embedding] == "array<float>" else "double"  # vectors travel as they came
+    code = {"float": np.float32, "double": np.float64}[kind]
+    rows = table.select(F.col(vec).cast("long").alias("id"), F.col(embedding).cast(f"array<{kind}>").alias("vector"))
     fine = F.expr("vector is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vector, x -> x != 0)")
     rows = rows.withColumns({"fine": F.coalesce(fine, F.lit(False)), "h1": F.xxhash64("vector"), "h2": F.hash("vector")})
-    good = rows.where("fine")
-    entries = saved(good.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("vector").alias("vector")).where("id is not null"))
+    # an entry is known by its hashes, so that rows without an id have one too
+    entry = F.xxhash64("h1", "h2")
+    entries = saved(rows.where("fine").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("vector").alias("vector")).select("h1", "h2", entry.alias("entry"), "id", "weight", "vector"))
     if pivots is None:
-        pivots = choose_pivots(entries, n_pivots)
+        pivots = choose_pivots(entries.select(F.col("entry").alias("id"), "vector"), n_pivots)
 
     def index(batches):
         for batch in batches:
             ids, vectors = batch.column(0), batch.column(2)
-            sizes = np.array([len(v) for v in vectors])
+            sizes = np.diff(vectors.offsets.to_numpy())
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
-                x = np.array([vectors[int(r)].as_py() for r in at])
-                x /= np.abs(x).max(1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                keys = describe(x, pivots, prefix, shared)
-                n = keys.shape[1]
-                rep = np.repeat(np.arange(len(at)), n)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), ids.take(pa.array(at[rep])), batch.column(1).take(pa.array(at[rep])), pa.array([T.blob(v) for v in x], pa.binary()).take(pa.array(rep)), pa.array([T.blob(k) for k in keys], pa.binary()).take(pa.array(rep))], ["key", "id", "weight", "unit", "own"])
-
-    postings = saved(entries.select("id", "weight", "vector").mapInArrow(index, "key long, id long, weight long, unit binary, own binary"))
-    sizes = postings.groupBy("key").count().where("count > 1")
+                own = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), size)
+                orders = permutations(unit(own), pivots, prefix)
+                keys = lists_of(orders, len(pivots), int(size), shared)
+                rep = np.repeat(np.arange(len(at)), keys.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), ids.take(pa.array(at[rep])), batch.column(1).take(pa.array(at[rep])), pa.array([T.blob(v) for v in own.astype(code)], pa.binary()).take(pa.array(rep)), pa.array([T.blob(k) for k in orders], pa.binary()).take(pa.array(rep))], ["key", "id", "weight", "vector", "order"])
+
+    postings = saved(entries.select("entry", "weight", "vector").mapInArrow(index, "key long, id long, weight long, vector binary, order binary"))
+    sizes = saved(postings.groupBy("key").count().where("count > 1"))
     # a long list is dealt to all pairs of its blocks; short lists share groups of many keys
     deal = F.expr(f"""case when count <= {block} then array(named_struct('i', 0, 'j', 0, 'side', 0)) else transform(sequence(0, cast(ceil(count / {block}) as int) - 1), j ->
         named_struct('i', least(j, mine), 'j', greatest(j, mine), 'side', cast(j < mine as int))) end""")
     met = postings.join(sizes, "key").withColumn("mine", F.expr(f"cast(pmod(xxhash64(id), cast(ceil(count / {block}) as int)) as int)"))
-    met = met.withColumn("to", F.explode(deal)).select("key", "id", "weight", "unit", "own", F.col("to.i").alias("i"), F.col("to.j").alias("j"), F.col("to.side").alias("side"), F.when(F.col("count") <= block, F.lit(0)).otherwise(F.col("key")).alias("long_key"))
-    groups = max(partitions(table), entries.count() * 20 // 200_000)
+    met = met.withColumn("to", F.explode(deal)).select("key", "id", "weight", "vector", "order", F.col("to.i").alias("i"), F.col("to.j").alias("j"), F.col("to.side").alias("side"), F.when(F.col("count") <= block, F.lit(0)).otherwise(F.col("key")).alias("long_key"))
+    met_rows, pairs = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum(F.expr(f"case when count > {block} then pow(ceil(count / {block}), 2) end")), F.lit(0))).first()
+    groups = max(partitions(table), met_rows // 20_000)
+    tasks = int(max(groups, min(pairs, 10_000)))
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         key, ids, weight, side = (group[c].to_numpy() for c in ("key", "id", "weight", "side"))
-        unit, own = ([np.frombuffer(b, t) for b in group[c].to_pylist()] for c, t in (("unit", float), ("own", np.int64)))
+        vectors, orders = ([np.frombuffer(b, t) for b in group[c].to_pylist()] for c, t in (("vector", code), ("order", np.uint16)))
         across = group["i"][0] != group["j"][0]
-        order = np.lexsort([ids, key])
-        cuts = np.flatnonzero(np.diff(key[order])) + 1
+        by_list = np.lexsort([ids, key])
+        cuts = np.flatnonzero(np.diff(key[by_list])) + 1
         out = [[np.zeros(0, np.int64)] * 3]
-        for run in np.split(order, cuts):
+        for run in np.split(by_list, cuts):
             if len(run) > 1:
-                n, root = _compare(key[run], ids[run], np.stack([unit[r] for r in run]), np.stack([own[r] for r in run]), weight[run], side[run], across, limit)
-                some = root < ids[run]
-                some |= n > 0
+                x = np.stack([vectors[r] for r in run])
+                own = lists_of(np.stack([orders[r] for r in run]), len(pivots), x.shape[1], shared)
+                n, root = _compare(key[run], ids[run], unit(x), own, weight[run], side[run], across, limit)
+                some = (root < ids[run]) | (n > 0)
                 out.append([ids[run][some], n[some].astype(np.int64), root[some]])
         a, b, c = (np.concatenate(x) for x in zip(*out))
         return pa.table({"id": a, "n": b, "root": c})
 
     met = met.withColumn("slot", F.when(F.col("long_key") == 0, F.pmod(F.col("key"), F.lit(groups))).otherwise(F.lit(-1)))
-    found = saved(met.repartition(groups, "slot", "long_key", "i", "j").groupBy("slot", "long_key", "i", "j").applyInArrow(compare, "id long, n long, root long"))
-    counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-    parts = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a != b").distinct())
-    entries = entries.select("h1", "h2", "id", "weight").join(counts, "id", "left").join(parts, "id", "left")
-    entries = entries.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"), F.lit(True).alias("fine"))
-    out = rows.select("id", "h1", "h2", "fine").join(entries, ["h1", "h2", "fine"], "left")
-    out = out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    found = saved(met.repartition(tasks, "slot", "long_key", "i", "j").groupBy("slot", "long_key", "i", "j").applyInArrow(compare, "id long, n long, root long"))
+    counts = found.groupBy("id").agg(F.sum("n").alias("n")).withColumnRenamed("id", "entry")
+    parts = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a != b").distinct()).select(F.col("id").alias("entry"), "component")
+    labelled = saved(entries.drop("vector").join(counts, "entry", "left").join(parts, "entry", "left").withColumn("component", F.coalesce("component", "entry")))
+    least = labelled.groupBy("component").agg(F.min("id").alias("component_id"))
+    linked = labelled.join(least, "component").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id", F.lit(True).alias("fine"))
+    out = rows.select("id", "h1", "h2", "fine").join(linked, ["h1", "h2", "fine"], "left")
+    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
