@@ -9,7 +9,8 @@ Token i of a block is coded by lane i mod lanes in step i div lanes; lanes are i
 stream of words, so decoding runs over all lanes at once and can begin at any checkpoint.
 
 Defined results: null text is an empty document, which still has its end id; null document ids come first; rows of one
-id follow one another; an empty table writes empty files and reads back as no rows.
+id follow one another; a very long text is one block; an empty table writes empty files and reads back as no rows; other
+columns are never looked at.
 """
 
 from __future__ import annotations
@@ -152,15 +153,19 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 0, doc:
     plain.mapInArrow(code, "part long, block long, docs array<long>, counts binary, n_tokens long, lanes int, every int, states binary, words_at binary, words binary, crc long").write.mode("overwrite").parquet(f"{folder}/blocks")
 
 
+def _before(spark: SparkSession, folder: str) -> DataFrame:
+    """part, block, before: tokens before each block, a running sum within its part and one over parts."""
+    sizes = spark.read.parquet(f"{folder}/blocks").select("part", "block", "n_tokens")
+    inner = W.partitionBy("part").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    sums = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("parts_before"))
+    return sizes.select("part", "block", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)).alias("blocks_before")).join(sums, "part").select("part", "block", (F.col("parts_before") + F.col("blocks_before")).alias("before"))
+
+
 def read_tokens(spark: SparkSession, folder: str, tokens: bool = True) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids_crc32 and, unless told otherwise, ids; raises where a checksum fails."""
     freq = _table(spark.read.parquet(f"{folder}/frequencies").collect())  # bounded by the vocabulary
     blocks = spark.read.parquet(f"{folder}/blocks")
-    # tokens before a block: a running sum within its part, and one over parts
-    sizes = blocks.select("part", "block", "n_tokens")
-    inner = W.partitionBy("part").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    sums = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("parts_before"))
-    before = sizes.select("part", "block", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)).alias("blocks_before")).join(sums, "part").select("part", "block", (F.col("parts_before") + F.col("blocks_before")).alias("before"))
+    before = _before(spark, folder)
 
     def decode(batches):
         by_slot = symbols(freq)
@@ -177,3 +182,29 @@ def read_tokens(spark: SparkSession, folder: str, tokens: bool = True) -> DataFr
 
     rows = blocks.mapInArrow(decode, "part long, block long, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids binary" * tokens)
     return rows.join(before, ["part", "block"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * tokens)
+
+
+def read_range(spark: SparkSession, folder: str, first: int, last: int) -> DataFrame:
+    """start, ids: the tokens from place first to before last of the whole stream, in pieces between two checkpoints.
+
+    Only blocks that hold some of them are decoded, and of these only from the last checkpoint before the range on; each
+    stretch between checkpoints is a row of its own before it is decoded, so that one block is decoded in parallel.
+    """
+    freq = _table(spark.read.parquet(f"{folder}/frequencies").collect())  # bounded by the vocabulary
+    blocks = spark.read.parquet(f"{folder}/blocks").join(_before(spark, folder), ["part", "block"]).where((F.col("before") < last) & (F.col("before") + F.col("n_tokens") > first))
+    size = F.col("lanes") * F.col("every")
+    span = F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.lit(first) - F.col("before")) / size)).cast("int"), F.least(F.ceil(F.col("n_tokens") / size) - 1, F.floor((F.lit(last - 1) - F.col("before")) / size)).cast("int")))
+    rows = blocks.select("before", "n_tokens", "lanes", "every", "states", "words_at", "words", span.alias("mark")).repartition(partitions(blocks), "before", "mark")
+
+    def decode(batches):
+        by_slot = symbols(freq)
+        for batch in batches:
+            for r in batch.to_pylist():
+                size = r["lanes"] * r["every"]
+                end = min((r["mark"] + 1) * size, r["n_tokens"])
+                ids = decode_block(r["n_tokens"], *(np.frombuffer(r[k], t) for k, t in (("states", "<u8"), ("words_at", "<i8"), ("words", "<u4"))), freq, by_slot, r["lanes"], r["every"], checkpoint=r["mark"], until=None if end == r["n_tokens"] else r["mark"] + 1)
+                at = r["before"] + r["mark"] * size
+                lo, hi = max(first - at, 0), min(last - at, len(ids))
+                yield pa.RecordBatch.from_pydict({"start": pa.array([at + lo], pa.int64()), "ids": pa.array([T.blob(ids[lo:hi].astype("<u4"))], pa.binary())})
+
+    return rows.mapInArrow(decode, "start long, ids binary")
