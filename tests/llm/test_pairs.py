@@ -154,3 +154,12 @@ def test_rows_without_an_id_link(spark):
     kept = ngram_join.first_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(4, " ".join(near)), (9, " ".join(far)), (9, " ".join(base[::-1])), (5, ""), (0, ""), (0, "q r s t u")])
+
+
+def test_vectors_without_an_id_link(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(2, 64))
+    rows = [(None, a), (None, a + 0.01), (9, a), (None, b), (None, b + 0.01), (4, -a), (4, -a)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in pivot_index.near_duplicates(df).collect())
+    assert got == sorted([(0, 2, 9, False), (0, 2, 9, False), (9, 2, 9, True), (0, 1, 0, True), (0, 1, 0, True), (4, 1, 4, True), (4, 1, 4, True)])

@@ -160,6 +160,34 @@ def test_disclosing_terms_of_rare_entities(spark):
     assert clean[4, f"[TERM] {far}[EMAIL]"] == 2 and clean.total() == len(rows) + 200
 
 
+def test_shares_of_information_equal_the_definition(spark):
+    """All terms and entities of a small corpus, by counting documents."""
+    rng = random.Random(21)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "theta"]
+    rows = []
+    for k in range(120):
+        t = rng.choices(words, [9, 9, 8, 6, 2, 1, 1, 1], k=rng.randint(1, 6))
+        if rng.random() < 0.3:
+            t.insert(rng.randint(0, len(t)), rng.choice(["a@one.com", "B@two.com", "10.0.0.7", "c@three.com"]))
+        rows.append((k, " ".join(t)))
+    holds = lambda x, t: x in t.lower().split()
+    entities, want = ["a@one.com", "b@two.com", "10.0.0.7", "c@three.com"], {}
+    for threshold in (0.02, 0.1, 0.25):
+        told = set()
+        for e in entities:
+            n_e = sum(holds(e, t) for _, t in rows)
+            for w in words:
+                n_w, both = sum(holds(w, t) for _, t in rows), sum(holds(e, t) and holds(w, t) for _, t in rows)
+                p_e = (n_e + 1) / (len(rows) + 2)
+                if both and math.log((both + 0.5) / ((n_w + 1) * p_e)) / -math.log(p_e) >= threshold:
+                    told.add((e, w))
+        want[threshold] = {k: sum(x == w for x in t.split() for w in words if any((e, w) in told and holds(e, t) for e in entities)) for k, t in rows}
+    assert sum(want[0.02].values()) > sum(want[0.1].values()) > sum(want[0.25].values()) > 0
+    for threshold, n in want.items():
+        got = {r.doc_id: r.n_terms for r in disclosure.personal_data(frame(spark, rows), threshold=threshold).collect()}
+        assert got == n, threshold
+
+
 def test_scores(spark):
     rng = random.Random(5)
     words = "the of and zeta Omega été 42 x".split()

@@ -7,7 +7,7 @@ import pytest
 
 from lumagrid.llm.bpe import ByteBpe, decode_documents, encode_documents, halves, tree
 from lumagrid.llm.queries import tokenizer_path
-from lumagrid.llm.token_files import decode_block, encode_block, frequencies, read_tokens, symbols, write_tokens
+from lumagrid.llm.token_files import decode_block, encode_block, frequencies, read_range, read_tokens, symbols, write_tokens
 
 PIECES = ["a", "b", "the", " ", "  ", "\n", "'", "'s", "'re", "1", "23", ".", "!!", "é", "ß", "日本", "語", "😀", "\u00a0", "<|endoftext|>", "<|", "|>", "Zz", "\t", "aaaaaaa", "×"]
 
@@ -79,6 +79,23 @@ def test_files(spark, bpe, tmp_path):
     assert read_tokens(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_ranges_begin_at_checkpoints(spark, bpe, tmp_path):
+    rows = [(k, f"text number {k} with some words é", 0, "x") for k in range(60)]
+    write_tokens(table(spark, rows), str(tmp_path / "f"), tokenizer_path(), lanes=8, every=4, block=150)
+    whole = np.concatenate([np.frombuffer(r.ids, "<u4") for r in read_tokens(spark, str(tmp_path / "f")).orderBy("start").collect()])
+    for a, b in ((0, len(whole)), (5, 6), (100, 333), (len(whole) - 1, len(whole)), (31, 33)):
+        got = np.concatenate([np.frombuffer(r.ids, "<u4") for r in read_range(spark, str(tmp_path / "f"), a, b).orderBy("start").collect()])
+        assert got.tolist() == whole[a:b].tolist()
+
+
+def test_rows_of_one_id_and_without_one(spark, bpe, tmp_path):
+    rows = [(5, "one two", 0, "x"), (5, "three", 0, "x"), (None, "four", 0, "x"), (None, None, 0, "x"), (5, "one two", 0, "x")]
+    write_tokens(table(spark, rows), str(tmp_path / "f"), tokenizer_path())
+    got = read_tokens(spark, str(tmp_path / "f")).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, 5, 5, 5] and [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
+    assert sorted(bytes(r.ids) for r in got) == sorted(np.array(reference(bpe, t or "") + [0], "<u4").tobytes() for _, t, *_ in rows)
+
+
 def test_a_broken_block_is_noticed(spark, tmp_path):
     write_tokens(table(spark, [(1, "some words to write", 0, "x")]), str(tmp_path / "f"), tokenizer_path())
     from pyspark.sql import functions as F
