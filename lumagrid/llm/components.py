@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumagrid.llm.shared import saved
+from lumagrid.llm.shared import saved, scratch
 
 #: Links that one task reduces.
 LINKS = 500_000
@@ -55,14 +55,16 @@ def _forest(batches):
 
 def components(edges: DataFrame, links: int = LINKS) -> DataFrame:
     """edges (a, b), each long: id and component (the least id that is reachable) for every id that has an edge to another."""
-    edges = saved(edges.where("a != b").selectExpr("greatest(a, b) as a", "least(a, b) as b").distinct())
-    tasks = -(-edges.count() // links)
-    edges = saved(edges.coalesce(max(1, tasks)).mapInArrow(_forest, "a long, b long"))
-    last = None
-    while tasks > 1:
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == last:
-            break
-        last = now
-        edges = saved(_small(_large(edges)))
+    with scratch(edges.sparkSession) as keep:
+        edges = saved(edges.where("a != b").selectExpr("greatest(a, b) as a", "least(a, b) as b").distinct())
+        tasks = -(-edges.count() // links)
+        edges = saved(edges.coalesce(max(1, tasks)).mapInArrow(_forest, "a long, b long"))
+        last = None
+        while tasks > 1:
+            now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+            if now == last:
+                break
+            last = now
+            edges = saved(_small(_large(edges)))
+        keep(edges)
     return edges.selectExpr("a as id", "b as component").unionByName(edges.selectExpr("b as id", "b as component").distinct())

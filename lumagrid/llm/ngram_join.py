@@ -4,16 +4,17 @@ Two sets of n and m shingles with Jaccard 0.8 or more share at least T = ceil(4
 are put in one order: shingles on short inverted lists first, those on long lists last. Two such sets then meet in the
 first n - ceil(0.8 n) + 1 shingles of each, so only these go to the inverted lists. Short lists are merged, which counts
 how often a pair of sets occurs; pairs that can still reach T with all that was not merged are candidates. Long lists are
-never merged into pairs: their members are first checked against one member of the list, then those that still lie apart
-are compared block by block. Candidates are verified by binary probes of the one set's shingles in the other.
+never merged into pairs: whether a candidate stands on them is found by binary probes of its sorted shingles. Sets that
+meet on long lists only are first checked against one member of the list; those that still lie apart then are compared
+block by block.
 
 Since the result names classes and not pairs, candidates whose sets already hang together are not verified any more.
 Equal sets are one entry throughout. A set is known by a 64-bit hash, a shingle by another.
 
 Defined results: null, empty and wordless texts have 0 shingles, link with nothing and are their own class; texts of
 fewer than five words are one shingle; repeated rows are one class; rows without an id link as others do (the class of
-such rows alone has no least id); an empty table gives an empty result; other columns, whatever their names, are kept by
-`first_of_each`.
+such rows alone has no least id); long texts are shingled whole; an empty table gives an empty result; other columns,
+whatever their names, are kept by `first_of_each`.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from lumagrid.llm import text as T
 from lumagrid.llm.components import components
-from lumagrid.llm.shared import fresh, partitions, saved
+from lumagrid.llm.shared import fresh, partitions, saved, scratch
 
 WORDS = 5
 #: Members from which on an inverted list is long.
@@ -78,8 +79,8 @@ def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(np.append(at, len(sorted_)))
 
 
-def _members_and_long_lists(slim: DataFrame, groups: int) -> DataFrame:
-    """kind 0: doc_id, n, sid of every document; kind 1: sid is a shingle on a long list and n its length. row: doc_id, or a hash of the text."""
+def _members_and_long_lists(slim: DataFrame, groups: int) -> tuple[DataFrame, DataFrame]:
+    """Members (doc_id, n, sid, row) of every document, where row is doc_id or a hash of the text; long lists (shingle, n)."""
     schema = "kind int, doc_id long, n long, sid long, row long, bucket int, data binary, counts binary"
 
     def batch(kind, doc, n, sid, row, bucket, data, counts):
@@ -109,7 +110,8 @@ def _members_and_long_lists(slim: DataFrame, groups: int) -> DataFrame:
                         seen.add(sid[-1])
                         heads.append(s[: prefix_size(len(s))])
                         held += len(heads[-1])
-                yield batch(0, rows.column(0), n, sid, rows.column(2), [abs(i) % groups for i in sid], [None] * len(n), [None] * len(n))
+                none = [None] * len(n)
+                yield batch(0, rows.column(0), n, sid, rows.column(2), none, none, none)
                 if held > 2_000_000:
                     yield flush(heads)
                     seen, heads, held = set(), [], 0
@@ -119,22 +121,19 @@ def _members_and_long_lists(slim: DataFrame, groups: int) -> DataFrame:
     def count(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = [], []
         for b in group:
-            kind = b.column(0).to_numpy()
-            own = b.filter(pa.array(kind == 0))
-            if own.num_rows:
-                yield own.select([0, 1, 2, 3, 4])
-            rest = b.filter(pa.array(kind == 1))
-            keys += [np.frombuffer(x, np.uint64) for x in rest.column(6).to_pylist()]
-            counts += [np.frombuffer(x, np.uint32) for x in rest.column(7).to_pylist()]
+            keys += [np.frombuffer(x, np.uint64) for x in b.column(6).to_pylist()]
+            counts += [np.frombuffer(x, np.uint32) for x in b.column(7).to_pylist()]
         s, c = _concat(keys, np.uint64), _concat(counts, np.uint32).astype(np.int64)
         order = np.argsort(s)
         at, _ = _runs(s[order])
         total = np.add.reduceat(c[order], at) if len(at) else c
         long = total > LONG
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(long.sum(), np.int32)), pa.array([None] * int(long.sum()), pa.int64()), pa.array(total[long]), pa.array(s[order][at][long].view(np.int64)), pa.array([None] * int(long.sum()), pa.int64())], ["kind", "doc_id", "n", "sid", "row"])
+        yield pa.RecordBatch.from_arrays([pa.array(s[order][at][long].view(np.int64)), pa.array(total[long])], ["shingle", "n"])
 
-    dealt = slim.mapInArrow(scan, schema).repartition(groups, "bucket")
-    return saved(dealt.groupBy("bucket").applyInArrow(count, "kind int, doc_id long, n long, sid long, row long"))
+    # members stay where they are: only lists are dealt out, so that a hot set gathers nowhere
+    scanned = saved(slim.mapInArrow(scan, schema))
+    lists = scanned.where("kind = 1").repartition(groups, "bucket").groupBy("bucket").applyInArrow(count, "shingle long, n long")
+    return scanned.where("kind = 0").select("doc_id", "n", "sid", "row"), saved(lists)
 
 
 def _merge(slim: DataFrame, long: np.ndarray, groups: int) -> DataFrame:
@@ -328,48 +327,49 @@ def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 
 def _labels(docs: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Members (doc_id, n, sid) of every row, and for every set of shingles the least id of its class (sid, class, least)."""
-    # a row without an id goes by its text where sets are fetched again
-    slim = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    chars = slim.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    groups = max(partitions(docs), int(chars) // 30 // GROUP)
-    keyed = slim.select(F.coalesce("doc_id", F.xxhash64("text")).alias("doc_id"), "text")
-    first = _members_and_long_lists(slim.withColumn("row", F.coalesce("doc_id", F.xxhash64("text"))), groups)
-    members = first.where("kind = 0").select("doc_id", "n", "sid", "row")
-    told = first.where("kind = 1").orderBy(F.desc("n"), "sid").limit(TOLD).select("sid").toArrow()["sid"].to_numpy().astype(np.int64)
-    met = _merge(slim, np.sort(told.view(np.uint64)), groups)
-    sets = saved(members.where("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min("row").alias("row")))
-    reps = sets.select("sid", F.col("row").alias("doc_id"))
-    long = saved(met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("sid")).distinct().join(sets.select("sid", "n"), "sid"))
-    on_long = long.groupBy("sid").agg(F.count("*").alias("x"))
-    about = sets.select("sid", "n").join(on_long, "sid", "left").select("sid", "n", F.coalesce("x", F.lit(0)).alias("x"))
-    about = about.withColumn("rest", F.expr("n - (n - cast(ceil(4 * n / 5) as long) + 1) + x"))  # shingles that short lists did not count
-
-    sized = lambda side: about.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("rest").alias(f"r{side}"))
-    merged = met.where("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c")).join(sized("a"), "a").join(sized("b"), "b")
-    near = saved(merged.where("10 * least(na, nb) >= 8 * greatest(na, nb) and 9 * (c + greatest(ra, rb)) >= 4 * (na + nb)").select("a", "b"))
-    # first one partner for each set and one for each member of a long list, then what still lies apart
-    first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    some_long = bool(long.head(1))
-    if some_long:
-        hubs = long.groupBy("shingle").agg(F.min(F.struct("sid", "n")).alias("hub"))
-        star = long.join(hubs, "shingle").where("sid != hub.sid and 10 * least(n, hub.n) >= 8 * greatest(n, hub.n)")
-        first = first.unionByName(star.select(F.col("hub.sid").alias("a"), F.col("sid").alias("b")))
-    edges = _verify(first, keyed, reps)
-    parts = saved(components(edges))
-    more = _verify(_apart(near, parts), keyed, reps)
-    if some_long:
-        now = saved(long.join(parts.select(F.col("id").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid")))
-        mixed = now.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("sid").alias("hub")).where("lo != hi").select("shingle", "hub")
-        now = now.join(mixed, "shingle").select("sid", "n", "component", "hub").distinct()
-        now = saved(now)
-        cluster = components(now.select(F.col("sid").alias("a"), F.col("hub").alias("b")))
-        apart = now.select("sid", "n", "component").distinct().join(cluster.select(F.col("id").alias("sid"), F.col("component").alias("cluster")), "sid")
-        more = more.unionByName(_verify_within(apart, keyed, reps))
-    if more.head(1):
-        parts = saved(components(edges.unionByName(more)))
-    label = sets.join(parts.select(F.col("id").alias("sid"), "component"), "sid", "left").select("sid", "doc_id", F.coalesce("component", "sid").alias("class"))
-    least = label.groupBy("class").agg(F.min("doc_id").alias("least"))
-    return members.select("doc_id", "n", "sid"), saved(label.join(least, "class").select("sid", "class", "least"))
+    with scratch(docs.sparkSession) as keep:
+        # a row without an id goes by its text where sets are fetched again
+        slim = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
+        chars = slim.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+        groups = max(partitions(docs), int(chars) // 30 // GROUP)
+        keyed = slim.select(F.coalesce("doc_id", F.xxhash64("text")).alias("doc_id"), "text")
+        members, lists = _members_and_long_lists(slim.withColumn("row", F.coalesce("doc_id", F.xxhash64("text"))), groups)
+        told = lists.orderBy(F.desc("n"), "shingle").limit(TOLD).select("shingle").toArrow()["shingle"].to_numpy().astype(np.int64)
+        met = _merge(slim, np.sort(told.view(np.uint64)), groups)
+        sets = saved(members.where("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min("row").alias("row")))
+        reps = sets.select("sid", F.col("row").alias("doc_id"))
+        long = saved(met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("sid")).distinct().join(sets.select("sid", "n"), "sid"))
+        on_long = long.groupBy("sid").agg(F.count("*").alias("x"))
+        about = sets.select("sid", "n").join(on_long, "sid", "left").select("sid", "n", F.coalesce("x", F.lit(0)).alias("x"))
+        about = about.withColumn("rest", F.expr("n - (n - cast(ceil(4 * n / 5) as long) + 1) + x"))  # shingles that short lists did not count
+
+        sized = lambda side: about.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("rest").alias(f"r{side}"))
+        merged = met.where("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c")).join(sized("a"), "a").join(sized("b"), "b")
+        near = saved(merged.where("10 * least(na, nb) >= 8 * greatest(na, nb) and 9 * (c + greatest(ra, rb)) >= 4 * (na + nb)").select("a", "b"))
+        # first one partner for each set and one for each member of a long list, then what still lies apart
+        first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        some_long = bool(long.head(1))
+        if some_long:
+            hubs = long.groupBy("shingle").agg(F.min(F.struct("sid", "n")).alias("hub"))
+            star = long.join(hubs, "shingle").where("sid != hub.sid and 10 * least(n, hub.n) >= 8 * greatest(n, hub.n)")
+            first = first.unionByName(star.select(F.col("hub.sid").alias("a"), F.col("sid").alias("b")))
+        edges = _verify(first, keyed, reps)
+        parts = saved(components(edges))
+        more = _verify(_apart(near, parts), keyed, reps)
+        if some_long:
+            now = saved(long.join(parts.select(F.col("id").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid")))
+            mixed = now.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("sid").alias("hub")).where("lo != hi").select("shingle", "hub")
+            now = now.join(mixed, "shingle").select("sid", "n", "component", "hub").distinct()
+            now = saved(now)
+            cluster = components(now.select(F.col("sid").alias("a"), F.col("hub").alias("b")))
+            apart = now.select("sid", "n", "component").distinct().join(cluster.select(F.col("id").alias("sid"), F.col("component").alias("cluster")), "sid")
+            more = more.unionByName(_verify_within(apart, keyed, reps))
+        if more.head(1):
+            parts = saved(components(edges.unionByName(more)))
+        label = sets.join(parts.select(F.col("id").alias("sid"), "component"), "sid", "left").select("sid", "doc_id", F.coalesce("component", "sid").alias("class"))
+        least = label.groupBy("class").agg(F.min("doc_id").alias("least"))
+        kept, label = keep(members), keep(label.join(least, "class").select("sid", "class", "least"))
+    return kept.select("doc_id", "n", "sid"), label
 
 
 def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -52,7 +52,9 @@ def saved(df: DataFrame) -> DataFrame:
     bounded_batches(spark)
     path = scratch_folder(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -71,13 +73,13 @@ def clean(spark: SparkSession, since: int = 0) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Scratch tables that are written inside are deleted at the end, but for those that the given function keeps."""
+    """Scratch tables that are written inside are deleted at the end, but for those that the given function keeps (it writes what is not written yet)."""
     own = _written.setdefault(spark.sparkContext.applicationId, [])
-    since, kept = len(own), []
+    since, kept = len(own), set()
 
     def keep(df: DataFrame) -> DataFrame:
-        out = saved(df)
-        kept.append(own[-1])
+        out = df if getattr(df, "scratch_path", None) else saved(df)
+        kept.add(out.scratch_path)
         return out
 
     yield keep
