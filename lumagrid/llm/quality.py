@@ -31,7 +31,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from lumagrid.llm import text as T
 from lumagrid.llm.mixing import _merge, sixes
-from lumagrid.llm.shared import SMALL, fresh, only, saved
+from lumagrid.llm.shared import SMALL, fresh, only, saved, scratch
 
 ORDER = 5
 BROADCAST = 4_000_000
@@ -285,26 +285,30 @@ def _measured(rows: DataFrame, judge: Judge, table: DataFrame | None) -> DataFra
 
 def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang", levels=LEVELS, broadcast: int = BROADCAST) -> tuple[Judge, DataFrame | None, DataFrame]:
     """The judge, the table of probabilities if it is too large to send out, and the hashes of the texts in the counts."""
-    known = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("most"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("t = 0")
-    good, poor = known.where("q = 1"), known.where("most = 0")
-    slim = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    trusted = only(slim, good, "doc_id").where("length(text) > 0")
-    # limits come from trusted documents that the counts have not seen
-    aside = F.pmod(F.xxhash64("doc_id"), F.lit(ASIDE)) == 0
-    table = kneser_ney(trusted.where(~aside))
-    seen = saved(trusted.where(~aside).select(F.xxhash64("text").alias("h")).distinct())
-    n = table.count()
-    if not n:
-        return Judge(None, {}, {}), None, seen
-    judge = Judge(Model(table.toArrow()) if n <= broadcast else None, {}, {})
-    rest = None if judge.model else table
-    held = trusted.where(aside).withColumn("ok", F.lit(True)).unionByName(only(slim, poor, "doc_id").where("length(text) > 0").withColumn("ok", F.lit(False)))
-    size = F.expr("case " + " ".join(f"when n_bytes < {c} then {k}" for k, c in enumerate(CLASSES)) + f" else {len(CLASSES)} end")
-    own = _measured(held.select("text", "lang", "ok"), judge, rest).select("lang", "ok", size.alias("size"), F.floor(F.log2("perplexity") * STEPS).alias("step"), "odd")
-    own = saved(own.groupBy("lang", "size", "ok", "step", "odd").agg(F.count("*").alias("n")))
-    often = own.where("ok and lang is not null").groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang", F.col("lang").alias("own"))
-    rows = own.join(F.broadcast(often), "lang", "left")
-    judge.limits, judge.most = (make(rows.groupBy(F.col("own").alias("lang"), "size", "ok", c).agg(F.sum("n").alias("n")).toArrow().to_pandas(), *more) for make, c, more in ((limits_by_group, "step", (levels,)), (odd_limits, "odd", ())))
+    with scratch(docs.sparkSession) as keep:
+        known = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("most"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("t = 0")
+        good, poor = known.where("q = 1"), known.where("most = 0")
+        slim = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+        trusted = only(slim, good, "doc_id").where("length(text) > 0")
+        # limits come from trusted documents that the counts have not seen
+        aside = F.pmod(F.xxhash64("doc_id"), F.lit(ASIDE)) == 0
+        table = kneser_ney(trusted.where(~aside))
+        seen = saved(trusted.where(~aside).select(F.xxhash64("text").alias("h")).distinct())
+        n = table.count()
+        if not n:
+            return Judge(None, {}, {}), None, keep(seen)
+        judge = Judge(Model(table.toArrow()) if n <= broadcast else None, {}, {})
+        rest = None if judge.model else table
+        held = trusted.where(aside).withColumn("ok", F.lit(True)).unionByName(only(slim, poor, "doc_id").where("length(text) > 0").withColumn("ok", F.lit(False)))
+        size = F.expr("case " + " ".join(f"when n_bytes < {c} then {k}" for k, c in enumerate(CLASSES)) + f" else {len(CLASSES)} end")
+        own = _measured(held.select("text", "lang", "ok"), judge, rest).select("lang", "ok", size.alias("size"), F.floor(F.log2("perplexity") * STEPS).alias("step"), "odd")
+        own = saved(own.groupBy("lang", "size", "ok", "step", "odd").agg(F.count("*").alias("n")))
+        often = own.where("ok and lang is not null").groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang", F.col("lang").alias("own"))
+        rows = own.join(F.broadcast(often), "lang", "left")
+        judge.limits, judge.most = (make(rows.groupBy(F.col("own").alias("lang"), "size", "ok", c).agg(F.sum("n").alias("n")).toArrow().to_pandas(), *more) for make, c, more in ((limits_by_group, "step", (levels,)), (odd_limits, "odd", ())))
+        keep(seen)
+        if rest is not None:
+            keep(rest)
     return judge, rest, seen
 
 

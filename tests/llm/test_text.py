@@ -412,3 +412,24 @@ def test_names_that_clash(spark):
     d = spark.createDataFrame([(1, "write to a@b.cd now", 5, 6, 7, 8)], "doc_id long, text string, spans int, row_key int, Spans_ int, __id int")
     out = disclosure.sanitise(d)
     assert out.columns == d.columns and tuple(out.collect()[0]) == (1, "write to [EMAIL] now", 5, 6, 7, 8)
+
+
+def test_language_scores_equal_the_definition(spark):
+    """Mean of hashed gram embeddings, softmax with temperature, by plain loops; and the gradient of the loss by differences."""
+    rows = [(k, t, g) for k, (t, g) in enumerate([("der die das und", "de"), ("the and of that", "en"), ("que los las una", "es")] * 30)]
+    m = language.train(frame(spark, rows, "doc_id long, text string, lang string"))
+    got = {r.doc_id: r for r in language.predict(frame(spark, [(1, "the und é"), (2, "x")]), m).collect()}
+    for i, t in ((1, "the und é"), (2, "x")):
+        b = t.encode()
+        buckets = [((int.from_bytes(b[k : k + n], "little") * o + n * 0x27D4EB2F) & 0xFFFFFFFF) >> 19 for n, o in zip(language.ORDERS, language._ODD) for k in range(len(b) - n + 1)]
+        z = [(sum(m.table[c][g] for g in buckets) / len(buckets) + m.bias[c]) / m.temperature for c in range(3)]
+        p = [math.exp(v - max(z)) for v in z]
+        assert got[i].score == pytest.approx(max(p) / sum(p)) and got[i].lang_pred == m.languages[p.index(max(p))]
+
+
+def test_longer_suffixes_part_domains(spark):
+    pages = frame(spark, [(k, f"{'abc'[k % 3]}.co.uk" if k < 30 else "z.org") for k in range(40)], "page_id long, host string")
+    bad = frame(spark, [(k, int(k % 3 == 0 and k < 30)) for k in range(40)], "page_id long, bad int")
+    one = {r.host: r.bad_rate for r in host_reputation.host_reputation(pages, bad).collect()}
+    own = {r.host: r.bad_rate for r in host_reputation.host_reputation(pages, bad, suffixes=("co.uk",)).collect()}
+    assert own["a.co.uk"] > own["b.co.uk"] and one["a.co.uk"] > one["b.co.uk"] and own["a.co.uk"] != one["a.co.uk"]
