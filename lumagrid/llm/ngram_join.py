@@ -40,6 +40,8 @@ TOLD = 1_000_000
 GROUP = 1_500_000
 #: Sets in a block of those that are compared with each other.
 BLOCK = 256
+#: Members of long lists that lie apart, from which on they are checked against further ones of their list first, and how often.
+MANY, ROUNDS = 50_000, 4
 #: Ids up to which the documents to look at again are broadcast.
 SMALL = 2_000_000
 
@@ -270,18 +272,26 @@ def _verify_within(members: DataFrame, slim: DataFrame, reps: DataFrame, block:
     """members (cluster, sid, n, component): links between sets of one cluster and different components.
 
     Sets are dealt to blocks by size class, so that linked ones lie in the same class or in neighbouring ones; each
-    pair of blocks is one group of bounded size, which gives back a spanning forest of its links.
+    pair of blocks is one group of bounded size, which gives back a spanning forest of its links. Blocks of the largest
+    component of a class never meet each other, so a family that hangs together costs in proportion to its size.
     """
     members = saved(members.withColumn("c", F.floor(F.log("n") / 0.2232).cast("int")))  # just over ln 1.25
-    sizes = members.groupBy("cluster", "c").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
-    near = [sizes.select("cluster", (F.col("c") - d).alias("c"), F.col("k").alias(name)) for d, name in ((0, "k"), (1, "up"), (-1, "down"))]
-    for one in near:
-        members = members.join(one, ["cluster", "c"], "left")
-    members = members.withColumn("j", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int"))
+    parts = members.groupBy("cluster", "c", "component").agg(F.count("*").alias("m")).groupBy("cluster", "c").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("m"))
+    sizes = saved(parts.select("cluster", "c", F.struct("main", F.ceil(F.col("most") / block).cast("int").alias("k"), F.ceil((F.col("m") - F.col("most")) / block).cast("int").alias("rest")).alias("own")))
+    for d, name in ((0, "own"), (1, "up"), (-1, "down")):
+        members = members.join(sizes.select("cluster", (F.col("c") - d).alias("c"), F.col("own").alias(name)), ["cluster", "c"], "left")
+    members = members.withColumn("inner", F.col("component") == F.col("own.main"))
+    members = members.withColumn("j", F.expr("cast(if(inner, pmod(xxhash64(sid), own.k), own.k + pmod(xxhash64(sid), own.rest)) as int)"))
     group = "named_struct('cluster', cluster, 'la', {la}, 'ja', {ja}, 'lb', {lb}, 'jb', {jb}, 'side', {side}, 'component', component)"
-    to = F.expr(f"""concat(transform(sequence(0, k - 1), i -> {group.format(la='c', ja='least(i, j)', lb='c', jb='greatest(i, j)', side='cast(i < j as int)')}),
-        case when up is null then array() else transform(sequence(0, up - 1), i -> {group.format(la='c', ja='j', lb='c + 1', jb='i', side='0')}) end,
-        case when down is null then array() else transform(sequence(0, down - 1), i -> {group.format(la='c - 1', ja='i', lb='c', jb='j', side='1')}) end)""")
+
+    def met(of: str, **names: str) -> str:
+        """The blocks of a class that a set has to meet, as groups."""
+        first = f"if(inner and own.main = {of}.main, {of}.k, 0)"
+        return f"case when {of} is null or {first} >= {of}.k + {of}.rest then array() else transform(sequence({first}, {of}.k + {of}.rest - 1), i -> {group.format(**names)}) end"
+
+    to = F.expr(f"""concat({met('own', la='c', ja='least(i, j)', lb='c', jb='greatest(i, j)', side='cast(i < j as int)')},
+        {met('up', la='c', ja='j', lb='c + 1', jb='i', side='0')},
+        {met('down', la='c - 1', ja='i', lb='c', jb='j', side='1')})""")
 
     def compare(table: pa.Table) -> pa.Table:
         first = {k: table[k][0].as_py() for k in ("la", "ja", "lb", "jb")}
@@ -325,6 +335,11 @@ def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return out.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
+def _list_parts(long: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members of long lists (shingle, sid, n) with the component that each belongs to so far."""
+    return long.join(parts.select(F.col("id").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+
+
 def _labels(docs: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Members (doc_id, n, sid) of every row, and for every set of shingles the least id of its class (sid, class, least)."""
     with scratch(docs.sparkSession) as keep:
@@ -355,9 +370,20 @@ def _labels(docs: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFrame]
             first = first.unionByName(star.select(F.col("hub.sid").alias("a"), F.col("sid").alias("b")))
         edges = _verify(first, keyed, reps)
         parts = saved(components(edges))
+        for k in range(ROUNDS if some_long else 0):  # members of long lists against one more of them, while many lie apart
+            now = _list_parts(long, parts)
+            mixed = saved(now.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max_by(F.struct("sid", "n", "component"), F.xxhash64("sid", F.lit(k))).alias("hub"), F.count("*").alias("m")).where("lo != hi"))
+            if mixed.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0] < MANY:
+                break
+            star = now.join(mixed.select("shingle", "hub"), "shingle").where("component != hub.component and 10 * least(n, hub.n) >= 8 * greatest(n, hub.n)")
+            found = _verify(star.select(F.col("hub.sid").alias("a"), F.col("sid").alias("b")), keyed, reps)
+            if not found.head(1):
+                break
+            edges = saved(edges.unionByName(found))
+            parts = saved(components(edges))
         more = _verify(_apart(near, parts), keyed, reps)
         if some_long:
-            now = saved(long.join(parts.select(F.col("id").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid")))
+            now = saved(_list_parts(long, parts))
             mixed = now.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("sid").alias("hub")).where("lo != hi").select("shingle", "hub")
             now = now.join(mixed, "shingle").select("sid", "n", "component", "hub").distinct()
             now = saved(now)
