@@ -95,3 +95,21 @@ def lloyd(k: int, steps: int) -> str:
 def classed(centres: str = "c_") -> str:
     """Index of the nearest of the centres of each pixel; ties go to the lowest."""
     return f"transform(v, p -> array_min(transform({centres}, (m, j) -> struct(abs(p - m) as d, j as j))).j)"
+
+
+def otsu() -> str:
+    """Otsu's threshold from the histogram h_: the least value that maximises the variance between the classes."""
+    whole = "aggregate(h_, struct(0L as w, 0L as s), (t, e) -> struct(t.w + e.n as w, t.s + cast(e.v as bigint) * e.n as s))"
+    d = "(cast(t_.s as double) * (b.w + e.n) - cast(t_.w as double) * (b.s + cast(e.v as bigint) * e.n))"
+    between = f"case when b.w + e.n < t_.w then {d} * {d} / (cast(b.w + e.n as double) * (t_.w - b.w - e.n)) else 0D end"
+    step = f"transform(array({between}), z -> struct(b.w + e.n as w, b.s + cast(e.v as bigint) * e.n as s, if(z > b.best, z, b.best) as best, if(z > b.best, e.v, b.at) as at))[0]"
+    return f"transform(array({whole}), t_ -> aggregate(h_, struct(0L as w, 0L as s, -1D as best, 0 as at), (b, e) -> {step}).at)[0]"
+
+
+def notched(fy: int, fx: int) -> str:
+    """Without one frequency and its mirror: its cosine and sine parts are subtracted."""
+    angle = f"(2 * pi() * ({fy} * ({Y}) / h + {fx} * ({X}) / w))"
+    part = lambda f: f"aggregate(zip_with(v, t_, (p, a) -> p * {f}(a)), 0D, (s, x) -> s + x)"
+    own = f"if({2 * fy} % h = 0 and {2 * fx} % w = 0, 1D, 2D) / (h * w)"
+    out = f"zip_with(v, t_, (p, a) -> cast(greatest(0D, least(255D, rint(p - {own} * (c_[0] * cos(a) + c_[1] * sin(a))))) as int))"
+    return f"transform(array({every(angle)}), t_ -> transform(array(array({part('cos')}, {part('sin')})), c_ -> {out})[0])[0]"

@@ -98,8 +98,8 @@ def otsu(images: DataFrame) -> DataFrame:
     whole = W.partitionBy("image_id")
     s = F.col("c") * F.col("v")
     sums = counts.select("image_id", "v", F.sum("c").over(up).alias("w0"), F.sum(s).over(up).alias("s0"), F.sum("c").over(whole).alias("n"), F.sum(s).over(whole).alias("s"))
-    d = F.col("s") * F.col("w0") - F.col("n") * F.col("s0")
-    between = F.when(F.col("w0") < F.col("n"), (d * d).cast("double") / (F.col("w0") * (F.col("n") - F.col("w0"))).cast("double")).otherwise(F.lit(0.0))
+    d = F.col("s").cast("double") * F.col("w0") - F.col("n").cast("double") * F.col("s0")
+    between = F.when(F.col("w0") < F.col("n"), d * d / (F.col("w0").cast("double") * (F.col("n") - F.col("w0")))).otherwise(F.lit(0.0))
     return sums.groupBy("image_id").agg(F.max_by("v", F.struct(between, -F.col("v"))).alias("threshold"))
 
 

@@ -15,6 +15,7 @@ from lumagrid.functions import raster as R
 from lumagrid.operators import images as I
 from lumagrid.operators import kernels as K
 from lumagrid.operators.kernels import map_images
+from lumagrid.sources.images import to_pixels
 
 RASTER = "h int, w int, v array<int>"
 
@@ -36,12 +37,14 @@ def vectorise(images: DataFrame, over: int = 128, tolerance: float = 0.0) -> Dat
 
 
 def detect_text(images: DataFrame, over: int | None = None) -> DataFrame:
-    """1-2: boxes of lines of text (ink is over the threshold; Otsu's if none is given): image_id, x0, y0, x1, y1."""
-
-    def lines(a):
-        return [dict(zip(("x0", "y0", "x1", "y1"), b)) for b in K.text_lines(a > (_otsu(a) if over is None else over))]
-
-    return map_images(images, lines, "x0 int, y0 int, x1 int, y1 int")
+    """1-2: boxes of lines of text, bands of rows with ink (over the threshold; Otsu's if none is given): image_id, x0, y0, x1, y1."""
+    limit = F.lit(over) if over is not None else I.once(f"transform(array({R.histogram()}), h_ -> {R.otsu()})[0]")
+    bare = images.where("h is not null and w is not null and v is not null").withColumn("limit", limit)
+    ink = to_pixels(bare.select("image_id", "h", "w", F.expr("transform(v, p -> cast(p > limit as int))").alias("v"))).where("v = 1")
+    rows = ink.groupBy("image_id", "y").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    band = F.col("y") - F.row_number().over(W.partitionBy("image_id").orderBy("y"))
+    boxes = rows.withColumn("band", band).groupBy("image_id", "band").agg(F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), F.max("y").alias("y1"))
+    return boxes.drop("band")
 
 
 def recognise_text(images: DataFrame, templates: dict[str, np.ndarray], over: int = 128) -> DataFrame:
@@ -74,7 +77,7 @@ def remove_screen_pattern(images: DataFrame, factor: float = 6.0) -> DataFrame:
 
 def notch(images: DataFrame, fy: int = 0, fx: int = 1) -> DataFrame:
     """3-1, for a known frequency."""
-    return map_images(images, lambda a: _raster(K.notch(a, fy, fx)), RASTER)
+    return I.kernel(images, R.notched(fy, fx))
 
 
 def fill_in(images: DataFrame, over: int = 240) -> DataFrame:

@@ -69,12 +69,12 @@ QUERIES = {
     "remove_stains": _pixels(V.remove_stains),
     "segment": _pixels(V.segment),
     "levenshtein": levenshtein,
+    "detect_text": _rows(V.detect_text),
     "components": _rows(V.components),
     "regions": _rows(V.regions),
     "text_language": text_language,
     # without an oracle: tested against hand-made images and by degrading and restoring
     "vectorise": _rows(V.vectorise),
-    "detect_text": _rows(V.detect_text),
     "deblur_wiener": _pixels(lambda d: V.deblur(d, PSF)),
     "deblur_richardson_lucy": _pixels(lambda d: V.deblur(d, PSF, "richardson_lucy")),
     "fft_notch": _pixels(V.notch),
@@ -137,6 +137,11 @@ ORACLES = {
       f"""r AS (SELECT image_id, y, x, y * 8 + x AS label FROM px WHERE v > 128
       UNION SELECT q.image_id, q.y, q.x, r.label FROM r CROSS JOIN {SIDES} JOIN px q ON q.image_id = r.image_id AND q.y = r.y + s.dy AND q.x = r.x + s.dx WHERE q.v > 128)""",
       "c AS (SELECT image_id, y, x, CAST(min(label) AS INTEGER) AS label FROM r GROUP BY image_id, y, x)"),
+    "detect_text": _sql("SELECT image_id, CAST(min(x0) AS INTEGER) AS x0, CAST(min(y) AS INTEGER) AS y0, CAST(max(x1) AS INTEGER) AS x1, CAST(max(y) AS INTEGER) AS y1 FROM (SELECT *, y - row_number() OVER (PARTITION BY image_id ORDER BY y) AS band FROM r) GROUP BY image_id, band",
+      "c AS (SELECT image_id, v, count(*) AS c FROM px GROUP BY ALL)",
+      "s AS (SELECT image_id, v, sum(c) OVER up AS w0, sum(c * v) OVER up AS s0, sum(c) OVER al AS n, sum(c * v) OVER al AS s FROM c WINDOW up AS (PARTITION BY image_id ORDER BY v ROWS UNBOUNDED PRECEDING), al AS (PARTITION BY image_id))",
+      "o AS (SELECT image_id, v AS t FROM s QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY CASE WHEN w0 < n THEN CAST((s * w0 - n * s0) * (s * w0 - n * s0) AS DOUBLE) / CAST(w0 * (n - w0) AS DOUBLE) ELSE 0.0 END DESC, v) = 1)",
+      "r AS (SELECT image_id, y, min(x) AS x0, max(x) AS x1 FROM px JOIN o USING (image_id) WHERE px.v > o.t GROUP BY ALL)"),
     "levenshtein": """SELECT a.doc_id, CAST(levenshtein(a.t, b.t) AS BIGINT) AS edits, CAST(length(a.t) AS BIGINT) AS characters FROM l a JOIN l b ON b.doc_id = a.doc_id + 1""".join(
       ["WITH l AS (SELECT doc_id, substr(regexp_replace(text, '[^A-Za-z]', '', 'g'), 1, 30) AS t FROM documents WHERE text IS NOT NULL) ", ""]),
     "remove_stains": _sql("SELECT image_id, y, x, CAST(greatest(0, least(255, round_even(v * (hi / paper), 0))) AS INTEGER) AS v FROM px JOIN pp USING (image_id, y, x) JOIN (SELECT image_id, max(paper) AS hi FROM pp GROUP BY image_id) USING (image_id)",

@@ -119,6 +119,20 @@ def test_stains_and_segments(spark):
     assert values(V.segment(packed(spark, [[7, 7]])))[0] == [[0, 0]]
 
 
+def test_expressions_equal_kernels(spark):
+    rng = np.random.default_rng(9)
+    arrays = [rng.integers(0, 256, (6, 8)) for _ in range(5)]
+    d = packed(spark, *arrays)
+    for fy, fx in ((0, 1), (2, 3), (3, 4), (0, 0)):
+        assert all(np.abs(np.array(g) - K.notch(a.astype(float), fy, fx)).max() <= 1 for g, a in zip(values(V.notch(d, fy, fx)), arrays))
+    got = {}
+    for r in V.detect_text(d).collect():
+        got.setdefault(r.image_id, set()).add((r.x0, r.y0, r.x1, r.y1))
+    assert all(got[k] == set(K.text_lines(a > V._otsu(a.astype(float)))) for k, a in enumerate(arrays))
+    large = packed(spark, rng.integers(0, 256, (400, 500)))
+    assert I.otsu(large).first().threshold == V._otsu(np.array(large.first().v, float).reshape(400, 500))
+
+
 def test_layout_of_lines(spark):
     lines = spark.createDataFrame([(1, 0, 20, 9, 24), (1, 0, 0, 9, 4), (1, 0, 6, 9, 9), (2, 0, 3, 4, 5)], "image_id long, x0 int, y0 int, x1 int, y1 int")
     got = sorted((r.image_id, r.y0, r.block, r.line) for r in V.text_blocks(lines).collect())
