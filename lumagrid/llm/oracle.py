@@ -33,10 +33,10 @@ m AS (SELECT doc_id, i, n, item, j FROM dw JOIN bw USING (n, win)),
 h AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM m) GROUP BY doc_id),
 t AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY doc_id),
 g AS (SELECT doc_id, item, i, j, n, i - row_number() OVER (PARTITION BY doc_id, item, i - j ORDER BY i) AS run FROM m),
-x AS (SELECT doc_id, item, min(i) - 1 AS at, min(j) - 1 AS begin, max(n) + count(*) - 1 AS size FROM g GROUP BY doc_id, item, i - j, run),
-best AS (SELECT doc_id, item, at, begin, size FROM x QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, item, at, begin) = 1)
+x AS (SELECT doc_id, item, min(i) - 1 AS doc_at, min(j) - 1 AS item_at, max(n) + count(*) - 1 AS size FROM g GROUP BY doc_id, item, i - j, run),
+best AS (SELECT doc_id, item, doc_at, item_at, size FROM x QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, item, doc_at, item_at) = 1)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
-  coalesce(size, 0) AS longest, best.item AS longest_item, at AS longest_at, begin AS longest_from
+  coalesce(size, 0) AS longest, best.item AS longest_item, doc_at AS longest_at, item_at AS longest_from
 FROM w LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN best USING (doc_id)"""
 
 
