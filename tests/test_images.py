@@ -242,3 +242,25 @@ def test_stream_of_pictures(spark, tmp_path):
 def test_missing_model_says_so(spark):
     with pytest.raises(Exception, match="no model weights"):
         models.run_model(packed(spark, A), "/nowhere/model.onnx").collect()
+
+
+def small_model(operation: bytes) -> bytes:
+    """An ONNX file with one operation from x to y, both float images of four dimensions, written field by field."""
+
+    def field(n, data):
+        if isinstance(data, int):
+            return bytes([n << 3, data])
+        return bytes([n << 3 | 2, len(data)]) + data
+
+    def tensor(name):
+        shape = b"".join(field(1, field(2, d)) for d in (b"n", b"c", b"h", b"w"))
+        return field(1, name) + field(2, field(1, field(1, 1) + field(2, shape)))
+
+    graph = field(1, field(1, b"x") + field(2, b"y") + field(4, operation)) + field(2, b"g") + field(11, tensor(b"x")) + field(12, tensor(b"y"))
+    return field(1, 8) + field(7, graph) + field(8, field(1, b"") + field(2, 13))
+
+
+def test_a_supplied_model_runs(spark, tmp_path):
+    (tmp_path / "neg.onnx").write_bytes(small_model(b"Neg"))
+    got = {r.image_id: r.output for r in models.run_model(packed(spark, A, [[255]]), str(tmp_path / "neg.onnx")).collect()}
+    assert got[0] == pytest.approx([-x / 255 for r in A for x in r], abs=1e-6) and got[1] == [-1.0]
