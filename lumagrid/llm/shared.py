@@ -18,8 +18,8 @@ _written: dict[str, list[str]] = {}
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes too: 10,000 rows of long texts may be gigabytes."""
-    if int(spark.conf.get(_BATCH, str(2**31 - 1)).rstrip("bB") or 0) > 1 << 30:
+    """Bound Arrow batches by bytes: 10,000 rows of long texts are many for a worker that shares its executor's memory."""
+    if spark.conf.get(_BATCH, None) is None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
