@@ -41,7 +41,7 @@ GROUP = 1_500_000
 #: Sets in a block of those that are compared with each other.
 BLOCK = 256
 #: Members of long lists that lie apart, from which on they are checked against further ones of their list first, and how often.
-MANY, ROUNDS = 50_000, 4
+MANY, ROUNDS = 5_000_000, 4
 #: Ids up to which the documents to look at again are broadcast.
 SMALL = 2_000_000
 
