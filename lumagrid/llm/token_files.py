@@ -28,8 +28,8 @@ from lumagrid.llm.bpe import byte_bpe
 from lumagrid.llm.shared import partitions, saved
 
 BITS = 20
-LANES = 512
-EVERY = 256
+LANES = 2048
+EVERY = 64
 #: Tokens from which on a block ends.
 BLOCK = 1 << 20
 _LOW = np.uint64(1 << 31)
