@@ -77,22 +77,15 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _compare(keys: np.ndarray, ids: np.ndarray, x: np.ndarray, own: np.ndarray, weight: np.ndarray, side: np.ndarray, across: bool, limit: float):
-    """All rows of one key (or pair of blocks): linked weight per row and the least id of its local component."""
+def _compare(key: int, ids: np.ndarray, linked: np.ndarray, own: np.ndarray, weight: np.ndarray):
+    """Rows of one key (or pair of blocks) and which of them are linked: weight of the links that count here per row, and the least id of its local component."""
     kinds, kind = np.unique(own, axis=0, return_inverse=True)
     kind = kind.ravel()
     big = np.iinfo(np.int64).max
     first = np.full((len(kinds), len(kinds)), big)
     for a in range(len(kinds)):
-        common = np.isin(kinds, kinds[a])
-        least = np.where(common, kinds, big).min(1)
-        first[a] = least
-    linked = x @ x.T >= limit
-    np.fill_diagonal(linked, False)
-    if across:  # two blocks: pairs within one are compared elsewhere
-        linked &= side[:, None] != side[None, :]
-    counted = linked & (first[kind[:, None], kind[None, :]] == keys[0])
-    n = counted @ weight
+        first[a] = np.where(np.isin(kinds, kinds[a]), kinds, big).min(1)
+    n = (linked & (first[kind[:, None], kind[None, :]] == key)) @ weight
     root, before = ids.copy(), None
     while before is None or (root != before).any():
         before = root
@@ -144,14 +137,24 @@ def near_duplicates(table: DataFrame, limit: float = 0.95, vec: str = "vec_id",
             across = group["i"][0] != group["j"][0]
             by_list = np.lexsort([ids, key])
             cuts = np.flatnonzero(np.diff(key[by_list])) + 1
+            same = len({len(v) for v in vectors}) == 1
+            units = unit(np.stack(vectors)) if same else None
             out = [[np.zeros(0, np.int64)] * 3]
             for run in np.split(by_list, cuts):
-                if len(run) > 1:
-                    x = np.stack([vectors[r] for r in run])
-                    own = lists_of(np.stack([orders[r] for r in run]), len(pivots), x.shape[1], shared)
-                    n, root = _compare(key[run], ids[run], unit(x), own, weight[run], side[run], across, limit)
-                    some = (root < ids[run]) | (n > 0)
-                    out.append([ids[run][some], n[some].astype(np.int64), root[some]])
+                if len(run) < 2:
+                    continue
+                x = units[run] if same else unit(np.stack([vectors[r] for r in run]))
+                linked = x @ x.T >= limit
+                np.fill_diagonal(linked, False)
+                if across:  # two blocks: pairs within one are compared elsewhere
+                    linked &= side[run][:, None] != side[run][None, :]
+                some = np.flatnonzero(linked.any(1))  # most lists hold no link, and need no more than this
+                if len(some):
+                    rows = run[some]
+                    own = lists_of(np.stack([orders[r] for r in rows]), len(pivots), x.shape[1], shared)
+                    n, root = _compare(key[run[0]], ids[rows], linked[np.ix_(some, some)], own, weight[rows])
+                    told = (root < ids[rows]) | (n > 0)
+                    out.append([ids[rows][told], n[told].astype(np.int64), root[told]])
             a, b, c = (np.concatenate(x) for x in zip(*out))
             return pa.table({"id": a, "n": b, "root": c})
 
