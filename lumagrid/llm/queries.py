@@ -82,8 +82,14 @@ def op10_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumagrid.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_kneser_ney_quality, op3_ngram_jaccard, op4_pivot_near_duplicates, op5_language_id, op6_benchmark_decontamination, op7_url_reputation, op8_context_mixing, op9_token_files, op10_disclosure)}
+    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_kneser_ney_quality, op3_ngram_jaccard, op4_pivot_near_duplicates, op5_language_id, op6_benchmark_decontamination, op7_url_reputation, op8_context_mixing, op9_token_files, op10_disclosure, op11_exact_complement_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
