@@ -88,8 +88,14 @@ def op11_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumagrid.llm.alignment import align
+
+    return align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_kneser_ney_quality, op3_ngram_jaccard, op4_pivot_near_duplicates, op5_language_id, op6_benchmark_decontamination, op7_url_reputation, op8_context_mixing, op9_token_files, op10_disclosure, op11_exact_complement_packing)}
+    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_kneser_ney_quality, op3_ngram_jaccard, op4_pivot_near_duplicates, op5_language_id, op6_benchmark_decontamination, op7_url_reputation, op8_context_mixing, op9_token_files, op10_disclosure, op11_exact_complement_packing, op12_tokenizer_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
