@@ -39,6 +39,20 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
   coalesce(size, 0) AS longest, best.item AS longest_item, doc_at AS longest_at, item_at AS longest_from
 FROM w LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN best USING (doc_id)"""
 
+FILTER_AUDIT = r"""WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x FROM documents),
+w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY x) AS least FROM t),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, (CASE WHEN len(ws) < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 2 ELSE 0 END)
+  + (CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 5 * length(x) THEN 4 ELSE 0 END) + (CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN coalesce(w.doc_id > least, false) THEN 16 ELSE 0 END) AS m
+  FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, m, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, m),
+o(filter_order, step, bit, before) AS (SELECT '', 0, 0, 0 UNION ALL SELECT filter_order || letter, step + 1, b, before + bit FROM o, (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(letter, b) WHERE (before + bit) & b = 0),
+full_order AS (SELECT a.filter_order, b.step, b.bit, b.before FROM o a JOIN o b ON starts_with(a.filter_order, b.filter_order) WHERE a.step = 5 AND b.step > 0),
+s AS (SELECT part, filter_order, step, bit, sum(CASE WHEN m & (before | bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN m & bit > 0 AND m & before = 0 THEN n ELSE 0 END) AS removed, sum(CASE WHEN m & bit > 0 AND m & before > 0 THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN m = bit THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN m & bit > 0 AND m & before = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN m & bit > 0 AND m & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, full_order GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM s"""
+
 
 def _strength(groups: str) -> str:
     """Prior strength from groups (n, y): 1 / intra-class correlation - 1, between 1 and 1000."""

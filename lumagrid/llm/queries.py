@@ -94,8 +94,14 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumagrid.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_kneser_ney_quality, op3_ngram_jaccard, op4_pivot_near_duplicates, op5_language_id, op6_benchmark_decontamination, op7_url_reputation, op8_context_mixing, op9_token_files, op10_disclosure, op11_exact_complement_packing, op12_tokenizer_alignment)}
+    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_kneser_ney_quality, op3_ngram_jaccard, op4_pivot_near_duplicates, op5_language_id, op6_benchmark_decontamination, op7_url_reputation, op8_context_mixing, op9_token_files, op10_disclosure, op11_exact_complement_packing, op12_tokenizer_alignment, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -103,4 +109,4 @@ def oracle_sql() -> dict[str, str]:
     from lumagrid.llm import oracle
     from lumagrid.llm.host_reputation import RULES
 
-    return {"op3_ngram_jaccard": oracle.NGRAM_JACCARD, "op4_pivot_near_duplicates": oracle.PIVOT_NEAR_DUPLICATES, "op6_benchmark_decontamination": oracle.BENCHMARK_DECONTAMINATION, "op7_url_reputation": oracle.url_reputation(RULES)}
+    return {"op3_ngram_jaccard": oracle.NGRAM_JACCARD, "op4_pivot_near_duplicates": oracle.PIVOT_NEAR_DUPLICATES, "op6_benchmark_decontamination": oracle.BENCHMARK_DECONTAMINATION, "op7_url_reputation": oracle.url_reputation(RULES), "op13_filter_audit": oracle.FILTER_AUDIT}
