@@ -73,7 +73,8 @@ def failures(docs: DataFrame, doc: str = "doc_id", text: str = "text", part: str
                 row += rows.num_rows
 
     rows = saved(slim.mapInArrow(work, "row long, doc_id long, part string, digest binary" + "".join(f", {f} boolean" for f in FILTERS[:4])))
-    copied = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # written, so that its join shuffles both sides anew and Spark can split a text that very many documents hold
+    copied = saved(rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"))
     return rows.join(copied, "digest", "left").select("row", "doc_id", "part", *FILTERS[:4], F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("E"))
 
 
