@@ -1,7 +1,7 @@
 """The eleven image capabilities over DataFrames of packed rasters.
 
-Stains, regions, layout and segments are expressions and groupings; Fourier filters, warps, labels and outlines are
-small numpy kernels (lumagrid.operators.kernels) in Arrow batches. Rows without a raster are left out by the latter.
+Stains, regions, layout, outlines, straightening and segments are expressions, joins and groupings; Fourier filters and
+labels are small numpy kernels (lumagrid.operators.kernels) in Arrow batches. Rows without a raster are left out by the latter.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lumagrid.functions import raster as R
 from lumagrid.operators import images as I
 from lumagrid.operators import kernels as K
+from lumagrid.operators import lines, outlines
 from lumagrid.operators.kernels import map_images
 from lumagrid.sources.images import to_pixels
 
@@ -32,14 +33,19 @@ def _otsu(a: np.ndarray) -> int:
 
 
 def vectorise(images: DataFrame, over: int = 128, tolerance: float = 0.0) -> DataFrame:
-    """1-1: outlines of the ink as SVG: image_id, n_paths, svg."""
+    """1-1: outlines of the ink as SVG: image_id, n_paths, svg. With a tolerance, lines are simplified image by image."""
+    if not tolerance:
+        return outlines.svg(images, over)
     return map_images(images, lambda a: {"n_paths": len(K.outlines(a > over)), "svg": K.svg(a > over, tolerance)}, "n_paths int, svg string")
 
 
+def _limit(over: int | None):
+    return F.lit(over) if over is not None else I.once(f"transform(array({R.histogram()}), h_ -> {R.otsu()})[0]")
+
+
 def detect_text(images: DataFrame, over: int | None = None) -> DataFrame:
     """1-2: boxes of lines of text, bands of rows with ink (over the threshold; Otsu's if none is given): image_id, x0, y0, x1, y1."""
-    limit = F.lit(over) if over is not None else I.once(f"transform(array({R.histogram()}), h_ -> {R.otsu()})[0]")
-    bare = images.where("h is not null and w is not null and v is not null").withColumn("limit", limit)
+    bare = images.where("h is not null and w is not null and v is not null").withColumn("limit", _limit(over))
     ink = to_pixels(bare.select("image_id", "h", "w", F.expr("transform(v, p -> cast(p > limit as int))").alias("v"))).where("v = 1")
     rows = ink.groupBy("image_id", "y").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
     band = F.col("y") - F.row_number().over(W.partitionBy("image_id").orderBy("y"))
@@ -50,14 +56,14 @@ def detect_text(images: DataFrame, over: int | None = None) -> DataFrame:
 def recognise_text(images: DataFrame, templates: dict[str, np.ndarray], over: int = 128) -> DataFrame:
     """1-2 for rendered text: every line read by template matching. Handwriting (1-3) needs a model: see models.run_model."""
 
-    def lines(a):
+    def read(a):
         out = []
         for x0, y0, x1, y1 in K.text_lines(a > over):
             text, score = K.read_line(a[y0 : y1 + 1, x0 : x1 + 1] > over, templates)
             out.append({"x0": x0, "y0": y0, "x1": x1, "y1": y1, "text": text, "score": score})
         return out
 
-    return map_images(images, lines, "x0 int, y0 int, x1 int, y1 int, text string, score double")
+    return map_images(images, read, "x0 int, y0 int, x1 int, y1 int, text string, score double")
 
 
 def remove_stains(images: DataFrame, radius: int = 2) -> DataFrame:
@@ -101,17 +107,19 @@ def regions(images: DataFrame, over: int = 128) -> DataFrame:
     return components(images, over).groupBy("image_id", "label").agg(*box, F.count("*").alias("area"))
 
 
-def text_blocks(lines: DataFrame, gap: int = 2) -> DataFrame:
+def text_blocks(boxes: DataFrame, gap: int = 2) -> DataFrame:
     """1-1: layout: lines (image_id, x0, y0, x1, y1) in reading order, and blocks of lines that lie at most gap rows apart: with block and line."""
     down = W.partitionBy("image_id").orderBy("y0", "x0")
     reach = F.max("y1").over(down.rowsBetween(W.unboundedPreceding, -1))
     new = F.coalesce((F.col("y0") - reach > gap).cast("int"), F.lit(0))
-    return lines.withColumn("block", F.sum(new).over(down)).withColumn("line", F.row_number().over(W.partitionBy("image_id", "block").orderBy("y0", "x0")))
+    return boxes.withColumn("block", F.sum(new).over(down)).withColumn("line", F.row_number().over(W.partitionBy("image_id", "block").orderBy("y0", "x0")))
 
 
 def rectify(images: DataFrame, over: int | None = None) -> DataFrame:
-    """4-2: the page (over Otsu's threshold, or a given one) straightened."""
-    return map_images(images, lambda a: _raster(K.rectify(a, a > (_otsu(a) if over is None else over))), RASTER)
+    """4-2: the page (over Otsu's threshold, or a given one) straightened; images without four borders stay as they are."""
+    ink = images.where("h is not null and w is not null and v is not null").withColumn("limit", _limit(over))
+    ink = ink.select("image_id", "h", "w", F.expr("transform(v, p -> cast(p > limit as int))").alias("v"))
+    return lines.warped(images, lines.homographies(lines.page_corners(ink, 0)))
 
 
 def segment(images: DataFrame, k: int = 3, steps: int = 12) -> DataFrame:

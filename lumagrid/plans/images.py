@@ -74,13 +74,11 @@ QUERIES = {
     "regions": _rows(V.regions),
     "text_language": text_language,
     # without an oracle: tested against hand-made images and by degrading and restoring
-    "vectorise": _rows(V.vectorise),
     "deblur_wiener": _pixels(lambda d: V.deblur(d, PSF)),
     "deblur_richardson_lucy": _pixels(lambda d: V.deblur(d, PSF, "richardson_lucy")),
     "fft_notch": _pixels(V.notch),
     "remove_screen_pattern": _pixels(V.remove_screen_pattern),
     "fill_in": _pixels(V.fill_in),
-    "rectify": _pixels(V.rectify),
     "enhance": _pixels(V.enhance),
 }
 

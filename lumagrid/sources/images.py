@@ -32,6 +32,14 @@ def to_pixels(images: DataFrame, values: str = "v") -> DataFrame:
     return images.select("image_id", "w", F.posexplode(values).alias("i", "v")).select("image_id", F.expr("cast(i div w as int)").alias("y"), F.expr("cast(i % w as int)").alias("x"), "v")
 
 
+def sheet(images: DataFrame, across: int) -> tuple[DataFrame, DataFrame]:
+    """Rasters of one size laid out by their ids, so many in a row, as one image (id 0): its pixel table, and its size as a table of one row."""
+    at = images.where("image_id >= 0").select("h", "w", "image_id", F.posexplode("v").alias("i", "v"))
+    pixels = at.selectExpr("0L as image_id", f"cast((image_id div {across}) * h + i div w as int) as y", f"cast((image_id % {across}) * w + i % w as int) as x", "v")
+    sizes = images.where("image_id >= 0").groupBy().agg(F.max("image_id").alias("last"), F.max("h").alias("h"), F.max("w").alias("w")).where("last is not null")
+    return pixels, sizes.selectExpr("0L as image_id", f"cast((last div {across} + 1) * h as int) as image_h", f"cast({across} * w as int) as image_w")
+
+
 def to_packed(pixels: DataFrame) -> DataFrame:
     """The inverse of to_pixels for whole images: one shuffle by image."""
     grouped = pixels.groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("p"))

@@ -158,7 +158,7 @@ def test_colours_and_names(spark, tmp_path):
     assert S.file_name("../x") != S.file_name("x") == "x" and "/" not in S.file_name("../../etc")
 
 
-def test_rectify_and_outlines():
+def test_rectify_and_outlines_of_arrays():
     rng = np.random.default_rng(5)
     page = np.zeros((40, 40))
     corners = np.array([[8, 5], [33, 8], [30, 35], [5, 30]], float)
