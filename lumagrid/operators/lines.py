@@ -43,12 +43,14 @@ def votes(sides: DataFrame) -> DataFrame:
 
 def peaks(cells: DataFrame, keep: int = 1) -> DataFrame:
     """The strongest cells of each image and direction that no neighbour (one step of angle, one pixel) exceeds, with their rank; ties go to the lesser theta, then rho."""
-    strength = F.struct("votes", (-F.col("theta")).alias("a"), (-F.col("rho")).alias("b"))
+    # votes, then the lesser theta, then the lesser rho, as one number
+    strength = F.expr("votes * 4294967296 - (theta + 90) * 4194304 - (rho + 2097152)")
     spread = F.expr("explode(flatten(transform(sequence(-10, 10, 10), a -> transform(sequence(-1, 1), r -> struct(theta + a as t, rho + r as r, a = 0 and r = 0 as own)))))")
     # every cell tells its neighbours and itself how strong it is, so one grouping finds the cells that are the strongest they hear of
-    told = cells.select("image_id", "dir", strength.alias("strength"), spread.alias("to"))
-    heard = told.groupBy("image_id", "dir", F.col("to.t").alias("theta"), F.col("to.r").alias("rho")).agg(F.max("strength").alias("most"), F.max(F.when(F.col("to.own"), F.col("strength"))).alias("own"))
-    top = heard.where("own = most").withColumn("votes", F.col("own.votes"))
+    told = cells.select("image_id", "dir", "votes", strength.alias("strength"), spread.alias("to"))
+    own = lambda c: F.max(F.when(F.col("to.own"), F.col(c)))
+    heard = told.groupBy("image_id", "dir", F.col("to.t").alias("theta"), F.col("to.r").alias("rho")).agg(F.max("strength").alias("most"), own("strength").alias("own"), own("votes").alias("votes"))
+    top = heard.where("own = most")
     order = W.partitionBy("image_id", "dir").orderBy(F.desc("votes"), "theta", "rho")
     return top.select("image_id", "dir", "theta", "rho", "votes", F.row_number().over(order).alias("rank")).where(F.col("rank") <= keep)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lumagrid.functions import raster as R
 from lumagrid.operators import images as I
 from lumagrid.operators import kernels as K
-from lumagrid.operators import lines, outlines
+from lumagrid.operators import contrast, lines, outlines, segments, watermarks
 from lumagrid.operators.kernels import map_images
 from lumagrid.sources.images import to_pixels
 
@@ -129,4 +129,14 @@ def segment(images: DataFrame, k: int = 3, steps: int = 12) -> DataFrame:
 
 def enhance(images: DataFrame, tiles: int = 2, limit: float = 2.0) -> DataFrame:
     """5-2: contrast-limited adaptive equalisation."""
-    return map_images(images, lambda a: _raster(K.clahe(a, tiles, limit)), RASTER)
+    return contrast.adapted(images, tiles, limit)
+
+
+def segment_regions(images: DataFrame, scale: float = 100.0) -> DataFrame:
+    """5-1: connected regions whose outer differences stand out: image_id, y, x, label."""
+    return segments.graph_segments(images, scale)
+
+
+def remove_watermark(images: DataFrame, clean: DataFrame | None = None) -> DataFrame:
+    """3-2 over many images: the mark's opacity and colour are found at each place (from pairs, where clean ones are given) and taken out."""
+    return watermarks.unmarked(images, watermarks.matte(images) if clean is None else watermarks.matte_of_pairs(images, clean))

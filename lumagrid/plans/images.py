@@ -79,7 +79,6 @@ QUERIES = {
     "fft_notch": _pixels(V.notch),
     "remove_screen_pattern": _pixels(V.remove_screen_pattern),
     "fill_in": _pixels(V.fill_in),
-    "enhance": _pixels(V.enhance),
 }
 
 PX = """px AS MATERIALIZED (SELECT vec_id AS image_id, CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x,

@@ -8,11 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumagrid.operators import contrast as C
 from lumagrid.operators import images as I
 from lumagrid.operators import lines as L
 from lumagrid.operators import outlines as O
 from lumagrid.operators import regions as RG
+from lumagrid.operators import segments as G
 from lumagrid.operators import tiles as T
+from lumagrid.operators import watermarks as M
 from lumagrid.plans.images import _images, _sql
 from lumagrid.sources.images import sheet, to_pixels
 
@@ -64,7 +67,38 @@ def rectify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_pixels(L.rectified(_images(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (tiled_box3, tiled_components, tiled_regions, outlines, vectorise, hough_peaks, corners, homography, rectify)}
+def enhance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return to_pixels(C.adapted(_images(spark, sf_dir)))
+
+
+def graph_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without SQL: tests hold it against a plain version that takes link by link."""
+    return G.graph_segments(_images(spark, sf_dir))
+
+
+#: A mark that queries plant on all images: opacity in eighths and colour of place i.
+OPACITY, COLOUR = "(i % 4) / 8.0D", "cast(30 * (i % 8) as double)"
+
+
+def _planted(images: DataFrame) -> DataFrame:
+    return I.kernel(images, f"transform(v, (p, i) -> cast(floor((1D - {OPACITY}) * p + {OPACITY} * {COLOUR} + 0.5D) as int))")
+
+
+def watermark_matte(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = _images(spark, sf_dir)
+    return M.matte_of_pairs(_planted(clean), clean).select("i", _micro("opacity"), _micro("colour"))
+
+
+def watermark_unpaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.matte(_planted(_images(spark, sf_dir))).select("i", _micro("opacity"), _micro("colour"))
+
+
+def watermark_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = _images(spark, sf_dir)
+    return to_pixels(M.unmarked(_planted(clean), M.matte_of_pairs(_planted(clean), clean)))
+
+
+QUERIES = {f.__name__: f for f in (tiled_box3, tiled_components, tiled_regions, outlines, vectorise, hough_peaks, corners, homography, rectify, enhance, graph_segment, watermark_matte, watermark_unpaired, watermark_removed)}
 
 _SHEET = f"sh AS MATERIALIZED (SELECT CAST((image_id // {ACROSS}) * 8 + y AS INTEGER) AS y, CAST((image_id % {ACROSS}) * 8 + x AS INTEGER) AS x, v FROM px)"
 _FOUR = "(VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) s(dy, dx)"
@@ -106,6 +140,21 @@ _WARP = f"""wa AS (SELECT image_id, px.y, px.x, v, m, greatest(0.0::DOUBLE, leas
 wb AS (SELECT *, CAST(least(floor(u), 6) AS INTEGER) AS a, CAST(least(floor(t), 6) AS INTEGER) AS b FROM wa)"""
 
 
+_TILED = """tp AS MATERIALIZED (SELECT image_id, CAST((y // 4) * 2 + x // 4 AS INTEGER) AS tile, v AS p, count(*) AS c FROM px GROUP BY ALL),
+ce AS (SELECT *, least(c, 1) AS own, 16 - sum(least(c, 1)) OVER (PARTITION BY image_id, tile) AS spare FROM tp),
+tt AS MATERIALIZED (SELECT image_id, tile, u, ((sum(CASE WHEN p <= u THEN own ELSE 0 END) * 256 + (u + 1) * any_value(spare)) * 255 * 4096) // (256 * 16) AS m FROM ce, unnest(range(256)) t(u) GROUP BY image_id, tile, u),
+aq AS (SELECT image_id, y, x, v, least(1, greatest(0, 2 * y - 3) // 8) AS ty, least(1, greatest(0, 2 * x - 3) // 8) AS tx, greatest(0, 2 * y - 3) AS ry, greatest(0, 2 * x - 3) AS rx FROM px),
+af AS (SELECT *, CASE WHEN ty >= 1 THEN 0 ELSE ry % 8 END AS fy, CASE WHEN tx >= 1 THEN 0 ELSE rx % 8 END AS fx FROM aq)"""
+_OPACITY, _COLOUR = "((y * 8 + x) % 4) / 8.0::DOUBLE", "CAST(30 * x AS DOUBLE)"
+_PLANTED = f"mk AS MATERIALIZED (SELECT image_id, y, x, y * 8 + x AS i, v AS p, CAST(floor((1.0::DOUBLE - {_OPACITY}) * v + {_OPACITY} * {_COLOUR} + 0.5::DOUBLE) AS INTEGER) AS v FROM px)"
+_SUMS = "s1 AS (SELECT i, count(*) AS n, sum(v) AS sv, sum(p) AS sp, sum(p * p) AS spp, sum(p * v) AS spv, sum(v * v) AS svv FROM mk GROUP BY i)"
+_PAIRED = "s2 AS (SELECT *, CASE WHEN n * spp - sp * sp <> 0 THEN CAST(n * spv - sp * sv AS DOUBLE) / CAST(n * spp - sp * sp AS DOUBLE) END AS slope FROM s1), s3 AS (SELECT *, (CAST(sv AS DOUBLE) - slope * CAST(sp AS DOUBLE)) / n AS base FROM s2)"
+_UNPAIRED = """sm AS (SELECT *, n * svv - sv * sv AS spread, row_number() OVER (ORDER BY n * svv - sv * sv, i) AS k, row_number() OVER (ORDER BY sv, i) AS kv FROM s1),
+s2 AS (SELECT *, (SELECT sv FROM sm WHERE kv = 32) AS mid, sqrt(CAST(spread AS DOUBLE) / CAST((SELECT spread FROM sm WHERE k = 32) AS DOUBLE)) AS slope FROM sm), s3 AS (SELECT *, (CAST(sv AS DOUBLE) - slope * CAST(mid AS DOUBLE)) / n AS base FROM s2)"""
+_MATTE = f"""ma AS MATERIALIZED (SELECT CAST(i AS INTEGER) AS i, opacity, CASE WHEN opacity = 0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(255.0::DOUBLE, base / opacity)) END AS colour FROM (
+  SELECT i, base, CASE WHEN slope IS NULL OR 1.0::DOUBLE - slope < {M.LEAST}::DOUBLE THEN 0.0::DOUBLE WHEN 1.0::DOUBLE - slope > 1 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - slope END AS opacity FROM s3))"""
+
+
 def _round(column: str) -> str:
     return f"floor({column} * 1e6 + 0.5) / 1e6 AS {column}"
 
@@ -126,4 +175,10 @@ ORACLES = {
     "homography": _sql(f"SELECT image_id, k, {_round('m')} FROM (SELECT image_id, CAST(i - 1 AS INTEGER) AS k, m[i] AS m FROM ma, unnest(range(1, 10)) t(i))", _LINES, _FIT, _MAP),
     "rectify": _sql("""SELECT w.image_id, w.y, w.x, CASE WHEN w.m IS NULL THEN w.v ELSE CAST(floor((p.v * (1.0::DOUBLE - (u - a)) + q.v * (u - a)) * (1.0::DOUBLE - (t - b)) + (r.v * (1.0::DOUBLE - (u - a)) + s.v * (u - a)) * (t - b) + 0.5::DOUBLE) AS INTEGER) END AS v FROM wb w
       LEFT JOIN px p ON p.image_id = w.image_id AND p.y = b AND p.x = a LEFT JOIN px q ON q.image_id = w.image_id AND q.y = b AND q.x = a + 1 LEFT JOIN px r ON r.image_id = w.image_id AND r.y = b + 1 AND r.x = a LEFT JOIN px s ON s.image_id = w.image_id AND s.y = b + 1 AND s.x = a + 1""", _LINES, _FIT, _MAP, _WARP),
+    "enhance": _sql("""SELECT image_id, y, x, CAST((2 * ((a.m * (8 - fx) + b.m * fx) * (8 - fy) + (c.m * (8 - fx) + d.m * fx) * fy) + 64 * 4096) // (2 * 64 * 4096) AS INTEGER) AS v FROM af
+      JOIN tt a USING (image_id) JOIN tt b USING (image_id) JOIN tt c USING (image_id) JOIN tt d USING (image_id) WHERE a.u = v AND b.u = v AND c.u = v AND d.u = v
+      AND a.tile = ty * 2 + tx AND b.tile = ty * 2 + least(1, tx + 1) AND c.tile = least(1, ty + 1) * 2 + tx AND d.tile = least(1, ty + 1) * 2 + least(1, tx + 1)""", _TILED),
+    "watermark_matte": _sql(f"SELECT i, {_round('opacity')}, {_round('colour')} FROM ma", _PLANTED, _SUMS, _PAIRED, _MATTE),
+    "watermark_unpaired": _sql(f"SELECT i, {_round('opacity')}, {_round('colour')} FROM ma", _PLANTED, _SUMS, _UNPAIRED, _MATTE),
+    "watermark_removed": _sql(f"SELECT image_id, y, x, CASE WHEN opacity = 0 OR opacity > {M.MOST} THEN v ELSE CAST(greatest(0.0::DOUBLE, least(255.0::DOUBLE, floor((v - opacity * colour) / (1.0::DOUBLE - opacity) + 0.5::DOUBLE))) AS INTEGER) END AS v FROM mk JOIN ma ON ma.i = mk.i", _PLANTED, _SUMS, _PAIRED, _MATTE),
 }

@@ -9,6 +9,7 @@ from lumagrid.operators import outlines as O
 from lumagrid.operators import regions as RG
 from lumagrid.operators import tiles as T
 from lumagrid.operators import vision as V
+from lumagrid.operators import watermarks as M
 from lumagrid.operators.links import contracted, ranked
 from lumagrid.sources import images as S
 from tests.test_images import packed
@@ -157,3 +158,80 @@ def test_homography_from_many_points(spark):
     rows = [(1, *map(float, a), float(b[0] / b[2]), float(b[1] / b[2])) for a, b in zip(p, q)] + [(2, 0.0, 0.0, 0.0, 0.0)] * 5
     got = L.fit_homographies(spark.createDataFrame(rows, "image_id long, x double, y double, u double, t double")).collect()
     assert len(got) == 1 and got[0].image_id == 1 and np.abs(np.array(got[0].m) - want.ravel()).max() < 1e-8
+
+
+def plain_segments(a, scale):
+    """The same rounds, region by region."""
+    h, w = a.shape
+    links = [(abs(int(a[y, x]) - int(a[y + dy, x + dx])), (y * w + x) * 2 + dy, y * w + x, (y + dy) * w + x + dx) for y in range(h) for x in range(w) for dy, dx in ((0, 1), (1, 0)) if y + dy < h and x + dx < w]
+    links = [(n, t * 2654435761 % 2**32, p, q) for n, t, p, q in links]
+    own, size, inner = {k: k for k in range(h * w)}, dict.fromkeys(range(h * w), 1), dict.fromkeys(range(h * w), 0)
+    while links:
+        least = {}
+        for n, t, p, q in links:
+            for r in (own[p], own[q]):
+                least[r] = min(least.get(r, (n, t, p, q)), (n, t, p, q))
+        fits = lambda n, r: n <= inner[r] + scale / size[r]
+        done = {r for r, e in least.items() if not fits(e[0], r)}
+        joins = {e for e in least.values() if fits(e[0], own[e[2]]) and fits(e[0], own[e[3]])}
+        grown = set()
+        for n, _, p, q in joins:
+            r, s = sorted((own[p], own[q]))
+            for k, o in own.items():
+                own[k] = r if o == s else o
+            size[r], inner[r] = size[r] + size[s], max(inner[r], inner[s], n)
+            grown.add(r)
+        grown = {own[r] for r in grown}
+        links = [e for e in links if own[e[2]] != own[e[3]] and not any(own[k] in done - grown for k in e[2:])]
+    return np.array([own[k] for k in range(h * w)]).reshape(h, w)
+
+
+def test_graph_segments_equal_plain_rounds(spark):
+    rng = np.random.default_rng(6)
+    halves = np.where(np.arange(16) < 8, 10, 200) + rng.integers(0, 4, (12, 16))
+    ramp = np.add.outer(np.arange(9), 3 * np.arange(9))
+    arrays = [halves, ramp, np.full((7, 7), 9), rng.integers(0, 256, (8, 8)), np.array([[5]])]
+    d = packed(spark, *arrays)
+    for scale in (20.0, 300.0):
+        got = {(r.image_id, r.y, r.x): r.label for r in V.segment_regions(d, scale).collect()}
+        for k, a in enumerate(arrays):
+            want = plain_segments(a, scale)
+            first = {}
+            for y, x in np.ndindex(*a.shape):
+                first.setdefault(want[y, x], y * a.shape[1] + x)
+            assert all(got[k, y, x] == first[want[y, x]] for y, x in np.ndindex(*a.shape)), (k, scale)
+    assert {got[0, y, x] for y in range(12) for x in range(8)} == {0} and {got[0, y, x] for y in range(12) for x in range(8, 16)} == {8}
+    assert {got[2, y, x] for y in range(7) for x in range(7)} == {0}
+    assert V.segment_regions(d.where("false")).count() == 0
+
+
+def test_planted_watermark_is_found(spark):
+    rng = np.random.default_rng(7)
+    opacity, colour = np.zeros((6, 8)), np.full((6, 8), 230.0)
+    opacity[2:4, 1:5] = [[0.25, 0.5, 0.75, 0.4], [0.3, 0.6, 0.2, 0.9]]
+    clean = [rng.integers(0, 256, (6, 8)) for _ in range(300)]
+    marked = [np.floor((1 - opacity) * a + opacity * colour + 0.5).astype(int) for a in clean]
+    d, known = packed(spark, *marked), packed(spark, *clean[:40])
+    paired = {r.i: r for r in M.matte_of_pairs(d, known).collect()}
+    for i in range(48):
+        o = opacity.ravel()[i]
+        assert paired[i].opacity == pytest.approx(o, abs=0.01) and (o == 0) == (paired[i].opacity == 0)
+        assert o == 0 or abs(paired[i].colour - 230) < 1
+    back = rasters(V.remove_watermark(d, known))
+    seen = opacity <= 0.75
+    assert all(np.abs(np.array(back[k]) - a)[seen].max() <= 3 for k, a in enumerate(clean))
+    blind = rasters(V.remove_watermark(d))
+    error = lambda out: np.mean([np.abs(np.array(out[k]) - a)[seen & (opacity > 0)].mean() for k, a in enumerate(clean)])
+    assert error(blind) < 0.4 * error({k: a for k, a in enumerate(marked)})
+    assert V.remove_watermark(d.where("false")).count() == 0
+
+
+def test_adapted_contrast(spark):
+    low = (100 + 10 * np.sin(np.mgrid[0:32, 0:32][0] / 3.0)).astype(int)
+    flat = np.full((6, 32), 90)
+    out = rasters(V.enhance(packed(spark, low, flat, np.array([[3]])), 4))
+    assert np.std(out[0]) > 1.5 * low.std() and all(len(set(r)) == 1 for r in out[0])
+    assert len({v for r in out[1] for v in r}) == 1  # six rows make three tiles of two: there is no fourth to be drawn towards
+    none = spark.createDataFrame([(1, 2, 1, [5, None]), (2, None, None, None)], "image_id long, h int, w int, v array<int>")
+    got = {r.image_id: r.v for r in V.enhance(none).collect()}
+    assert got[1][1] is None and got[2] is None
