@@ -62,9 +62,18 @@ def nearest(centres: tuple[int, ...]) -> str:
 
 
 def window(fold: str, radius: int, v: str = "v") -> str:
-    """greatest, least or sum of the square around each pixel; the border repeats."""
-    around = [near(dy, dx, v) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)]
-    return every(" + ".join(around) if fold == "sum" else f"{fold}({', '.join(around)})")
+    """greatest, least or sum of the square around each pixel; the border repeats.
+
+    The raster is padded once; then each row and after that each column is folded by plain steps along the padded array,
+    whose last places of a row, which mix two rows, are cut off.
+    """
+    d, n = 2 * radius, f"(w + {2 * radius})"
+    padded = f"transform(sequence(0, (h + {d}) * {n} - 1), i -> {v}[greatest(0, least(h - 1, cast(i div {n} as int) - {radius})) * w + greatest(0, least(w - 1, i % {n} - {radius}))])"
+    fold_ = lambda parts: " + ".join(parts) if fold == "sum" else f"{fold}({', '.join(parts)})"
+    across = f"transform(sequence(0, size(p0_) - {d + 1}), i -> {fold_([f'p0_[i + {k}]' for k in range(d + 1)])})"
+    down = f"transform(sequence(0, h * {n} - {d + 1}), i -> {fold_([f'p1_[i + {k} * {n}]' for k in range(d + 1)])})"
+    cut = f"flatten(transform(sequence(0, h - 1), y -> slice(p2_, y * {n} + 1, w)))"
+    return f"transform(array({padded}), p0_ -> transform(array({across}), p1_ -> transform(array({down}), p2_ -> {cut})[0])[0])[0]"
 
 
 def paper(radius: int, v: str = "c_") -> str:
@@ -74,27 +83,36 @@ def paper(radius: int, v: str = "c_") -> str:
 
 def brightened(v: str = "v", paper_: str = "p_") -> str:
     """Each pixel over its paper, times the brightest paper."""
-    return f"transform({v}, (p, i) -> cast(greatest(0D, least(255D, rint(p * (array_max({paper_}) / {paper_}[i])))) as int))"
+    return f"transform(array(array_max({paper_})), hi_ -> transform({v}, (p, i) -> cast(greatest(0D, least(255D, rint(p * (hi_ / {paper_}[i])))) as int)))[0]"
 
 
 def histogram(v: str = "v") -> str:
-    """Distinct values with their counts, for folds over an image that do not depend on its size."""
-    return f"transform(array_sort(array_distinct({v})), p -> struct(p as v, size(filter({v}, q -> q = p)) as n))"
+    """Distinct values with their counts, for folds over an image that do not depend on its size: runs of the sorted values."""
+    starts = "filter(sequence(0, greatest(0, size(s_) - 1)), i -> i < size(s_) and (i = 0 or s_[i] != s_[i - 1]))"
+    runs = "transform(a_, (a, j) -> struct(s_[a] as v, if(j + 1 < size(a_), a_[j + 1], size(s_)) - a as n))"
+    return f"transform(array(sort_array({v})), s_ -> transform(array({starts}), a_ -> {runs})[0])[0]"
 
 
 def lloyd(k: int, steps: int) -> str:
-    """Centres of k-means over the histogram h_, from k even places between the least and the greatest value."""
+    """Centres of k-means over the histogram h_, from k even places between the least and the greatest value.
+
+    Classes are intervals of the histogram, so a step finds their k - 1 borders and takes counts and sums from running totals.
+    """
     low, span = "h_[0].v", "(h_[size(h_) - 1].v - h_[0].v)"
     first = "array(" + ", ".join(f"{low} + {2 * i + 1} * {span} / {2 * k}.0D" for i in range(k)) + ")"
-    nearest_ = "array_min(transform(c, (m, j) -> struct(abs(e.v - m) as d, j as j))).j"
-    share = lambda what: f"aggregate(filter(a_, e -> e.j = j), 0L, (s, e) -> s + {what})"
-    step = f"transform(array(transform(h_, e -> struct(e.v as v, e.n as n, {nearest_} as j))), a_ -> transform(c, (m, j) -> coalesce({share('e.v * e.n')} / nullif({share('e.n')}, 0L), m)))[0]"
-    return f"aggregate(sequence(1, {steps}), {first}, (c, t) -> {step})"
-
-
-def classed(centres: str = "c_") -> str:
-    """Index of the nearest of the centres of each pixel; ties go to the lowest."""
-    return f"transform(v, p -> array_min(transform({centres}, (m, j) -> struct(abs(p - m) as d, j as j))).j)"
+    totals = "aggregate(h_, struct(array(0L) as n, array(0L) as s), (t, e) -> struct(concat(t.n, array(element_at(t.n, -1) + e.n)) as n, concat(t.s, array(element_at(t.s, -1) + cast(e.v as bigint) * e.n)) as s))"
+    borders = ["0", *[f"size(filter(h_, e -> abs(e.v - c[{j}]) <= abs(e.v - c[{j + 1}])))" for j in range(k - 1)]]
+    ends = "array(" + ", ".join(["0", *[f"greatest({', '.join(borders[: j + 1])})" for j in range(1, k)], "size(h_)"]) + ")"
+    step = f"transform(array({ends}), q_ -> transform(c, (m, j) -> coalesce((u_.s[q_[j + 1]] - u_.s[q_[j]]) / nullif(u_.n[q_[j + 1]] - u_.n[q_[j]], 0L), m)))[0]"
+    return f"transform(array({totals}), u_ -> aggregate(sequence(1, {steps}), {first}, (c, t) -> {step}))[0]"
+
+
+def classed(k: int, centres: str = "c_") -> str:
+    """Index of the nearest of the k rising centres of each pixel; ties go to the lowest. Classes are intervals, so the histogram h_ tells where each begins."""
+    own = f"array_min(transform({centres}, (m, j) -> struct(abs(e.v - m) as d, j as j))).j"
+    starts = "array(" + ", ".join(f"aggregate(k_, cast(null as int), (s, e) -> if(s is null and e.j >= {j}, e.v, s))" for j in range(1, k)) + ")"
+    count = " + ".join(f"if(p >= b_[{j}], 1, 0)" for j in range(k - 1)) or "0"
+    return f"transform(array(transform(h_, e -> struct(e.v as v, {own} as j))), k_ -> transform(array({starts}), b_ -> transform(v, p -> if(p is null, null, {count})))[0])[0]"
 
 
 def otsu() -> str:

@@ -39,14 +39,15 @@ def vectorise(images: DataFrame, over: int = 128, tolerance: float = 0.0) -> Dat
     return map_images(images, lambda a: {"n_paths": len(K.outlines(a > over)), "svg": K.svg(a > over, tolerance)}, "n_paths int, svg string")
 
 
-def _limit(over: int | None):
-    return F.lit(over) if over is not None else I.once(f"transform(array({R.histogram()}), h_ -> {R.otsu()})[0]")
+def _ink(images: DataFrame, over: int | None) -> DataFrame:
+    """Rasters of 1 where a pixel is over the threshold, Otsu's of each image if none is given, and 0 elsewhere; only images that have a raster."""
+    limit = str(over) if over is not None else f"transform(array({R.histogram()}), h_ -> {R.otsu()})[0]"
+    return images.where("h is not null and w is not null and v is not null").select("image_id", "h", "w", I.once(f"transform(array({limit}), t_ -> transform(v, p -> cast(p > t_ as int)))[0]").alias("v"))
 
 
 def detect_text(images: DataFrame, over: int | None = None) -> DataFrame:
     """1-2: boxes of lines of text, bands of rows with ink (over the threshold; Otsu's if none is given): image_id, x0, y0, x1, y1."""
-    bare = images.where("h is not null and w is not null and v is not null").withColumn("limit", _limit(over))
-    ink = to_pixels(bare.select("image_id", "h", "w", F.expr("transform(v, p -> cast(p > limit as int))").alias("v"))).where("v = 1")
+    ink = to_pixels(_ink(images, over)).where("v = 1")
     rows = ink.groupBy("image_id", "y").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
     band = F.col("y") - F.row_number().over(W.partitionBy("image_id").orderBy("y"))
     boxes = rows.withColumn("band", band).groupBy("image_id", "band").agg(F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), F.max("y").alias("y1"))
@@ -117,14 +118,12 @@ def text_blocks(boxes: DataFrame, gap: int = 2) -> DataFrame:
 
 def rectify(images: DataFrame, over: int | None = None) -> DataFrame:
     """4-2: the page (over Otsu's threshold, or a given one) straightened; images without four borders stay as they are."""
-    ink = images.where("h is not null and w is not null and v is not null").withColumn("limit", _limit(over))
-    ink = ink.select("image_id", "h", "w", F.expr("transform(v, p -> cast(p > limit as int))").alias("v"))
-    return lines.warped(images, lines.homographies(lines.page_corners(ink, 0)))
+    return lines.warped(images, lines.homographies(lines.page_corners(_ink(images, over), 0)))
 
 
 def segment(images: DataFrame, k: int = 3, steps: int = 12) -> DataFrame:
     """5-1: classes of grey values by k-means over each image's histogram, 0 the darkest."""
-    return I.kernel(images, R.classed(), c_=R.lloyd(k, steps), h_=R.histogram())
+    return I.kernel(images, R.classed(k), c_=R.lloyd(k, steps), h_=R.histogram())
 
 
 def enhance(images: DataFrame, tiles: int = 2, limit: float = 2.0) -> DataFrame:

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from lumagrid.operators import images as I
 from lumagrid.operators import vision as V
-from lumagrid.sources.images import to_pixels, vectors_as_images
+from lumagrid.sources.images import spread, to_pixels, vectors_as_images
 
 
 def _images(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
-    return vectors_as_images(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 8, extra)
+    return vectors_as_images(spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), 8, extra)
 
 
 def _pixels(operator):

@@ -13,10 +13,13 @@ from lumagrid.operators import images as I
 from lumagrid.operators import lines as L
 from lumagrid.operators import outlines as O
 from lumagrid.operators import regions as RG
+from lumagrid.operators import reports as Q
 from lumagrid.operators import segments as G
 from lumagrid.operators import tiles as T
+from lumagrid.operators import vision as V
 from lumagrid.operators import watermarks as M
-from lumagrid.plans.images import _images, _sql
+from lumagrid.plans.images import BOX, ORACLES as IMAGES, _images, _sql
+from lumagrid.sources import results as J
 from lumagrid.sources.images import sheet, to_pixels
 
 #: Images in a row of the sheet, and the side of its tiles.
@@ -98,7 +101,24 @@ def watermark_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_pixels(M.unmarked(_planted(clean), M.matte_of_pairs(_planted(clean), clean)))
 
 
-QUERIES = {f.__name__: f for f in (tiled_box3, tiled_components, tiled_regions, outlines, vectorise, hough_peaks, corners, homography, rectify, enhance, graph_segment, watermark_matte, watermark_unpaired, watermark_removed)}
+def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _images(spark, sf_dir)
+    return Q.quality_report(d, {"box3": I.box3(d), "gamma_sqrt": I.gamma_sqrt(d), "unsharp": I.unsharp(d)}, 4)
+
+
+def layout_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text blocks of every image, written as JSON, read back by schema and written again."""
+    lines = V.text_blocks(V.detect_text(_images(spark, sf_dir)), 0)
+    return J.as_json(J.from_json(J.as_json(J.layout(lines))))
+
+
+def regions_by_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function from SQL, over the pixels of every image."""
+    J.register_functions(spark)
+    return spark.sql("select * from image_regions(table({pixels}) partition by (image_id), 128)", pixels=to_pixels(_images(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (tiled_box3, tiled_components, tiled_regions, outlines, vectorise, hough_peaks, corners, homography, rectify, enhance, graph_segment, watermark_matte, watermark_unpaired, watermark_removed, quality_report, layout_json, regions_by_function)}
 
 _SHEET = f"sh AS MATERIALIZED (SELECT CAST((image_id // {ACROSS}) * 8 + y AS INTEGER) AS y, CAST((image_id % {ACROSS}) * 8 + x AS INTEGER) AS x, v FROM px)"
 _FOUR = "(VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) s(dy, dx)"
@@ -181,4 +201,16 @@ ORACLES = {
     "watermark_matte": _sql(f"SELECT i, {_round('opacity')}, {_round('colour')} FROM ma", _PLANTED, _SUMS, _PAIRED, _MATTE),
     "watermark_unpaired": _sql(f"SELECT i, {_round('opacity')}, {_round('colour')} FROM ma", _PLANTED, _SUMS, _UNPAIRED, _MATTE),
     "watermark_removed": _sql(f"SELECT image_id, y, x, CASE WHEN opacity = 0 OR opacity > {M.MOST} THEN v ELSE CAST(greatest(0.0::DOUBLE, least(255.0::DOUBLE, floor((v - opacity * colour) / (1.0::DOUBLE - opacity) + 0.5::DOUBLE))) AS INTEGER) END AS v FROM mk JOIN ma ON ma.i = mk.i", _PLANTED, _SUMS, _PAIRED, _MATTE),
+    "quality_report": _sql("""SELECT CAST(CASE WHEN grouping(operator) = 1 THEN 2 WHEN grouping(image_id) = 1 THEN 1 ELSE 0 END AS INTEGER) AS level, operator, image_id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(error) AS BIGINT) AS error,
+      CASE WHEN sum(error) <> 0 THEN round(10.0::DOUBLE * log10(65025.0::DOUBLE * sum(n) / sum(error)), 4) END AS psnr, floor(CAST(sum(similarity) AS DOUBLE) / count(*) + 0.5::DOUBLE) / 1000000.0::DOUBLE AS ssim FROM wi GROUP BY ROLLUP (operator, image_id)""", BOX,
+      "re AS (SELECT 'box3' AS operator, image_id, y, x, v AS b FROM bx UNION ALL SELECT 'gamma_sqrt', image_id, y, x, CAST(floor(sqrt(v * 255.0::DOUBLE)) AS INTEGER) FROM px UNION ALL SELECT 'unsharp', p.image_id, p.y, p.x, greatest(0, least(255, 2 * p.v - b.v)) FROM px p JOIN bx b USING (image_id, y, x))",
+      "su AS (SELECT operator, image_id, y // 4 AS wy, x // 4 AS wx, CAST(count(*) AS BIGINT) AS n, CAST(sum(v) AS BIGINT) AS sa, CAST(sum(b) AS BIGINT) AS sb, CAST(sum(v * v) AS BIGINT) AS saa, CAST(sum(b * b) AS BIGINT) AS sbb, CAST(sum(v * b) AS BIGINT) AS sab FROM px JOIN re USING (image_id, y, x) GROUP BY ALL)",
+      f"wi AS (SELECT operator, image_id, n, saa + sbb - 2 * sab AS error, CAST(floor(((2.0::DOUBLE * sa * sb + {Q.C1}::DOUBLE * n * n) / (CAST(sa * sa + sb * sb AS DOUBLE) + {Q.C1}::DOUBLE * n * n)) * ((2.0::DOUBLE * (n * sab - sa * sb) + {Q.C2}::DOUBLE * n * n) / (CAST(n * saa - sa * sa + n * sbb - sb * sb AS DOUBLE) + {Q.C2}::DOUBLE * n * n)) * 1000000.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS similarity FROM su)"),
+    "layout_json": f"""WITH bo AS ({IMAGES['detect_text']}),
+b1 AS (SELECT *, max(y1) OVER (PARTITION BY image_id ORDER BY y0, x0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM bo),
+b2 AS (SELECT *, sum(CASE WHEN y0 - reach > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY image_id ORDER BY y0, x0 ROWS UNBOUNDED PRECEDING) AS block FROM b1),
+b3 AS (SELECT *, row_number() OVER (PARTITION BY image_id, block ORDER BY y0, x0) AS line FROM b2),
+b4 AS (SELECT image_id, block, '{{"block":' || block || ',"lines":[' || string_agg('{{"line":' || line || ',"x0":' || x0 || ',"y0":' || y0 || ',"x1":' || x1 || ',"y1":' || y1 || '}}', ',' ORDER BY line) || ']}}' AS j FROM b3 GROUP BY image_id, block)
+SELECT image_id, '{{"blocks":[' || string_agg(j, ',' ORDER BY block) || ']}}' AS json FROM b4 GROUP BY image_id""",
+    "regions_by_function": IMAGES["regions"].replace("SELECT image_id, label,", "SELECT image_id, CAST(label AS BIGINT) AS label,", 1),
 }

@@ -22,6 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt over all cores, where the scan gives less than half as many tasks: a small file is one task otherwise, and kernels are work for each row."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 2 * rows.rdd.getNumPartitions() < cores else rows
+
+
 def vectors_as_images(vectors: DataFrame, side: int = 8, extra: tuple[str, ...] = ()) -> DataFrame:
     """Vectors of side * side components as images, v = clamp(floor((e + 0.5) * 256), 0, 255); other vectors are left out."""
     v = F.expr("transform(embedding, e -> cast(greatest(0, least(255, floor((cast(e as double) + 0.5D) * 256))) as int))")

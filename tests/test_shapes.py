@@ -7,11 +7,13 @@ from lumagrid.operators import kernels as K
 from lumagrid.operators import lines as L
 from lumagrid.operators import outlines as O
 from lumagrid.operators import regions as RG
+from lumagrid.operators import reports as Q
 from lumagrid.operators import tiles as T
 from lumagrid.operators import vision as V
 from lumagrid.operators import watermarks as M
 from lumagrid.operators.links import contracted, ranked
 from lumagrid.sources import images as S
+from lumagrid.sources import results as J
 from tests.test_images import packed
 
 
@@ -235,3 +237,39 @@ def test_adapted_contrast(spark):
     none = spark.createDataFrame([(1, 2, 1, [5, None]), (2, None, None, None)], "image_id long, h int, w int, v array<int>")
     got = {r.image_id: r.v for r in V.enhance(none).collect()}
     assert got[1][1] is None and got[2] is None
+
+
+def test_quality_report(spark):
+    rng = np.random.default_rng(8)
+    clean = [rng.integers(0, 256, (8, 12)) for _ in range(2)]
+    worse = [np.clip(a + rng.integers(-20, 20, a.shape), 0, 255) for a in clean]
+    d = packed(spark, *clean)
+    got = {(r.level, r.operator, r.image_id): r for r in Q.quality_report(d, {"same": d, "noise": packed(spark, *worse)}, 4).collect()}
+    assert len(got) == 4 + 2 + 1 and got[0, "same", 0].psnr is None and got[1, "same", None].ssim == 1
+    parts = []
+    for k, (a, b) in enumerate(zip(clean, worse)):
+        assert got[0, "noise", k].psnr == pytest.approx(K.psnr(a, b), abs=1e-3)
+        own = [K.ssim(a[y : y + 4, x : x + 4], b[y : y + 4, x : x + 4]) for y in (0, 4) for x in (0, 4, 8)]
+        assert got[0, "noise", k].ssim == pytest.approx(np.mean(own), abs=1e-5)
+        parts += own
+    assert got[1, "noise", None].ssim == pytest.approx(np.mean(parts), abs=1e-5) and got[2, None, None].n == 4 * 96
+    assert Q.quality_report(d.where("false"), {"same": d}).count() <= 1
+
+
+def test_layouts_as_json(spark):
+    lines = spark.createDataFrame([(1, 0, 1, 0, 0, 9, 4, "a \"b\""), (1, 0, 2, 0, 6, 9, 9, None), (1, 1, 1, 0, 20, 9, 24, "ü"), (2, 0, 1, 0, 3, 4, 5, "")], "image_id long, block long, line int, x0 int, y0 int, x1 int, y1 int, text string")
+    texts = J.as_json(J.layout(lines))
+    back = J.lines_of(J.from_json(texts))
+    assert sorted(map(tuple, back.select(lines.columns).collect()), key=str) == sorted(map(tuple, lines.collect()), key=str)
+    assert J.as_json(J.from_json(texts)).collect() == texts.collect()
+    broken = spark.createDataFrame([(1, "{"), (2, None)], "image_id long, json string")
+    assert all(r.layout is None or r.layout.blocks is None for r in J.from_json(broken).collect())
+
+
+def test_regions_as_a_table_function(spark):
+    rng = np.random.default_rng(9)
+    d = packed(spark, *[rng.integers(0, 256, (9, 7)) for _ in range(3)], np.zeros((2, 2), int))
+    J.register_functions(spark)
+    S.to_pixels(d).createOrReplaceTempView("pixels_of_images")
+    got = spark.sql("select * from image_regions(table(pixels_of_images) partition by (image_id), 100)").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, V.regions(d, 100).collect()))
