@@ -8,7 +8,7 @@ is counted over whole documents, outside of the values. Every occurrence of a te
 hold the entity, is generalised to a placeholder when the text is sanitised; so are the values.
 
 Positions are in code points. Patterns are written so that they run in linear time on long texts; each finds just what
-its plain form finds.
+its plain form finds. Time and memory of a row grow in proportion to its text and its spans.
 
 Defined results: null and empty texts hold nothing; rows that agree in id and text share their spans; other columns are
 never looked at; an empty table gives an empty result.
@@ -32,6 +32,8 @@ PATTERNS = {
 TERM = r"\p{L}{3,}"
 #: Share of an entity's information from which on a term discloses it, and documents that must show both.
 DISCLOSES, SUPPORT = 0.9, 1
+#: Items of a fold that grows an array, and code points of a piece of text.
+CHUNK, PIECE = 256, 256
 #: Terms and rows up to which they are broadcast.
 SMALL = 200_000
 
@@ -41,12 +43,18 @@ def _literal(pattern: str) -> str:
 
 
 def find(text: str, pattern: str) -> str:
-    """SQL for all matches of a pattern: array of (start, end, value), in code points."""
+    """SQL for all matches of a pattern: array of (start, end, value), in code points.
+
+    Gaps and matches are added up in chunks, and the chunks' places after that: arrays that grow by one at a time stay short.
+    """
     p = _literal(pattern)
-    return f"""aggregate(zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (gap, hit) -> struct(length(gap) as gap, hit)),
-        struct(0 as at, cast(array() as array<struct<start:int,end:int,value:string>>) as found),
-        (s, x) -> struct(s.at + x.gap + coalesce(length(x.hit), 0) as at,
-            case when x.hit is null then s.found else array_append(s.found, named_struct('start', s.at + x.gap, 'end', s.at + x.gap + length(x.hit), 'value', x.hit)) end as found)).found"""
+    items = f"zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (gap, hit) -> struct(length(gap) as gap, hit))"
+    step = """struct(s.at + x.gap + coalesce(length(x.hit), 0) as at,
+        case when x.hit is null then s.found else array_append(s.found, named_struct('start', s.at + x.gap, 'end', s.at + x.gap + length(x.hit), 'value', x.hit)) end as found)"""
+    chunk = f"aggregate(slice(i_, k * {CHUNK} + 1, {CHUNK}), struct(0 as at, cast(array() as array<struct<start:int,end:int,value:string>>) as found), (s, x) -> {step})"
+    placed = "flatten(transform(c_, (c, k) -> transform(c.found, x -> named_struct('start', x.start + o_[k], 'end', x.end + o_[k], 'value', x.value))))"
+    offsets = "aggregate(c_, array(0), (s, c) -> array_append(s, element_at(s, -1) + c.at))"
+    return f"transform(array({items}), i_ -> transform(array(transform(sequence(0, cast((size(i_) - 1) div {CHUNK} as int)), k -> {chunk})), c_ -> transform(array({offsets}), o_ -> {placed})[0])[0])[0]"
 
 
 def _valid(kind: str) -> str:
@@ -55,8 +63,8 @@ def _valid(kind: str) -> str:
     return {
         "email": "true",
         "ip": "forall(split(x.value, '[.]'), p -> length(ltrim('0', p)) <= 3 and cast(right(p, 3) as int) <= 255)",
-        "card": f"""aggregate(sequence(1, length({digits})), 0, (s, i) -> s + (case when i % 2 = 1 then cast(substr({digits}, length({digits}) - i + 1, 1) as int)
-            else 2 * cast(substr({digits}, length({digits}) - i + 1, 1) as int) - 9 * cast(substr({digits}, length({digits}) - i + 1, 1) >= '5' as int) end)) % 10 = 0""",
+        "card": f"""transform(array(reverse({digits})), d -> aggregate(sequence(1, length(d)), 0, (s, i) -> s + (case when i % 2 = 1 then cast(substr(d, i, 1) as int)
+            else 2 * cast(substr(d, i, 1) as int) - 9 * cast(substr(d, i, 1) >= '5' as int) end)) % 10 = 0)[0]""",
         "phone": f"length({digits}) between 10 and 15",
     }[kind]
 
@@ -68,7 +76,7 @@ def base_spans(text: str = "text") -> Column:
         hint = {"email": f"contains({text}, '@')", "phone": f"contains({text}, '+')"}.get(kind, "true")
         found = f"transform(filter({find(text, PATTERNS[kind])}, x -> {_valid(kind)}), x -> struct(x.start as start, {k} as kind, x.end as end, x.value as value))"
         parts.append(f"case when {hint} and rlike({text}, {_literal(PATTERNS[kind])}) then {found} else cast(array() as array<struct<start:int,kind:int,end:int,value:string>>) end")
-    return F.expr(f"array_sort(concat({', '.join(parts)}))")
+    return F.expr(f"sort_array(concat({', '.join(parts)}))")
 
 
 def _written(spans: str) -> str:
@@ -77,10 +85,25 @@ def _written(spans: str) -> str:
     return f"concat_ws(',', transform({spans}, x -> concat(array({names})[x.kind], ':', cast(x.start as string), ':', cast(x.end as string))))"
 
 
+def _replaced(text: str, spans: str, put: str) -> str:
+    """SQL for a text with its spans (sorted by start) replaced: put is SQL for what comes in place of span x, the text being done up to place s.at.
+
+    The text is cut into short pieces first, so that what stands between two spans is taken from a few of them, however
+    far into the text; spans are done in chunks, which know how far the ones before them reach.
+    """
+    cut = f"regexp_extract_all({text}, '(?s).{{1,{PIECE}}}', 0)"
+    part = lambda a, b: f"array_join(transform(sequence(cast({a} div {PIECE} as int), cast(({b} - 1) div {PIECE} as int)), q -> substring(g_[q], greatest({a} - q * {PIECE}, 0) + 1, least({b} - q * {PIECE}, {PIECE}) - greatest({a} - q * {PIECE}, 0))), '')"
+    between = lambda a, b: f"if({b} > {a}, {part(a, b)}, '')"
+    step = f"struct(greatest(s.at, x.end) as at, concat(s.out, array({between('s.at', 'x.start')}, {put})) as out)"
+    reach = f"aggregate(sequence(0, cast((size(p_) - 1) div {CHUNK} as int)), array(0), (s, k) -> array_append(s, greatest(element_at(s, -1), array_max(transform(slice(p_, k * {CHUNK} + 1, {CHUNK}), x -> x.end)))))"
+    chunk = f"aggregate(slice(p_, k * {CHUNK} + 1, {CHUNK}), struct(r_[k] as at, cast(array() as array<string>) as out), (s, x) -> {step}).out"
+    done = f"concat(array_join(flatten(transform(sequence(0, size(r_) - 2), k -> {chunk})), ''), {between('element_at(r_, -1)', f'length({text})')})"
+    return f"if(size({spans}) = 0, {text}, transform(array({cut}), g_ -> transform(array({spans}), p_ -> transform(array({reach}), r_ -> {done})[0])[0])[0])"
+
+
 def _masked(text: str, spans: str) -> str:
     """SQL for a text with its spans blanked, every other character at its place."""
-    step = f"""struct(greatest(s.at, x.end) as at, concat(s.out, substring({text}, s.at + 1, greatest(x.start - s.at, 0)), repeat(' ', x.end - greatest(s.at, x.start))) as out)"""
-    return f"aggregate({spans}, struct(0 as at, '' as out), (s, x) -> {step}, s -> concat(s.out, substring({text}, s.at + 1)))"
+    return _replaced(text, spans, "repeat(' ', x.end - greatest(s.at, x.start))")
 
 
 def _keyed(docs: DataFrame, doc: str, text: str) -> DataFrame:
@@ -91,13 +114,6 @@ def _keyed(docs: DataFrame, doc: str, text: str) -> DataFrame:
 
 #: SQL for the distinct terms of a text.
 TERMS = f"array_distinct(transform(regexp_extract_all(text, {_literal(TERM)}, 0), x -> lower(x)))"
-#: SQL for all places of the terms in told: array of (start, kind number, end).
-PLACES = f"""aggregate(zip_with(split(text, {_literal(TERM)}, -1), regexp_extract_all(text, {_literal(TERM)}, 0), (gap, hit) -> struct(length(gap) as gap, hit)),
-    struct(0 as at, cast(array() as array<struct<start:int,kind:int,end:int>>) as found),
-    (s, x) -> struct(s.at + x.gap + coalesce(length(x.hit), 0) as at,
-        case when array_contains(told, lower(x.hit)) then array_append(s.found, named_struct('start', s.at + x.gap, 'kind', {len(KINDS)}, 'end', s.at + x.gap + length(x.hit))) else s.found end as found)).found"""
-
-
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
@@ -134,9 +150,11 @@ def disclosing_terms(docs: DataFrame, doc: str = "doc_id", text: str = "text", t
         pairs = saved(pairs.select("key", "m", "entity", "term", "n_entity", "n_term"))
         told = pairs.groupBy("entity", "term").agg(F.sum("m").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
         told = saved(told.where(F.col("n_both") >= support).where(share(F.col("n_both")) >= threshold).select("entity", "term"))
-        found = pairs.join(_small(told), ["entity", "term"], "left_semi").groupBy("key").agg(F.collect_set("term").alias("told"))
+        found = saved(pairs.join(_small(told), ["entity", "term"], "left_semi").select("key", "term").distinct())
         keep(rows)
-        terms = keep(found.join(one, "key").select("key", F.expr(PLACES).alias("terms")))
+        words = one.join(_small(found.select("key").distinct()), "key", "left_semi").select("key", F.expr(f"inline({find('text', TERM)})")).withColumn("term", F.lower("value"))
+        place = F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")
+        terms = keep(words.join(_small(found), ["key", "term"]).groupBy("key").agg(F.sort_array(F.collect_list(place)).alias("terms")))
     return held, terms
 
 
@@ -148,15 +166,14 @@ def personal_data(docs: DataFrame, doc: str = "doc_id", text: str = "text", **op
     some = held.where("size(base) > 0").join(terms, "key", "left")
     none = held.where("size(base) = 0").withColumn("terms", F.expr("cast(null as array<struct<start:int,kind:int,end:int>>)"))
     out = some.select("doc_id", "base", "terms").unionByName(none.select("doc_id", "base", "terms"))
-    out = out.withColumn("all", F.expr("array_sort(concat(base, coalesce(terms, array())))"))
+    out = out.withColumn("all", F.expr("sort_array(concat(base, coalesce(terms, array())))"))
     return out.select("doc_id", *[F.expr(f"cast(size(filter(base, x -> x.kind = {k})) as long)").alias(f"n_{kind}") for k, kind in enumerate(KINDS)], F.sha2(F.expr(_written("base")).cast("binary"), 256).alias("base_sha256"), F.expr(_written("all")).alias("spans"), F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_terms"))
 
 
 def sanitised(text: str, spans: str) -> str:
     """SQL for a text with its spans (start, kind, end; sorted) replaced by placeholders; what overlaps an earlier span is covered by it."""
     names = ", ".join(f"'[{k.upper()}]'" for k in (*KINDS, "term"))
-    step = f"""struct(greatest(s.at, x.end) as at, case when x.start >= s.at then concat(s.out, substring({text}, s.at + 1, x.start - s.at), array({names})[x.kind]) else s.out end as out)"""
-    return f"aggregate({spans}, struct(0 as at, '' as out), (s, x) -> {step}, s -> concat(s.out, substring({text}, s.at + 1)))"
+    return _replaced(text, spans, f"if(x.start >= s.at, array({names})[x.kind], '')")
 
 
 def sanitise(docs: DataFrame, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -164,7 +181,7 @@ def sanitise(docs: DataFrame, doc: str = "doc_id", text: str = "text", **options
     held, terms = disclosing_terms(docs, doc, text, **options)
     spans = held.where("size(base) > 0").dropDuplicates(["key"]).select("key", F.expr("transform(base, x -> struct(x.start as start, x.kind as kind, x.end as end))").alias("base")).join(terms, "key", "left")
     name, own = fresh(docs, "spans"), fresh(docs, "row_key")
-    found = saved(spans.select(F.col("key").alias(own), F.expr("array_sort(concat(base, coalesce(terms, array())))").alias(name)))
+    found = saved(spans.select(F.col("key").alias(own), F.expr("sort_array(concat(base, coalesce(terms, array())))").alias(name)))
     key = F.concat_ws(":", F.coalesce(F.col(doc).cast("long").cast("string"), F.lit("-")), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).cast("string"))
     joined = docs.withColumn(own, key).join(_small(found), own, "left")
     clean = F.when(F.col(name).isNull(), F.col(text)).otherwise(F.expr(sanitised(f"`{text}`", name)))

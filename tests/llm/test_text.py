@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -433,3 +434,33 @@ def test_longer_suffixes_part_domains(spark):
     one = {r.host: r.bad_rate for r in host_reputation.host_reputation(pages, bad).collect()}
     own = {r.host: r.bad_rate for r in host_reputation.host_reputation(pages, bad, suffixes=("co.uk",)).collect()}
     assert own["a.co.uk"] > own["b.co.uk"] and one["a.co.uk"] > one["b.co.uk"] and own["a.co.uk"] != one["a.co.uk"]
+
+
+def test_many_spans_in_one_text(spark):
+    """100,000 addresses in one text: both the query's operator and the stage's take time in proportion."""
+    rng = random.Random(5)
+    text = " ".join(f"{rng.choice('aé😀')}x 10.{k % 256}.{k // 256 % 256}.7" for k in range(100_000)) + " tail"
+    d = frame(spark, [(1, text, "en", 1, "x"), (2, "call +49 170 1234567 or a@b.cd", "en", 1, "x")], DOCS)
+    began = time.time()
+    rows = {r.doc_id: r for r in disclosure.personal_data(d).collect()}
+    assert rows[1].n_ip == 100_000 and rows[1].base_sha256 == hashlib.sha256(reference_spans(text).encode()).hexdigest()
+    assert time.time() - began < 60
+    began = time.time()
+    out = {r.doc_id: r.text for r in disclosure.sanitise(d).collect()}
+    assert time.time() - began < 60
+    assert re.sub(r"\[TERM\]", "tail", out[1]) == re.sub(r"10\.\d+\.\d+\.7", "[IP]", text) and out[2] == "call [PHONE] or [EMAIL]"
+
+
+def test_replaced_spans_by_hand(spark):
+    text = "".join(chr(97 + k % 26) if k % 7 else "é" for k in range(1500))
+    rng = random.Random(2)
+    for n in (0, 1, 5, 700):
+        spans = sorted((a, rng.randrange(4), a + rng.randint(1, 9)) for a in rng.sample(range(1480), n))
+        want, masked, at = "", list(text), 0
+        for a, kind, b in spans:
+            want += text[at:a] + (f"[{disclosure.KINDS[kind].upper()}]" if a >= at else "")
+            at = max(at, b)
+            masked[a:b] = " " * (b - a)
+        d = spark.createDataFrame([(text, spans)], "t string, s array<struct<start:int,kind:int,end:int>>")
+        r = d.selectExpr(f"{disclosure.sanitised('t', 's')} as a", f"{disclosure._masked('t', 's')} as b").first()
+        assert r.a == want + text[at:] and r.b == "".join(masked)
