@@ -29,6 +29,8 @@ from lumagrid.llm.shared import partitions
 
 #: Bytes of text from which on a document is halved.
 LONG = 1 << 15
+#: Bytes of text that are encoded at once.
+SLICE = 1 << 19
 #: Distinct words that a worker keeps the tokens of.
 KEPT_WORDS = 200_000
 
@@ -263,7 +265,7 @@ def encode_documents(docs: DataFrame, path: str, doc: str = "doc_id", text: str
     def whole(batches):
         bpe = byte_bpe(path)
         for batch in batches:
-            for rows, buf, off in T.slices(batch, "text"):
+            for rows, buf, off in T.slices(batch, "text", SLICE):
                 ids, n = bpe.encode(buf, off)
                 at = np.concatenate([[0], np.cumsum(n)])
                 data = pa.py_buffer(T.blob(ids.astype("<u4")))
@@ -284,7 +286,7 @@ def encode_documents(docs: DataFrame, path: str, doc: str = "doc_id", text: str
     def encode_pieces(batches):
         bpe = byte_bpe(path)
         for batch in batches:
-            for rows, buf, off in T.slices(batch, "data"):
+            for rows, buf, off in T.slices(batch, "data", SLICE):
                 # a special token's string may be cut in two: such pieces are encoded as plain text and the join puts it right
                 ids, n = bpe.encode(buf, off)
                 parts = [T.blob(x) for x in np.split(ids, np.cumsum(n)[:-1])]

@@ -34,6 +34,8 @@ from lumagrid.llm.mixing import _merge, sixes
 from lumagrid.llm.shared import SMALL, fresh, only, saved, scratch
 
 ORDER = 5
+#: Bytes of text that are worked on at once.
+SLICE = 1 << 19
 BROADCAST = 4_000_000
 #: Levels of the lower and upper quantile that labelled rows choose from, the widest first.
 LEVELS = ((0.001, 0.005, 0.01, 0.02, 0.03), (0.999, 0.995, 0.99, 0.98, 0.97))
@@ -55,7 +57,7 @@ def _grams(batches):
     """Distinct n-grams of the highest order with counts, added up within the task."""
     keys, counts = [], []
     for batch in batches:
-        for _, buf, off in T.slices(batch, "text"):
+        for _, buf, off in T.slices(batch, "text", SLICE):
             k, n = _merge([sixes(buf, off) & np.uint64((1 << 8 * ORDER) - 1)], [np.ones(len(buf))])
             keys.append(k)
             counts.append(n)
@@ -139,7 +141,7 @@ def joined_bits(rows: DataFrame, table: DataFrame, order: int = ORDER) -> DataFr
 
     def grams(batches):
         for batch in batches:
-            for part, buf, off in T.slices(batch, "text"):
+            for part, buf, off in T.slices(batch, "text", SLICE):
                 key = sixes(buf, off) & np.uint64((1 << 8 * order) - 1)
                 row = np.repeat(np.arange(part.num_rows), np.diff(off))
                 o = np.lexsort([key, row])
@@ -275,7 +277,7 @@ def _measured(rows: DataFrame, judge: Judge, table: DataFrame | None) -> DataFra
 
     def work(batches):
         for batch in batches:
-            for part, buf, off in T.slices(batch, "text"):
+            for part, buf, off in T.slices(batch, "text", SLICE):
                 perplexity, odd = sent.value.measure(buf, off)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(off), pa.int64()), pa.array(perplexity), pa.array(odd, pa.int64())], [*part.schema.names, "n_bytes", "perplexity", "odd"])
 
@@ -339,7 +341,7 @@ def _numbers(batch: pa.RecordBatch, judge: Judge, joined: bool, text: str = "tex
     if joined:
         yield batch, *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_bytes", "perplexity", "odd"))
         return
-    for rows, buf, off in T.slices(batch, text):
+    for rows, buf, off in T.slices(batch, text, SLICE):
         yield rows, np.diff(off), *judge.measure(buf, off)
 
 
