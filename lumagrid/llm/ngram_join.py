@@ -40,8 +40,8 @@ TOLD = 1_000_000
 GROUP = 1_500_000
 #: Sets in a block of those that are compared with each other.
 BLOCK = 256
-#: Members of long lists that lie apart, from which on they are checked against further ones of their list first, and how often.
-MANY, ROUNDS = 5_000_000, 4
+#: How often members of long lists that lie apart are checked against one further member of their list, before all that still do meet in blocks.
+ROUNDS = 2
 #: Ids up to which the documents to look at again are broadcast.
 SMALL = 2_000_000
 
@@ -370,11 +370,9 @@ def _labels(docs: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFrame]
             first = first.unionByName(star.select(F.col("hub.sid").alias("a"), F.col("sid").alias("b")))
         edges = _verify(first, keyed, reps)
         parts = saved(components(edges))
-        for k in range(ROUNDS if some_long else 0):  # members of long lists against one more of them, while many lie apart
+        for k in range(ROUNDS if some_long else 0):  # members of long lists against one more of them
             now = _list_parts(long, parts)
-            mixed = saved(now.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max_by(F.struct("sid", "n", "component"), F.xxhash64("sid", F.lit(k))).alias("hub"), F.count("*").alias("m")).where("lo != hi"))
-            if mixed.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0] < MANY:
-                break
+            mixed = saved(now.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max_by(F.struct("sid", "n", "component"), F.xxhash64("sid", F.lit(k))).alias("hub")).where("lo != hi"))
             star = now.join(mixed.select("shingle", "hub"), "shingle").where("component != hub.component and 10 * least(n, hub.n) >= 8 * greatest(n, hub.n)")
             found = _verify(star.select(F.col("hub.sid").alias("a"), F.col("sid").alias("b")), keyed, reps)
             if not found.head(1):

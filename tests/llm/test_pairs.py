@@ -65,7 +65,6 @@ def corpus(seed, groups=12, copies=8):
 @pytest.mark.parametrize("long", [64, 3])
 def test_ngram_join_equals_brute_force(spark, monkeypatch, long):
     monkeypatch.setattr(ngram_join, "LONG", long)
-    monkeypatch.setattr(ngram_join, "MANY", 1)  # further rounds, and tiny blocks, whatever the size
     monkeypatch.setattr(ngram_join._verify_within, "__defaults__", (5,))
     rows = corpus(long)
     sets, want = brute(rows)
