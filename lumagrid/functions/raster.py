@@ -30,8 +30,19 @@ def inside(dy: int, dx: int, otherwise: str = "null", v: str = "v") -> str:
 AROUND = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
 BOX3 = every(f"cast(floor(({' + '.join(near(*d) for d in AROUND)}) / 9.0D) as int)")
 BOX3_SUM = every(" + ".join(inside(*d, otherwise="0") for d in AROUND))
-ROWS_SUMMED = every(f"aggregate(slice(v, {Y} * w + 1, {X} + 1), 0, (s, p) -> s + p)")
-INTEGRAL = every(f"aggregate(sequence(0, {Y}), 0L, (s, r) -> s + r_[r * w + {X}])")
+
+
+def running(array: str, chunk: int = 64) -> str:
+    """Running sums of an array: within chunks, and then over the chunks' totals, so that no array grows by one at a time for long."""
+    own = f"slice(aggregate(slice(x_, k * {chunk} + 1, {chunk}), array(0L), (s, p) -> array_append(s, element_at(s, -1) + p)), 2, {chunk})"
+    before = "aggregate(c_, array(0L), (s, c) -> array_append(s, element_at(s, -1) + element_at(c, -1)))"
+    added = "flatten(transform(c_, (c, k) -> transform(c, p -> p + o_[k])))"
+    return f"transform(array({array}), x_ -> transform(array(transform(sequence(0, cast((size(x_) - 1) div {chunk} as int)), k -> {own})), c_ -> transform(array({before}), o_ -> {added})[0])[0])[0]"
+
+
+#: Running sums of each row, which are then added up from row to row.
+ROWS_SUMMED = f"transform(sequence(0, h - 1), y -> {running('slice(v, y * w + 1, w)')})"
+INTEGRAL = "flatten(aggregate(r_, struct(cast(array() as array<array<bigint>>) as done, array_repeat(0L, w) as last), (s, r) -> transform(array(zip_with(s.last, r, (a, b) -> a + b)), n -> struct(array_append(s.done, n) as done, n as last))[0]).done)"
 MEDIAN3 = every(f"transform(array(array_sort(filter(array({', '.join(inside(*d) for d in AROUND)}), p -> p is not null))), s -> (s[cast(floor((size(s) - 1) / 2D) as int)] + s[cast(floor(size(s) / 2D) as int)]) / 2D)[0]")
 ERODED = every(f"least({inside(0, -1, 'v[i]')}, v[i], {inside(0, 1, 'v[i]')})")
 DILATED = every(f"greatest({inside(0, -1, 'e_[i]', 'e_')}, e_[i], {inside(0, 1, 'e_[i]', 'e_')})")
@@ -40,10 +51,9 @@ UNSHARP = every("greatest(0, least(255, 2 * v[i] - b_[i]))")
 GAMMA_SQRT = "transform(v, p -> cast(floor(sqrt(p * 255.0D)) as int))"
 STRETCH = "transform(v, p -> case when m_[1] > m_[0] then cast(floor((p - m_[0]) * 255.0D / (m_[1] - m_[0])) as int) end)"
 ENDS = "array(array_min(v), array_max(v))"
-#: With the values in falling order as r_, the pixels up to p are n - (first place of p) + 1.
-HIST_EQ = "transform(v, p -> cast(floor(255.0D * (h * w - array_position(r_, p) + 1 - m_) / greatest(1, h * w - m_)) as int))"
-LOWEST = "h * w - array_position(r_, r_[h * w - 1]) + 1"
-FALLING = "sort_array(v, false)"
+#: With the histogram as h_: how many pixels are up to each of its values; pixels look their value up among the distinct ones.
+UP_TO = running("transform(h_, e -> cast(e.n as bigint))")
+HIST_EQ = "transform(array(transform(h_, e -> e.v)), d_ -> transform(array(transform(u_, c -> cast(floor(255.0D * (c - u_[0]) / greatest(1, h * w - u_[0])) as int))), l_ -> transform(v, p -> l_[array_position(d_, p) - 1]))[0])[0]"
 DOWNSAMPLE2 = f"transform(sequence(0, (h div 2) * (w div 2) - 1), i -> cast(floor((v[2 * (i div (w div 2)) * w + 2 * (i % (w div 2))] + v[2 * (i div (w div 2)) * w + 2 * (i % (w div 2)) + 1] + v[(2 * (i div (w div 2)) + 1) * w + 2 * (i % (w div 2))] + v[(2 * (i div (w div 2)) + 1) * w + 2 * (i % (w div 2)) + 1]) / 4D) as int))"
 ROT90 = "transform(sequence(0, h * w - 1), i -> v[(h - 1 - i % h) * w + i div h])"
 RUN_STARTS = f"filter(sequence(0, h * w - 1), i -> v[i] > {{t}} and ({X} = 0 or v[i - 1] <= {{t}}))"

@@ -61,7 +61,7 @@ def stretch(images):
 
 
 def equalise(images):
-    return kernel(images, R.HIST_EQ, m_=R.LOWEST, r_=R.FALLING)
+    return kernel(images, R.HIST_EQ, u_=R.UP_TO, h_=R.histogram())
 
 
 def downsample2(images):
