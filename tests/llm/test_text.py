@@ -417,7 +417,7 @@ def test_names_that_clash(spark):
 
 
 def test_language_scores_equal_the_definition(spark):
-    """Mean of hashed gram embeddings, softmax with temperature, by plain loops; and the gradient of the loss by differences."""
+    """Mean of hashed gram embeddings, softmax with temperature, by plain loops."""
     rows = [(k, t, g) for k, (t, g) in enumerate([("der die das und", "de"), ("the and of that", "en"), ("que los las una", "es")] * 30)]
     m = language.train(frame(spark, rows, "doc_id long, text string, lang string"))
     got = {r.doc_id: r for r in language.predict(frame(spark, [(1, "the und é"), (2, "x")]), m).collect()}
