@@ -18,7 +18,7 @@ _written: dict[str, list[str]] = {}
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes: 10,000 rows of long texts are many for a worker that shares its executor's memory."""
+    """Bound Arrow batches by bytes, as an option of the session that stays set: 10,000 rows of long texts are many for a worker that shares its executor's memory."""
     if spark.conf.get(_BATCH, None) is None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
@@ -73,7 +73,7 @@ def clean(spark: SparkSession, since: int = 0) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Scratch tables that are written inside are deleted at the end, but for those that the given function keeps (it writes what is not written yet)."""
+    """Scratch tables that are written inside are deleted at the end, but for those that the given function keeps (it writes what is not written yet); all of them where the work fails."""
     own = _written.setdefault(spark.sparkContext.applicationId, [])
     since, kept = len(own), set()
 
@@ -82,12 +82,17 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.add(out.scratch_path)
         return out
 
-    yield keep
-    inside = own[since:]
-    for path in inside:
-        if path not in kept:
-            _delete(spark, path)
-    own[since:] = [p for p in inside if p in kept]
+    try:
+        yield keep
+    except BaseException:
+        kept.clear()
+        raise
+    finally:
+        inside = own[since:]
+        for path in inside:
+            if path not in kept:
+                _delete(spark, path)
+        own[since:] = [p for p in inside if p in kept]
 
 
 def partitions(df: DataFrame) -> int:

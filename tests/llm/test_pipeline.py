@@ -92,6 +92,10 @@ def test_scratch_is_deleted_and_a_cluster_needs_a_shared_folder(spark, tmp_path,
         df.write.parquet(gone)
     assert kept.count() == 5 and not os.path.exists(gone)
     path = kept.scratch_path
+    with pytest.raises(KeyError), scratch(spark) as keep:
+        lost = keep(df)
+        raise KeyError
+    assert not os.path.exists(lost.scratch_path) and os.path.exists(path)
     clean(spark)
     assert not os.path.exists(path)
     monkeypatch.setattr(spark.sparkContext, "master", "spark://somewhere:7077")
