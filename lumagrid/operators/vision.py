@@ -15,7 +15,7 @@ from lumagrid.functions import raster as R
 from lumagrid.operators import images as I
 from lumagrid.operators import kernels as K
 from lumagrid.operators import contrast, lines, outlines, segments, watermarks
-from lumagrid.operators.kernels import map_images
+from lumagrid.operators.kernels import map_images, map_rasters
 from lumagrid.sources.images import to_pixels
 
 RASTER = "h int, w int, v array<int>"
@@ -89,7 +89,7 @@ def notch(images: DataFrame, fy: int = 0, fx: int = 1) -> DataFrame:
 
 def fill_in(images: DataFrame, over: int = 240) -> DataFrame:
     """3-2 on one image: pixels over a value are taken as the mark and filled from around."""
-    return map_images(images, lambda a: _raster(K.inpaint(a, a > over)), RASTER)
+    return map_rasters(images, lambda a: K.inpaint(a, a > over))
 
 
 def components(images: DataFrame, over: int = 128) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumagrid.operators import images as I
@@ -264,3 +265,19 @@ def test_a_supplied_model_runs(spark, tmp_path):
     (tmp_path / "neg.onnx").write_bytes(small_model(b"Neg"))
     got = {r.image_id: r.output for r in models.run_model(packed(spark, A, [[255]]), str(tmp_path / "neg.onnx")).collect()}
     assert got[0] == pytest.approx([-x / 255 for r in A for x in r], abs=1e-6) and got[1] == [-1.0]
+
+
+def test_fill_in_takes_images_in_stacks(spark):
+    rng = np.random.default_rng(11)
+    stack = rng.integers(0, 256, (5, 6, 7)).astype(float)
+    stack[3], stack[4] = 250, np.minimum(stack[4], 100)  # all marked, and nothing
+    want = [K.inpaint(a, a > 200) for a in stack]
+    assert (K.inpaint(stack, stack > 200) == want).all() and len(set(want[3].ravel().tolist())) == 1
+    other = rng.integers(0, 256, (2, 3))
+    got = values(V.fill_in(packed(spark, *stack, other), 200))
+    assert got == [a.tolist() for a in want] + [K.inpaint(other.astype(float), other > 200).tolist()]
+    seen = []
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3], "h": [1, 2, 1], "w": [2, 1, 2], "v": [[1, 2], [3, 4], [5, 6]]})
+    for rows, a in K.stacks(batch):
+        seen.append((rows.tolist(), a.tolist()))
+    assert seen == [([0, 2], [[[1, 2]], [[5, 6]]]), ([1], [[[3], [4]]])] and len(list(K.stacks(batch, 2))) == 3
