@@ -74,7 +74,7 @@ def remove_stains(images: DataFrame, radius: int = 2) -> DataFrame:
 
 def deblur(images: DataFrame, psf: np.ndarray, method: str = "wiener", noise: float = 0.01, steps: int = 20) -> DataFrame:
     """2-2, for a known point spread: wiener or richardson_lucy."""
-    return map_images(images, lambda a: _raster(K.wiener(a, psf, noise) if method == "wiener" else K.richardson_lucy(a, psf, steps)), RASTER)
+    return map_rasters(images, lambda a: K.wiener(a, psf, noise) if method == "wiener" else K.richardson_lucy(a, psf, steps))
 
 
 def remove_screen_pattern(images: DataFrame, factor: float = 6.0) -> DataFrame:

@@ -281,3 +281,12 @@ def test_fill_in_takes_images_in_stacks(spark):
     for rows, a in K.stacks(batch):
         seen.append((rows.tolist(), a.tolist()))
     assert seen == [([0, 2], [[[1, 2]], [[5, 6]]]), ([1], [[[3], [4]]])] and len(list(K.stacks(batch, 2))) == 3
+
+
+def test_richardson_lucy_takes_images_in_stacks(spark):
+    stack, psf = np.random.default_rng(12).integers(0, 256, (5, 6, 7)).astype(float), np.ones((1, 3))
+    stack[2] = 0
+    want = [K.richardson_lucy(a, psf) for a in stack]
+    assert (K.richardson_lucy(stack, psf) == want).all()
+    assert values(V.deblur(packed(spark, *stack), psf, "richardson_lucy")) == [a.tolist() for a in want]
+    assert values(V.deblur(packed(spark, *stack), psf)) == [K.wiener(a, psf).tolist() for a in stack]
