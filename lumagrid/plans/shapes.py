@@ -51,7 +51,7 @@ def vectorise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hough_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.peaks(L.votes(L.border_sides(_images(spark, sf_dir))), keep=3)
+    return L.image_peaks(_images(spark, sf_dir), keep=3)
 
 
 def _micro(column: str):

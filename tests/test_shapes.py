@@ -160,6 +160,19 @@ def test_peaks_are_local_maxima(spark):
     assert got == [("n", 1, 90, 5), ("n", 2, 60, 20), ("n", 3, 90, 20), ("s", 1, 90, 5)]
 
 
+def test_lines_within_the_task_equal_those_of_tables(spark):
+    rng = np.random.default_rng(13)
+    arrays = [rng.integers(0, 256, s) for s in ((8, 8), (8, 8), (5, 9), (1, 1), (30, 40))] + [np.where(page(PAGE), 220, 20), np.zeros((3, 3), int)]
+    d = packed(spark, *arrays).unionByName(spark.createDataFrame([(8, 2, 2, [200, None, 200, 1]), (9, None, None, None)], "image_id long, h int, w int, v array<int>"))
+    rows = lambda x: sorted(map(tuple, x.select(sorted(x.columns)).collect()))
+    for keep in (1, 3):
+        got = L.image_peaks(d, keep)
+        assert rows(got) == rows(L.image_peaks(d, keep, within=0)) == rows(L.image_peaks(d, keep, within=80)) and got.count() > 20
+    assert rows(L.line_sums(d)) == rows(L.line_sums(d, within=0))
+    plan = L.page_corners(d)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "votes" not in plan  # votes stay in their task: only the four lines of an image meet
+
+
 def test_homography_from_many_points(spark):
     want = K.homography(np.array([[0, 0], [1, 0], [1, 1], [0, 1]], float), np.array([[0.1, 0.2], [0.9, 0.15], [0.95, 0.8], [0.05, 0.9]]))
     rng = np.random.default_rng(5)
