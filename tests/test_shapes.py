@@ -114,6 +114,21 @@ def test_outlines_enclose_the_ink(spark):
     assert sum(1 for _ in O.outlines(d, corners=False).where("image_id = 5").collect()) == 16
 
 
+def test_outlines_within_the_task_equal_those_of_joins(spark):
+    rng = np.random.default_rng(14)
+    arrays = [rng.integers(0, 256, s) for s in ((8, 8), (8, 8), (5, 9), (1, 1), (20, 30))] + [np.full((4, 4), 255), np.zeros((3, 3), int)]
+    d = packed(spark, *arrays).unionByName(spark.createDataFrame([(8, 2, 2, [200, None, 200, 1]), (9, None, None, None), (10, 0, 0, [])], "image_id long, h int, w int, v array<int>"))
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    for corners in (True, False):
+        got = rows(O.outlines(d, corners=corners))
+        assert got == rows(O.outlines(d, corners=corners, within=0)) == rows(O.outlines(d, corners=corners, within=50)) and len(got) > 100
+    assert rows(O.svg(d)) == rows(O.svg(d, within=-1)) and O.svg(d).count() == 9
+    named = d.where("image_id = 4").withColumn("image_id", F.lit("a/b.png"))
+    assert [r[1:] for r in rows(O.outlines(named))] == [r[1:] for r in rows(O.outlines(d)) if r[0] == 4]
+    for out in (O.outlines(d), O.svg(d)):
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()  # nothing is shuffled
+
+
 PAGE = np.array([[12.3, 8.1], [66.2, 13.9], [70.4, 50.2], [9.1, 47.7]])
 
 
