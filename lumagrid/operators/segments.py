@@ -5,14 +5,19 @@ fixed number of each link). In each round every region looks at its lightest lin
 heaviest inner link plus scale / size, the region is done: its links go. Otherwise, if it fits the other region in the
 same way, the link is taken; all regions that taken links hold together become one. This is the greedy segmentation of
 Felzenszwalb and Huttenlocher in the rounds of Boruvka's algorithm: regions at least halve in number for all links taken,
-so rounds grow with the logarithm of the largest region. Every round is a few groupings and joins by image and region.
+so rounds grow with the logarithm of the largest region. A raster's links are all in its row, so its rounds run within
+the task, for a stack of rasters at once. For rasters beyond `kernels.WITHIN` pixels every round is a few groupings and
+joins by image and region, with the same results.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumagrid.operators import kernels as K
 from lumagrid.operators.links import contracted
 from lumagrid.sources.scratch import Rounds
 
@@ -66,8 +71,64 @@ def joined(links: DataFrame, scale: float = 100.0) -> DataFrame:
     return links.selectExpr("group", "a as id", "b as root").where("false") if taken is None else taken
 
 
-def graph_segments(images: DataFrame, scale: float = 100.0) -> DataFrame:
+def _stack_labels(stack: np.ndarray, scale: float) -> np.ndarray:
+    """Each pixel's label, by the same rounds as those of joined; places count through the stack."""
+    n, h, w = stack.shape
+    place, own = np.arange(stack.size).reshape(n, h, w), np.arange(h * w).reshape(h, w)
+    cut = [(np.s_[:, :, :-1], np.s_[:, :, 1:]), (np.s_[:, :-1], np.s_[:, 1:])]
+    a, b, tie = (np.concatenate(x) for x in zip(*[(place[p].ravel(), place[q].ravel(), np.broadcast_to((own[p[1:]] * 2 + k) * 2654435761 % (1 << 32), place[p].shape).ravel()) for k, (p, q) in enumerate(cut)]))
+    weight = np.abs(stack.ravel()[a] - stack.ravel()[b])
+    order = np.lexsort([tie, weight])  # from now on a link's place is its rank
+    order = order[~np.isnan(weight[order])]
+    a, b, weight = a[order], b[order], weight[order]
+    label, size, inner = place.ravel().copy(), np.ones(stack.size, np.int64), np.zeros(stack.size)
+    while len(a):
+        regions = np.unique(np.concatenate([a, b]))
+        least = np.full(stack.size, len(a))
+        for ends in (a, b):
+            np.minimum.at(least, ends, np.arange(len(a)))
+        e = least[regions]
+        other = a[e] + b[e] - regions
+        fits = lambda r: weight[e] <= inner[r] + scale / size[r]
+        live = np.zeros(stack.size, bool)
+        live[regions] = fits(regions)
+        took = live[regions] & fits(other)
+        low, high = np.minimum(regions, other)[took], np.maximum(regions, other)[took]
+        root = np.arange(stack.size)
+        while (root[low] != root[high]).any():  # hook the later root under the earlier one, then shorten all paths
+            x, y = root[low], root[high]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root[root] != root).any():
+                root = root[root]
+        gone = regions[root[regions] != regions]
+        np.add.at(size, root[gone], size[gone])
+        np.maximum.at(inner, root[gone], inner[gone])
+        np.maximum.at(inner, root[low], weight[e][took])
+        live[root[low]] = True
+        label = root[label]
+        a, b = root[a], root[b]
+        stay = (a != b) & live[a] & live[b]
+        a, b, weight = a[stay], b[stay], weight[stay]
+    return label.reshape(n, h, w) - (np.arange(n) * (h * w))[:, None, None]
+
+
+def graph_segments(images: DataFrame, scale: float = 100.0, within: int = K.WITHIN) -> DataFrame:
     """image_id, y, x, label: a label is the place of its region's first pixel."""
+
+    def work(stack):
+        n, h, w = stack.shape
+        labels = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * (h * w), pa.int32()), pa.array(_stack_labels(stack, scale).ravel()))
+        return np.arange(n), [np.full(n, w, np.int32), labels]
+
+    def small(d):
+        rows = K.map_stacks(d.where("h > 0 and w > 0"), work, "w int, label array<bigint>").select("image_id", "w", F.posexplode("label").alias("i", "label"))
+        return rows.selectExpr("image_id", "cast(i div w as int) as y", "cast(i % w as int) as x", "label")
+
+    return K.by_size(images, small, lambda d: _by_tables(d, scale), within)
+
+
+def _by_tables(images: DataFrame, scale: float) -> DataFrame:
+    """graph_segments by rounds over tables."""
     roots = contracted(joined(pixel_links(images), scale).selectExpr("group", "id as a", "root as b"))
     places = images.where("v is not null and h > 0 and w > 0").select(F.col("image_id").alias("group"), "w", F.expr("explode(sequence(0L, cast(h as long) * w - 1))").alias("id"))
     label = F.coalesce("root", "id").alias("label")

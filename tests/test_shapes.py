@@ -8,6 +8,7 @@ from lumagrid.operators import lines as L
 from lumagrid.operators import outlines as O
 from lumagrid.operators import regions as RG
 from lumagrid.operators import reports as Q
+from lumagrid.operators import segments as G
 from lumagrid.operators import tiles as T
 from lumagrid.operators import vision as V
 from lumagrid.operators import watermarks as M
@@ -243,6 +244,17 @@ def test_graph_segments_equal_plain_rounds(spark):
     assert V.segment_regions(d.where("false")).count() == 0
 
 
+def test_segments_within_the_task_equal_those_of_tables(spark):
+    rng = np.random.default_rng(15)
+    arrays = [rng.integers(0, 256, (8, 8)) for _ in range(3)] + [rng.integers(0, 40, (9, 14)), rng.integers(0, 3, (1, 9)) * 90]
+    d = packed(spark, *arrays).unionByName(spark.createDataFrame([(5, 2, 2, [200, None, 200, 1]), (6, None, None, None), (7, 0, 0, [])], "image_id long, h int, w int, v array<int>"))
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    for scale in (20.0, 300.0):
+        got = rows(G.graph_segments(d, scale))
+        assert got == rows(G.graph_segments(d, scale, within=70)) and len(got) == sum(a.size for a in arrays) + 4
+    assert "Exchange" not in G.graph_segments(d)._jdf.queryExecution().executedPlan().toString()  # no rounds over tables
+
+
 def test_planted_watermark_is_found(spark):
     rng = np.random.default_rng(7)
     opacity, colour = np.zeros((6, 8)), np.full((6, 8), 230.0)
