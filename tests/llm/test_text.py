@@ -465,3 +465,26 @@ def test_replaced_spans_by_hand(spark):
         d = spark.createDataFrame([(text, spans)], "t string, s array<struct<start:int,kind:int,end:int>>")
         r = d.selectExpr(f"{disclosure.sanitised('t', 's')} as a", f"{disclosure._masked('t', 's')} as b").first()
         assert r.a == want + text[at:] and r.b == "".join(masked)
+
+
+def test_every_place_of_training_texts_teaches_the_mixer(spark):
+    rng = np.random.default_rng(16)
+    texts = ["".join(rng.choice(list("ab c\né"), n)) for n in (0, 1, 5, 900, 40, 40)] + ["word " * 50] * 3
+    want = {}
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        for k in mixing.runs(data, np.array([0, len(data)])).tolist():
+            want[k] = want.get(k, 0) + 1
+    for parts, pieces in ((1, 1), (5, 3)):
+        sizes = mixing.table_sizes(1)
+        counted = mixing._gather(spark.createDataFrame([(t,) for t in texts], "text string").repartition(parts), 4, sizes, pieces)
+        rows = counted.where(f"grp >= {mixing.runs_from(4, sizes)}").collect()
+        got = [(k, n) for r in rows for k, n in zip(mixing._unplanes(r.d1, np.uint64).tolist(), mixing._unplanes(r.d2, np.int64).tolist())]
+        assert len(got) == len(want) and dict(got) == want and len(rows) == pieces
+    # counts weigh as so many places do
+    tables = [np.zeros(1 << n, np.uint16) for n in (8, 16, 18, 18, 18, 18, 18)]
+    keys, counts = np.array([97, 98 << 8 | 99], np.uint64), np.array([3, 5])
+    one, many = mixing.Mixer(tables), mixing.Mixer(tables)
+    one.learn(keys, counts=counts)
+    many.learn(np.repeat(keys, counts))
+    assert np.allclose(one.weights(), many.weights(), atol=1e-6)
