@@ -29,7 +29,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from lumagrid.llm import text as T
 from lumagrid.llm.components import components
-from lumagrid.llm.shared import fresh, partitions, saved, scratch
+from lumagrid.llm.shared import done, fresh, partitions, saved, scratch
 
 WORDS = 5
 #: Members from which on an inverted list is long.
@@ -135,7 +135,9 @@ def _members_and_long_lists(slim: DataFrame, groups: int) -> tuple[DataFrame, Da
     # members stay where they are: only lists are dealt out, so that a hot set gathers nowhere
     scanned = saved(slim.mapInArrow(scan, schema))
     lists = scanned.where("kind = 1").repartition(groups, "bucket").groupBy("bucket").applyInArrow(count, "shingle long, n long")
-    return scanned.where("kind = 0").select("doc_id", "n", "sid", "row"), saved(lists)
+    lists, members = saved(lists), saved(scanned.where("kind = 0").select("doc_id", "n", "sid", "row"))
+    done(scanned)
+    return members, lists
 
 
 def _merge(slim: DataFrame, long: np.ndarray, groups: int) -> DataFrame:
@@ -265,7 +267,9 @@ def _verify(pairs: DataFrame, slim: DataFrame, reps: DataFrame) -> DataFrame:
                 good.append(sid)
         return pa.table({"a": pa.array([a] * len(good), pa.int64()), "b": pa.array(good, pa.int64())})
 
-    return saved(_sets(ones.unionByName(hubs), slim, reps).groupBy("a", "part").applyInArrow(probe, "a long, b long"))
+    found = saved(_sets(ones.unionByName(hubs), slim, reps).groupBy("a", "part").applyInArrow(probe, "a long, b long"))
+    done(pairs)
+    return found
 
 
 def _verify_within(members: DataFrame, slim: DataFrame, reps: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -361,6 +365,7 @@ def _labels(docs: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFrame]
         sized = lambda side: about.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("rest").alias(f"r{side}"))
         merged = met.where("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c")).join(sized("a"), "a").join(sized("b"), "b")
         near = saved(merged.where("10 * least(na, nb) >= 8 * greatest(na, nb) and 9 * (c + greatest(ra, rb)) >= 4 * (na + nb)").select("a", "b"))
+        done(met)
         # first one partner for each set and one for each member of a long list, then what still lies apart
         first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         some_long = bool(long.head(1))
