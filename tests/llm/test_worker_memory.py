@@ -17,5 +17,5 @@ def test_tables_follow_the_slice_and_go_with_the_batch():
     assert np.array_equal(T.hashes(data, np.array([0, 5]), np.array([4, 10])), first)
 
 
-def test_batches_are_small():
-    assert shared.BATCH_BYTES < 2 * T.SLICE_BYTES
+def test_batches_and_slices_are_small():
+    assert shared.BATCH_BYTES <= 4 << 20 and T.SLICE_BYTES <= 1 << 20
