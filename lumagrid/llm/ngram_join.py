@@ -38,6 +38,10 @@ LONG = 64
 TOLD = 1_000_000
 #: Shingles that one group of inverted lists should hold.
 GROUP = 1_500_000
+#: Shingles that a task gathers before it deals them out, and pairs of sets that it counts at once.
+HELD, COUNTED = 250_000, 250_000
+#: Sets that a task remembers, so that equal ones are dealt out once.
+SEEN = 100_000
 #: Sets in a block of those that are compared with each other.
 BLOCK = 256
 #: How often members of long lists that lie apart are checked against one further member of their list, before all that still do meet in blocks.
@@ -114,9 +118,11 @@ def _members_and_long_lists(slim: DataFrame, groups: int) -> tuple[DataFrame, Da
                         held += len(heads[-1])
                 none = [None] * len(n)
                 yield batch(0, rows.column(0), n, sid, rows.column(2), none, none, none)
-                if held > 2_000_000:
+                if held > HELD:
                     yield flush(heads)
-                    seen, heads, held = set(), [], 0
+                    heads, held = [], 0
+                if len(seen) > SEEN:
+                    seen = set()
         if held:
             yield flush(heads)
 
@@ -174,9 +180,11 @@ def _merge(slim: DataFrame, long: np.ndarray, groups: int) -> DataFrame:
                     held += p
                     if len(head) < p:
                         tails.append((s[is_long][: p - len(head)], i))
-                if held > 1_000_000:
+                if held > HELD:
                     yield flush(heads, tails)
-                    seen, heads, tails, held = set(), [], [], 0
+                    heads, tails, held = [], [], 0
+                if len(seen) > SEEN:
+                    seen = set()
         if held:
             yield flush(heads, tails)
 
@@ -201,18 +209,22 @@ def _merge(slim: DataFrame, long: np.ndarray, groups: int) -> DataFrame:
         yield _out(1, key[on_long].view(np.int64), sid[on_long], None)
         left = np.repeat(at + size, size) - np.arange(len(key)) - 1  # members of the list after this one
         left[on_long] = 0
-        a, b = [], []
-        for k in range(1, int(left.max(initial=0)) + 1):
-            own = np.flatnonzero(left >= k)
-            a.append(sid[own])
-            b.append(sid[own + k])
-        a, b = _concat(a, np.int64), _concat(b, np.int64)
-        order = np.lexsort([b, a])
-        a, b = a[order], b[order]
-        new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-        count = np.diff(np.append(new, len(a)))
-        for lo in range(0, len(new), 100_000):
-            yield _out(0, a[new[lo : lo + 100_000]], b[new[lo : lo + 100_000]], count[lo : lo + 100_000])
+        passes = 1 + int(left.sum()) // COUNTED  # all pairs of a set are counted in one pass
+        turn = (sid.view(np.uint64) % np.uint64(passes)).astype(np.int64)
+        for p in range(passes):
+            a, b, k, own = [], [], 1, np.flatnonzero((turn == p) & (left > 0))
+            while len(own):
+                a.append(sid[own])
+                b.append(sid[own + k])
+                k += 1
+                own = own[left[own] >= k]
+            a, b = _concat(a, np.int64), _concat(b, np.int64)
+            order = np.lexsort([b, a])
+            a, b = a[order], b[order]
+            new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+            count = np.diff(np.append(new, len(a)))
+            for lo in range(0, len(new), 100_000):
+                yield _out(0, a[new[lo : lo + 100_000]], b[new[lo : lo + 100_000]], count[lo : lo + 100_000])
 
     def _out(kind, a, b, c):
         n = len(a)
