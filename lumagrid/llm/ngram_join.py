@@ -8,6 +8,9 @@ never merged into pairs: whether a candidate stands on them is found by binary p
 meet on long lists only are first checked against one member of the list; those that still lie apart then are compared
 block by block.
 
+Whole sets are sent only where a link is possible. Of every candidate the parities of its shingles in a few buckets go
+first: two sets differ in at least as many shingles as buckets, and linked ones in at most a ninth of n + m.
+
 Since the result names classes and not pairs, candidates whose sets already hang together are not verified any more.
 Equal sets are one entry throughout. A set is known by a 64-bit hash, a shingle by another.
 
@@ -19,7 +22,7 @@ whatever their names, are kept by `first_of_each`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +78,62 @@ def prefix_size(n: int) -> int:
     return n - -(-4 * n // 5) + 1
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Size of a set and, for each of four to eight buckets a shingle (a power of two of them), whether it holds an odd number of them."""
+    buckets = 1 << max(6, (4 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
+    return np.uint64(len(s)).tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _unsketched(data: bytes) -> tuple[int, np.ndarray]:
+    return int(np.frombuffer(data, np.uint64, 1)[0]), np.frombuffer(data, np.uint8, offset=8)
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The same parities over fewer buckets."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def may_link(x: bytes, y: bytes) -> bool:
+    """Whether two sets of these sketches may be linked; true for all that are."""
+    (n, a), (m, b) = _unsketched(x), _unsketched(y)
+    size = min(len(a), len(b))
+    differ = int(np.bitwise_count(_folded(a, size) ^ _folded(b, size)).sum(dtype=np.int64))
+    return 9 * max(differ, abs(n - m)) <= n + m
+
+
+def _may_link_within(sketches: list[bytes], apart: np.ndarray) -> np.ndarray:
+    """Which of these sets may be linked to one that lies apart from it."""
+    n, bits = (list(x) for x in zip(*map(_unsketched, sketches)))
+    n, size = np.array(n), np.array([len(x) for x in bits])
+    out = np.zeros(len(n), bool)
+    for w in np.unique(size).tolist():  # pairs whose smaller sketch has w bytes
+        at = np.flatnonzero(size >= w)
+        rows, m, own = np.stack([_folded(bits[k], w) for k in at]), n[at], size[at] == w
+        differ = np.abs(m[:, None] - m[None, :])
+        odd = np.zeros((len(at), len(at)), np.int64)
+        for lo in range(0, w, 256):
+            has = np.unpackbits(rows[:, lo : lo + 256], axis=1).astype(np.float32)
+            ones = has.sum(1)
+            odd += (ones[:, None] + ones[None, :] - 2 * (has @ has.T)).astype(np.int64)
+        may = (9 * np.maximum(differ, odd) <= m[:, None] + m[None, :]) & (own[:, None] | own[None, :]) & apart[np.ix_(at, at)]
+        out[at] |= may.any(1)
+    return out
+
+
+def _packed(sid: np.ndarray, count: np.ndarray, n: np.ndarray, x: np.ndarray) -> bytes:
+    """Sets of runs of shingles: id, length of the run, size, told long lists; halves of sizes apart, since high ones are alike."""
+    return T.blob(sid) + T.blob(count.astype(np.uint32)) + T.blob(x.astype(np.uint32)) + T.blob(n.astype("<u4").view("<u2").reshape(-1, 2).T)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    k = len(data) // 20
+    sid, (count, x) = np.frombuffer(data, np.int64, k), np.frombuffer(data, np.uint32, 2 * k, 8 * k).reshape(2, k)
+    return sid, count, np.ascontiguousarray(np.frombuffer(data, "<u2", 2 * k, 16 * k).reshape(2, k).T).view("<u4").ravel(), x
+
+
 def _concat(x: list[np.ndarray], t) -> np.ndarray:
     return np.concatenate(x) if x else np.zeros(0, t)
 
@@ -147,21 +206,27 @@ def _members_and_long_lists(slim: DataFrame, groups: int) -> tuple[DataFrame, Da
 
 
 def _merge(slim: DataFrame, long: np.ndarray, groups: int) -> DataFrame:
-    """kind 0: pair a < b of sets that meet c times on short lists; kind 1: set b is on the long list of shingle a."""
+    """kind 0: pair a < b of sets, of sizes that can link, that meet c times on short lists and must do so need times; kind 1: set b is on the long list of shingle a, c = 1 if that was not told."""
     schema = "bucket int, data binary, sets binary"
 
     def flush(heads, tails):
-        key, sid = _concat([h for h, _ in heads], np.uint64), np.repeat(np.array([i for _, i in heads], np.int64), [len(h) for h, _ in heads])
+        key, of = _concat([h for h, *_ in heads], np.uint64), np.repeat(np.arange(len(heads)), [len(h) for h, *_ in heads])
+        sid, n, x = np.array([i for _, i, _, _ in heads], np.int64), np.array([n for _, _, n, _ in heads], np.int64), np.array([x for *_, x in heads], np.int64)
         bucket = (key % np.uint64(groups)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        key, sid = key[order], sid[order]
+        key, of = key[order], of[order]
         edge = np.searchsorted(bucket[order], np.arange(groups + 1))
         used = [k for k in range(groups) if edge[k] < edge[k + 1]]
-        data, sets = [T.blob(key[edge[k] : edge[k + 1]]) for k in used], [T.blob(sid[edge[k] : edge[k + 1]]) for k in used]
-        for k, (t, i) in enumerate(tails):  # members of long lists are dealt by set, not by list
+        data, sets = [T.blob(key[edge[k] : edge[k + 1]]) for k in used], []
+        for k in used:
+            own = of[edge[k] : edge[k + 1]]
+            at, count = _runs(own)
+            own = own[at]
+            sets.append(_packed(sid[own], count, n[own], x[own]))
+        for t, i, n, x in tails:  # members of long lists are dealt by set, not by list
             used.append(-1 - abs(i) % groups)
             data.append(T.blob(t))
-            sets.append(T.blob(np.full(len(t), i, np.int64)))
+            sets.append(_packed(*(np.array([v], np.int64) for v in (i, len(t), n, x))))
         return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(data, pa.binary()), pa.array(sets, pa.binary())], ["bucket", "data", "sets"])
 
     def scan(batches):
@@ -176,10 +241,11 @@ def _merge(slim: DataFrame, long: np.ndarray, groups: int) -> DataFrame:
                     on = np.minimum(np.searchsorted(long, s), max(0, len(long) - 1))
                     is_long = long[on] == s if len(long) else np.zeros(len(s), bool)
                     head = s[~is_long][:p]
-                    heads.append((head, i))
+                    x = p - len(head)
+                    heads.append((head, i, len(s), x))
                     held += p
-                    if len(head) < p:
-                        tails.append((s[is_long][: p - len(head)], i))
+                    if x:
+                        tails.append((s[is_long][:x], i, len(s), x))
                 if held > HELD:
                     yield flush(heads, tails)
                     heads, tails, held = [], [], 0
@@ -189,53 +255,79 @@ def _merge(slim: DataFrame, long: np.ndarray, groups: int) -> DataFrame:
             yield flush(heads, tails)
 
     def merge(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sids, told = [], [], False
+        keys, runs, told = [], [], False
         for b in group:
             told = b.num_rows and b.column(0)[0].as_py() < 0
-            k, i = ([np.frombuffer(x, t) for x in b.column(c).to_pylist()] for c, t in ((1, np.uint64), (2, np.int64)))
+            k, r = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()], [_unpacked(x) for x in b.column(2).to_pylist()]
             if told:
-                yield _out(1, _concat(k, np.uint64).view(np.int64), _concat(i, np.int64), None)
+                yield _out(1, _concat(k, np.uint64).view(np.int64), _concat([np.repeat(i, count) for i, count, _, _ in r], np.int64), 0, 0)
             else:
-                keys, sids = keys + k, sids + i
+                keys, runs = keys + k, runs + r
         if told:
             return
-        key, sid = _concat(keys, np.uint64), _concat(sids, np.int64)
-        order = np.lexsort([sid, key])
-        key, sid = key[order], sid[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])]) if len(key) else np.zeros(0, bool)
-        key, sid = key[new], sid[new]
-        at, size = _runs(key)
-        on_long = np.repeat(size > LONG, size)
-        yield _out(1, key[on_long].view(np.int64), sid[on_long], None)
-        left = np.repeat(at + size, size) - np.arange(len(key)) - 1  # members of the list after this one
+        key = _concat(keys, np.uint64)
+        sid, count, size, x = (_concat([r[k] for r in runs], np.int64).astype(np.int64) for k in range(4))
+        del keys, runs
+        sid, at, code = np.unique(sid, return_index=True, return_inverse=True)  # sets by their place in the order of ids
+        size, rest = size[at], -(-4 * size[at] // 5) - 1 + x[at]  # shingles that short lists do not count
+        of = np.repeat(code.astype(np.int32), count)
+        order = np.lexsort([of, key])
+        key, of = key[order], of[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])]) if len(key) else np.zeros(0, bool)
+        key, of = key[new], of[new]
+        at, members = _runs(key)
+        on_long = np.repeat(members > LONG, members)
+        yield _out(1, key[on_long].view(np.int64), sid[of[on_long]], 1, 0)
+        left = np.repeat(at + members, members) - np.arange(len(key)) - 1  # members of the list after this one
         left[on_long] = 0
+        del key, order, new, on_long
         passes = 1 + int(left.sum()) // COUNTED  # all pairs of a set are counted in one pass
-        turn = (sid.view(np.uint64) % np.uint64(passes)).astype(np.int64)
+        turn = of % passes
         for p in range(passes):
-            a, b, k, own = [], [], 1, np.flatnonzero((turn == p) & (left > 0))
+            pairs, k, own = [], 1, np.flatnonzero((turn == p) & (left > 0))
             while len(own):
-                a.append(sid[own])
-                b.append(sid[own + k])
+                a, b = of[own], of[own + k]
+                n, m = size[a], size[b]
+                fit = 10 * np.minimum(n, m) >= 8 * np.maximum(n, m)
+                pairs.append(a[fit].astype(np.int64) * len(sid) + b[fit])
                 k += 1
                 own = own[left[own] >= k]
-            a, b = _concat(a, np.int64), _concat(b, np.int64)
-            order = np.lexsort([b, a])
-            a, b = a[order], b[order]
-            new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-            count = np.diff(np.append(new, len(a)))
-            for lo in range(0, len(new), 100_000):
-                yield _out(0, a[new[lo : lo + 100_000]], b[new[lo : lo + 100_000]], count[lo : lo + 100_000])
-
-    def _out(kind, a, b, c):
+            pairs = np.sort(_concat(pairs, np.int64))
+            at, c = _runs(pairs)
+            pairs = pairs[at]
+            for lo in range(0, len(pairs), 100_000):
+                a, b = np.divmod(pairs[lo : lo + 100_000], len(sid))
+                need = -(-4 * (size[a] + size[b]) // 9) - np.maximum(rest[a], rest[b])
+                yield _out(0, sid[a], sid[b], c[lo : lo + 100_000], need)
+
+    def _out(kind, a, b, c, need):
         n = len(a)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(a), pa.array(b), pa.array(c if c is not None else np.zeros(n, np.int64), pa.int64())], ["kind", "a", "b", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(a), pa.array(b), *(pa.array(np.broadcast_to(np.asarray(v, np.int64), n).copy()) for v in (c, need))], ["kind", "a", "b", "c", "need"])
 
     dealt = slim.mapInArrow(scan, schema).repartition(groups, "bucket")
-    return saved(dealt.groupBy("bucket").applyInArrow(merge, "kind int, a long, b long, c long"))
-
-
-def _sets(roles: DataFrame, slim: DataFrame, reps: DataFrame) -> DataFrame:
-    """roles (sid, to) with the shingles of each set, taken from one document that has it."""
+    return saved(dealt.groupBy("bucket").applyInArrow(merge, "kind int, a long, b long, c long, need long"))
+
+
+def _near(met: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets that may be linked, by how often they meet on short lists."""
+    # long lists that were not told: a set stands on x of them
+    others = saved(met.where("kind = 1 and c = 1").groupBy(F.col("b").alias("id")).agg(F.count("*").alias("x")))
+    most = others.agg(F.coalesce(F.max("x"), F.lit(0))).first()[0]
+    lacking = met.where("kind = 0").groupBy("a", "b").agg((F.min("need") - F.sum("c")).alias("lack")).where(F.col("lack") <= most)
+    if not most:
+        near = saved(lacking.select("a", "b"))
+    else:
+        lacking = saved(lacking)
+        of = lambda side: others.select(F.col("id").alias(side), F.col("x").alias(f"x{side}"))
+        unsure = lacking.where("lack > 0").join(of("a"), "a", "left").join(of("b"), "b", "left").where("greatest(xa, xb) >= lack")
+        near = saved(lacking.where("lack <= 0").select("a", "b").unionByName(unsure.select("a", "b")))
+        done(lacking)
+    done(others)
+    return near
+
+
+def _sets(roles: DataFrame, slim: DataFrame, reps: DataFrame, made: Callable[[np.ndarray], bytes] = T.blob) -> DataFrame:
+    """roles (sid, to) with the shingles of each set, or what is made of them, taken from one document that has it."""
     roles = saved(roles.join(reps, "sid").groupBy("doc_id", "sid").agg(F.collect_list("to").alias("to")))
     ids = roles.select("doc_id").distinct()
     wanted = slim.join(F.broadcast(ids) if roles.count() <= SMALL else ids, "doc_id", "left_semi")
@@ -250,7 +342,7 @@ def _sets(roles: DataFrame, slim: DataFrame, reps: DataFrame) -> DataFrame:
                         seen.add((i, k))
                         ids.append(i)
                         sids.append(k)
-                        data.append(T.blob(s))
+                        data.append(made(s))
                 if len(seen) > 1_000_000:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sids, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "sid", "shingles"])
@@ -266,6 +358,14 @@ def _verify(pairs: DataFrame, slim: DataFrame, reps: DataFrame) -> DataFrame:
     ones = pairs.join(sizes, "a").select(F.col("b").alias("sid"), F.struct("a", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("part")).alias("to"))
     hubs = sizes.select(F.col("a").alias("sid"), F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.struct(F.col("a"), i.alias("part")))).alias("to"))
 
+    def hopeful(group: pa.Table) -> pa.Table:
+        a = group["a"][0].as_py()
+        own = dict(zip(group["sid"].to_pylist(), group["shingles"].to_pylist()))
+        hub = own.pop(a)
+        good = [sid for sid, x in own.items() if may_link(hub, x)]
+        good += [a] * bool(good)
+        return pa.table({"sid": pa.array(good, pa.int64()), "a": pa.array([a] * len(good), pa.int64()), "part": pa.array([group["part"][0].as_py()] * len(good), pa.int32())})
+
     def probe(group: pa.Table) -> pa.Table:
         a = group["a"][0].as_py()
         own = dict(zip(group["sid"].to_pylist(), group["shingles"].to_pylist()))
@@ -279,8 +379,9 @@ def _verify(pairs: DataFrame, slim: DataFrame, reps: DataFrame) -> DataFrame:
                 good.append(sid)
         return pa.table({"a": pa.array([a] * len(good), pa.int64()), "b": pa.array(good, pa.int64())})
 
-    found = saved(_sets(ones.unionByName(hubs), slim, reps).groupBy("a", "part").applyInArrow(probe, "a long, b long"))
-    done(pairs)
+    left = saved(_sets(ones.unionByName(hubs), slim, reps, sketch).groupBy("a", "part").applyInArrow(hopeful, "sid long, a long, part int"))
+    found = saved(_sets(left.select("sid", F.struct("a", "part").alias("to")), slim, reps).groupBy("a", "part").applyInArrow(probe, "a long, b long"))
+    done(pairs, left)
     return found
 
 
@@ -309,10 +410,20 @@ def _verify_within(members: DataFrame, slim: DataFrame, reps: DataFrame, block:
         {met('up', la='c', ja='j', lb='c + 1', jb='i', side='0')},
         {met('down', la='c - 1', ja='i', lb='c', jb='j', side='1')})""")
 
-    def compare(table: pa.Table) -> pa.Table:
+    def apart(table: pa.Table) -> np.ndarray:
+        """Which sets of a group are to be compared: those of different components and, if it has two blocks, of both."""
         first = {k: table[k][0].as_py() for k in ("la", "ja", "lb", "jb")}
-        across = (first["la"], first["ja"]) != (first["lb"], first["jb"])
-        sid, side, component = (table[k].to_numpy() for k in ("sid", "side", "component"))
+        side, component = (table[k].to_numpy() for k in ("side", "component"))
+        out = component[:, None] != component[None, :]
+        return out & (side[:, None] != side[None, :]) if (first["la"], first["ja"]) != (first["lb"], first["jb"]) else out
+
+    def hopeful(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.unique(table["sid"].to_numpy(), return_index=True)[1]))  # copies of a row may have been read by several tasks
+        keep = _may_link_within(table["shingles"].to_pylist(), apart(table))
+        return table.select(["sid", *to_names]).filter(pa.array(keep))
+
+    def compare(table: pa.Table) -> pa.Table:
+        sid = table["sid"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
         n = np.array([len(x) for x in sets])
         row = np.repeat(np.arange(len(sets)), n)
@@ -326,9 +437,7 @@ def _verify_within(members: DataFrame, slim: DataFrame, reps: DataFrame, block:
             has = np.zeros((len(sets), 2048), np.float32)
             has[row[lo:hi], column[lo:hi] - at] = 1
             shared += (has @ has.T).astype(np.int64)
-        linked = (9 * shared >= 4 * (n[:, None] + n[None, :])) & (component[:, None] != component[None, :])
-        if across:
-            linked &= side[:, None] != side[None, :]
+        linked = (9 * shared >= 4 * (n[:, None] + n[None, :])) & apart(table)
         big = np.iinfo(np.int64).max
         root, before = sid.copy(), None
         while before is None or (root != before).any():
@@ -337,8 +446,13 @@ def _verify_within(members: DataFrame, slim: DataFrame, reps: DataFrame, block:
         own = root != sid
         return pa.table({"a": root[own], "b": sid[own]})
 
-    dealt = _sets(members.select("sid", F.explode(to).alias("to")), slim, reps)
-    return saved(dealt.groupBy("cluster", "la", "ja", "lb", "jb").applyInArrow(compare, "a long, b long"))
+    dealt = members.select("sid", F.explode(to).alias("to"))
+    to_names = dealt.select("to.*").columns
+    where = ["cluster", "la", "ja", "lb", "jb"]
+    left = saved(_sets(dealt, slim, reps, sketch).groupBy(*where).applyInArrow(hopeful, dealt.select("sid", "to.*").schema))
+    found = saved(_sets(left.select("sid", F.struct(*to_names).alias("to")), slim, reps).groupBy(*where).applyInArrow(compare, "a long, b long"))
+    done(left)
+    return found
 
 
 def _named(parts: DataFrame, side: str) -> DataFrame:
@@ -370,13 +484,7 @@ def _labels(docs: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFrame]
         sets = saved(members.where("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min("row").alias("row")))
         reps = sets.select("sid", F.col("row").alias("doc_id"))
         long = saved(met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("sid")).distinct().join(sets.select("sid", "n"), "sid"))
-        on_long = long.groupBy("sid").agg(F.count("*").alias("x"))
-        about = sets.select("sid", "n").join(on_long, "sid", "left").select("sid", "n", F.coalesce("x", F.lit(0)).alias("x"))
-        about = about.withColumn("rest", F.expr("n - (n - cast(ceil(4 * n / 5) as long) + 1) + x"))  # shingles that short lists did not count
-
-        sized = lambda side: about.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("rest").alias(f"r{side}"))
-        merged = met.where("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c")).join(sized("a"), "a").join(sized("b"), "b")
-        near = saved(merged.where("10 * least(na, nb) >= 8 * greatest(na, nb) and 9 * (c + greatest(ra, rb)) >= 4 * (na + nb)").select("a", "b"))
+        near = _near(met)
         done(met)
         # first one partner for each set and one for each member of a long list, then what still lies apart
         first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")

@@ -164,3 +164,57 @@ def test_vectors_without_an_id_link(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
     got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in pivot_index.near_duplicates(df).collect())
     assert got == sorted([(0, 2, 9, False), (0, 2, 9, False), (9, 2, 9, True), (0, 1, 0, True), (0, 1, 0, True), (4, 1, 4, True), (4, 1, 4, True)])
+
+
+def test_sketches_never_part_linked_sets():
+    rng = np.random.default_rng(4)
+    pruned = 0
+    for n in (1, 4, 9, 30, 120, 127, 130, 700, 3000):
+        base = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        others = [base] + [np.unique(np.concatenate([base[: len(base) - k], rng.integers(0, 2**64, more, np.uint64)])) for k in (0, n // 12, n // 9, n // 5, n // 3) for more in (0, n // 12, n // 9, n // 5, n // 4)]
+        sets = [base, *others]
+        sketches = [ngram_join.sketch(s) for s in sets]
+        linked = np.array([[9 * len(np.intersect1d(s, t)) >= 4 * (len(s) + len(t)) for t in sets] for s in sets])
+        may = np.array([[ngram_join.may_link(x, y) for y in sketches] for x in sketches])
+        assert (may | ~linked).all()
+        pruned += int((~may).sum())
+        apart = ~np.eye(len(sets), dtype=bool)
+        assert (ngram_join._may_link_within(sketches, apart) | ~(linked & apart).any(1)).all()
+        assert (ngram_join._may_link_within(sketches, apart) == (may & apart).any(1)).all()
+    far = [ngram_join.sketch(np.unique(rng.integers(0, 2**64, 100, np.uint64))) for _ in range(6)]
+    assert pruned and not ngram_join._may_link_within(far, ~np.eye(6, dtype=bool)).any()
+
+
+def test_whole_sets_are_sent_only_for_possible_links(spark, monkeypatch):
+    """Candidates that share three quarters of their shingles are told apart before their shingles are shuffled."""
+    rng = random.Random(8)
+    rows = []
+    for g in range(8):
+        base = [f"w{g}x{k}" for k in range(200)]
+        for changes in (0, 7, 7, 7) if g else (0, 1, 1, 1):
+            t = list(base)
+            for k in range(changes):
+                t[k * 200 // changes + rng.randrange(10)] = f"z{rng.random()}"
+            rows.append((len(rows), " ".join(t)))
+    sent, sets = [], ngram_join._sets
+
+    def counted(roles, slim, reps, *made):
+        if not made:
+            sent.append(roles.count())
+        return sets(roles, slim, reps, *made)
+
+    monkeypatch.setattr(ngram_join, "_sets", counted)
+    got = ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute(rows)[1]
+    assert {r.doc_id: r.component_id for r in got} == want and len(set(want.values())) == 29
+    assert 0 < sum(sent) <= 8
+
+
+@pytest.mark.parametrize("told", [0, 5])
+def test_long_lists_that_were_not_told(spark, monkeypatch, told):
+    monkeypatch.setattr(ngram_join, "LONG", 3)
+    monkeypatch.setattr(ngram_join, "TOLD", told)
+    monkeypatch.setattr(ngram_join._verify_within, "__defaults__", (5,))
+    rows = corpus(20 + told)
+    got = ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute(rows)[1]
